@@ -15,6 +15,12 @@ def floor_to(ts: Column, seconds: int) -> Column:
     return F.timestamp_micros(micros - F.pmod(micros, F.lit(width)))
 
 
+def five_minutes_sql(ts: str) -> str:
+    """``five_minutes`` as text."""
+    width = 300 * MICROS
+    return f"timestamp_micros(unix_micros({ts}) - pmod(unix_micros({ts}), {width}L))"
+
+
 def minute(ts: Column) -> Column:
     return floor_to(ts, 60)
 

@@ -36,25 +36,14 @@ def protocol_name(proto: Column) -> Column:
     )
 
 
-def pair_code(proto: Column, port: Column) -> Column:
-    """One number per (protocol, port), for set membership and map lookup."""
-    return proto.cast("long") * F.lit(1 << 32) + port.cast("long")
-
-
-def _code(proto: int, port: int) -> int:
-    return proto * (1 << 32) + port
-
-
-SERVICE_CODES = [_code(*pair) for pair in SERVICE_NAMES]
-
-
-def is_known_service(proto: Column, port: Column) -> Column:
-    return F.coalesce(pair_code(proto, port).isin(SERVICE_CODES), F.lit(False))
+# One number per (protocol, port), for set membership and map lookup.
+PAIR_BASE = 1 << 32
+SERVICE_CODES = [proto * PAIR_BASE + port for proto, port in SERVICE_NAMES]
 
 
 def service_name(proto: Column, port: Column) -> Column:
-    names = _literal_map({_code(*pair): name for pair, name in SERVICE_NAMES.items()})
-    return F.try_element_at(names, pair_code(proto, port))
+    names = _literal_map(dict(zip(SERVICE_CODES, SERVICE_NAMES.values())))
+    return F.try_element_at(names, proto.cast("long") * PAIR_BASE + port.cast("long"))
 
 
 def app_name(proto: Column, port: Column) -> Column:

@@ -12,7 +12,7 @@ batches gives the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions import buckets, service
@@ -29,20 +29,22 @@ NUMBER_META = [name for name in META_TYPES if name not in TEXT_META]
 
 def with_service(flows: DataFrame) -> DataFrame:
     """Flows plus service_port, service_side and the two key ports."""
-    side = F.col("service_side")
-    return flows.withColumn(
-        "service_side", service.service_side(F.col("src_port"), F.col("dst_port"), F.col("proto"))
-    ).withColumns(
-        {
-            "service_port": service.port_on_side(side, F.col("src_port"), F.col("dst_port")),
-            "key_src_port": service.key_src_port(side, F.col("src_port")),
-            "key_dst_port": service.key_dst_port(side, F.col("dst_port")),
-        }
+    return flows.withColumn("service_side", service.service_side()).withColumns(
+        {name: F.expr(text) for name, text in service.FROM_SIDE.items()}
     )
 
 
-def _stamp(received_at: Column, seq: Column, value: Column) -> Column:
-    return F.struct(received_at.alias("received_at"), seq.alias("seq"), value.alias("value"))
+# 0 and NULL ports share a key; the code tells which the first flow carried.
+_ZERO_CODE = """
+CASE WHEN key_src_port IS NULL AND key_dst_port IS NULL AND service_port IS NULL
+     THEN if(src_port IS NOT NULL, 1, 0) + if(dst_port IS NOT NULL, 2, 0) END"""
+
+
+def _stamp(received_at: str, seq: str, value: str) -> str:
+    return (
+        f"if({value} IS NOT NULL, named_struct("
+        f"'received_at', {received_at}, 'seq', {seq}, 'value', {value}), NULL)"
+    )
 
 
 def condense(flows: DataFrame, grain=buckets.five_minutes, arrival_lane: bool = False) -> DataFrame:
@@ -52,86 +54,76 @@ def condense(flows: DataFrame, grain=buckets.five_minutes, arrival_lane: bool =
     minutes. ``arrival_lane`` adds ``received_at`` to the grouping, for inputs
     where it names the file a row landed in and ``seq`` only counts within one.
     """
-    seq, received = F.col("seq"), F.col("received_at")
-    # 0 and NULL ports share a key; remember which the first flow carried.
-    zero_code = F.when(
-        F.col("key_src_port").isNull() & F.col("key_dst_port").isNull() & F.col("service_port").isNull(),
-        F.when(F.col("src_port").isNotNull(), 1).otherwise(0)
-        + F.when(F.col("dst_port").isNotNull(), 2).otherwise(0),
+    rows = with_service(flows).withColumns(
+        {"slot": grain(F.col("received_at")), "zero_code": F.expr(_ZERO_CODE)}
     )
-    rows = with_service(flows).withColumns({"slot": grain(received), "zero_code": zero_code})
     lane = ["received_at"] if arrival_lane else []
-    numbers = []
-    for name in NUMBER_META:
-        present = F.col(name).isNotNull()
-        numbers += [
-            F.max_by(name, F.when(present, seq)).alias(name),
-            F.max(F.when(present, seq)).alias(f"{name}_seq"),
-            F.max(F.when(present, received)).alias(f"{name}_at"),
-        ]
+    numbers = [
+        text
+        for name in NUMBER_META
+        for text in (
+            f"max_by({name}, if({name} IS NOT NULL, seq, NULL)) AS {name}",
+            f"max(if({name} IS NOT NULL, seq, NULL)) AS {name}_seq",
+            f"max(if({name} IS NOT NULL, received_at, NULL)) AS {name}_at",
+        )
+    ]
+    measures = [
+        "min(received_at) AS first_seen",
+        "max(received_at) AS last_seen",
+        "max(flow_time) AS flow_time",
+        "sum(bytes) AS bytes",
+        "sum(packets) AS packets",
+        "count(1) AS flow_count",
+        "min(seq) AS first_seq",
+        "max(seq) AS last_seq",
+        "min_by(zero_code, seq) AS zero_code",
+    ]
     grouped = rows.groupBy("slot", *DIMS, *TEXT_META, *lane).agg(
-        F.min(received).alias("first_seen"),
-        F.max(received).alias("last_seen"),
-        F.max("flow_time").alias("flow_time"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("packets").alias("packets"),
-        F.count(F.lit(1)).alias("flow_count"),
-        F.min(seq).alias("first_seq"),
-        F.max(seq).alias("last_seq"),
-        F.min_by("zero_code", seq).alias("zero_code"),
-        *numbers,
+        *(F.expr(text) for text in measures + numbers)
     )
-    stamped = {
-        "zero_ports": F.when(
-            F.col("zero_code").isNotNull(), _stamp(F.col("first_seen"), F.col("first_seq"), F.col("zero_code"))
-        )
-    }
+    stamps = {"zero_ports": _stamp("first_seen", "first_seq", "zero_code")}
     for name in TEXT_META:
-        stamped[f"last_{name}"] = F.when(
-            F.col(name).isNotNull(), _stamp(F.col("last_seen"), F.col("last_seq"), F.col(name))
-        )
+        stamps[f"last_{name}"] = _stamp("last_seen", "last_seq", name)
     for name in NUMBER_META:
-        stamped[f"last_{name}"] = F.when(
-            F.col(name).isNotNull(), _stamp(F.col(f"{name}_at"), F.col(f"{name}_seq"), F.col(name))
-        )
-    out = grouped.withColumns(stamped).withColumn("bucket_start", buckets.five_minutes(F.col("slot")))
-    return out.select(
-        "slot", *(F.col(f.name).cast(f.dataType).alias(f.name) for f in CONVERSATION_PARTIALS)
+        stamps[f"last_{name}"] = _stamp(f"{name}_at", f"{name}_seq", name)
+    stamps["bucket_start"] = buckets.five_minutes_sql("slot")
+    return grouped.selectExpr(
+        "slot",
+        *(f"CAST({stamps.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
+          for f in CONVERSATION_PARTIALS),
     )
 
 
 def merge(partials: DataFrame, extra_key: tuple[str, ...] = ()) -> DataFrame:
     """One partial row per conversation, whatever batches they came from."""
-    merged = partials.groupBy(*extra_key, *KEY).agg(
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.max("flow_time").alias("flow_time"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("packets").alias("packets"),
-        F.sum("flow_count").alias("flow_count"),
-        F.min("zero_ports").alias("zero_ports"),
-        *(F.max(f"last_{name}").alias(f"last_{name}") for name in META_TYPES),
-    )
+    measures = [
+        "min(first_seen) AS first_seen",
+        "max(last_seen) AS last_seen",
+        "max(flow_time) AS flow_time",
+        "sum(bytes) AS bytes",
+        "sum(packets) AS packets",
+        "sum(flow_count) AS flow_count",
+        "min(zero_ports) AS zero_ports",
+        *(f"max(last_{name}) AS last_{name}" for name in META_TYPES),
+    ]
+    merged = partials.groupBy(*extra_key, *KEY).agg(*(F.expr(text) for text in measures))
     return merged.select(*extra_key, *CONVERSATION_PARTIALS.names)
 
 
+_FINISHED = {
+    "received_at": "last_seen",
+    "src_port": "coalesce(key_src_port, if(zero_ports.value & 1 > 0, 0, NULL))",
+    "dst_port": "coalesce(key_dst_port, if(zero_ports.value & 2 > 0, 0, NULL))",
+    **{name: f"last_{name}.value" for name in META_TYPES},
+}
+
+
 def finish(merged: DataFrame) -> DataFrame:
     """Merged partial rows -> conversation rows."""
-    code = F.col("zero_ports")["value"]
-
-    def port(key: str, bit: int) -> Column:
-        return F.coalesce(F.col(key), F.when(code.bitwiseAND(bit) > 0, F.lit(0)))
-
-    out = merged.withColumns(
-        {
-            "conv_key": service.conversation_key(),
-            "received_at": F.col("last_seen"),
-            "src_port": port("key_src_port", 1),
-            "dst_port": port("key_dst_port", 2),
-            **{name: F.col(f"last_{name}")["value"] for name in META_TYPES},
-        }
+    return merged.withColumn("conv_key", service.conversation_key()).selectExpr(
+        *(f"CAST({_FINISHED.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
+          for f in CONVERSATIONS)
     )
-    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CONVERSATIONS))
 
 
 def conversations_5m(flows: DataFrame, arrival_lane: bool = False) -> DataFrame:

@@ -30,7 +30,9 @@ def build_session(app: str = "flowtide", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    # Call-site capture for error messages costs a stack walk per column.
+    quiet = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**RUNTIME_CONF, **quiet, **conf}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 

@@ -11,27 +11,31 @@ from pyspark.sql import functions as F
 from flowtide.operators import condense, rollups
 from flowtide.operators.filters import between
 
+NAMING = ("exporters", "interfaces", "ip_names", "dns_cache", "port_descriptions")
+
 
 @dataclass(frozen=True)
 class DerivedTables:
-    flows: DataFrame
-    exporters: DataFrame
-    interfaces: DataFrame
-    ip_names: DataFrame
-    dns_cache: DataFrame
-    port_descriptions: DataFrame
+    """``inputs`` holds the flows and the naming tables as attributes."""
+
+    inputs: object
     newest: datetime
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in NAMING:
+            return getattr(self.inputs, name)
+        raise AttributeError(name)
+
     def conversations(
         self, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:
-        rows = condense.conversations_5m(self.flows)
+        rows = condense.conversations_5m(self.inputs.flows)
         for predicate in between(F.col("bucket_start"), low, high):
             rows = rows.filter(predicate)
         return rows
 
     def statistics(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
-        rows = rollups.statistics_5m(self.flows)
+        rows = rollups.statistics_5m(self.inputs.flows)
         for predicate in between(F.col("bucket_start"), low, high):
             rows = rows.filter(predicate)
         return rows
@@ -39,7 +43,7 @@ class DerivedTables:
     def rollup(
         self, name: str, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:
-        rows = rollups.roll_up(self.flows, name)
+        rows = rollups.roll_up(self.inputs.flows, name)
         for predicate in between(F.col("bucket"), low, high):
             rows = rows.filter(predicate)
         return rows

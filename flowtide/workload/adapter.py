@@ -7,6 +7,7 @@ same rows. ``{S}`` is the engine's text type.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,13 +112,14 @@ class Inputs:
     sf_dir: str
 
     def table(self, name: str) -> DataFrame:
+        """A given table; its schema is read from the file footers."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def flows(self) -> DataFrame:
         return _shaped(_run(self.spark, FLOWS_SQL, events=self.table("events")), schemas.FLOWS)
 
-    @property
+    @cached_property
     def exporters(self) -> DataFrame:
         rows = _run(self.spark, EXPORTERS_SQL, supplier=self.table("supplier"))
         stamp = (EPOCH - datetime(1970, 1, 1)) // timedelta(microseconds=1)
@@ -129,29 +131,29 @@ class Inputs:
         }
         return _shaped(rows.withColumns(seen), schemas.EXPORTERS)
 
-    @property
+    @cached_property
     def interfaces(self) -> DataFrame:
         rows = _run(self.spark, INTERFACES_SQL, nation=self.table("nation"))
         return _shaped(rows, schemas.INTERFACES)
 
-    @property
+    @cached_property
     def ip_names(self) -> DataFrame:
         rows = _run(self.spark, IP_NAMES_SQL, customer=self.table("customer"))
         return _shaped(rows, schemas.IP_NAMES)
 
-    @property
+    @cached_property
     def dns_cache(self) -> DataFrame:
         rows = _run(self.spark, DNS_CACHE_SQL, part=self.table("part"))
         last = (self.as_of - datetime(1970, 1, 1)) // timedelta(seconds=1)
         at = F.timestamp_seconds(F.lit(last) - F.col("age_hours") * 3600)
         return _shaped(rows.withColumn("resolved_at", at), schemas.DNS_CACHE)
 
-    @property
+    @cached_property
     def port_descriptions(self) -> DataFrame:
         rows = _run(self.spark, PORT_DESCRIPTIONS_SQL, part=self.table("part"))
         return _shaped(rows, schemas.PORT_DESCRIPTIONS)
 
-    @property
+    @cached_property
     def as_of(self) -> datetime:
         """The clock of the workload: arrival of the last flow (one row is fetched)."""
         last = self.table("events").agg(F.max("event_id")).first()[0]
@@ -162,10 +164,7 @@ class Inputs:
         newest = as_of - timedelta(
             minutes=as_of.minute % 5, seconds=as_of.second, microseconds=as_of.microsecond
         )
-        return DerivedTables(
-            self.flows, self.exporters, self.interfaces, self.ip_names, self.dns_cache,
-            self.port_descriptions, newest,
-        )
+        return DerivedTables(self, newest)
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:

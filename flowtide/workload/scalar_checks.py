@@ -173,10 +173,10 @@ register(
 )
 register(
     "fn_service_endpoint",
-    lambda i: i.flows.select(
-        "seq", "src_port", "dst_port", "proto",
-        service.service_endpoint(F.col("src_port"), F.col("dst_port"), F.col("proto")).alias("e"),
-    ).select("seq", "src_port", "dst_port", "proto", "e.*"),
+    lambda i: with_service(i.flows).select(
+        "seq", "src_port", "dst_port", "proto", "service_port", "service_side",
+        "key_src_port", "key_dst_port",
+    ),
     query(
         """SELECT seq, src_port, dst_port, proto, service_port, service_side, key_src_port, key_dst_port
            FROM keyed"""
