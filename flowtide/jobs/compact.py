@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
 
 from pyspark.sql import functions as F
 
+from flowtide.session import together
 from flowtide.sources.store import COMPACTED, EVENT_TABLES, TableStore, merge_table
 
 
@@ -30,10 +32,12 @@ def compact_day(store: TableStore, name: str, day: date, below: int | None = Non
 def compact(store: TableStore, days: list[date] | None = None) -> None:
     """Compact every table, or the given days of it, up to the newest batch."""
     below = newest_batch(store)
+    jobs = []
     for name in EVENT_TABLES:
         for day in store.days(name):
             if days is not None and day not in days:
                 continue
             closed = [b for b in store.batches(name, day) if below is None or b < below]
             if closed and closed != [COMPACTED]:
-                compact_day(store, name, day, below)
+                jobs.append(partial(compact_day, store, name, day, below))
+    together(store.spark, jobs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from flowtide.functions.ip import as_address
 from flowtide.jobs.rebuild import rebuild_rollups
 from flowtide.operators.filters import instant
 from flowtide.plans.inventory import IDLE_AFTER
+from flowtide.session import together
 from flowtide.sources.store import TableStore
 
 PURGED_TABLES = ("conversations", "statistics", "exporter_1m", "interface_1m")
@@ -66,23 +68,36 @@ def purge(
     """Delete an idle exporter and return the counts of what was deleted.
 
     Totals, sources, destinations and applications do not know the exporter
-    and are recomputed. With ``keep_history`` their time before the detailed
-    window comes from statistics, and the other exporters' rollups stay as
-    they are; without it all six are rebuilt from conversations alone.
+    and are recomputed. With ``keep_history`` only for the days the exporter
+    was seen on, from statistics where conversations have expired; the other
+    exporters' rollups stay as they are. Without it all six are rebuilt from
+    conversations alone.
     """
     exporter = as_address(exporter) or exporter
     if not is_idle(store.exporters, exporter, as_of):
         raise RuntimeError(f"exporter {exporter} is active")
     counts = report(store, exporter).first()
-    for name in PURGED_TABLES:
-        days = _touched_days(store, name, exporter)
+    touched = {name: _touched_days(store, name, exporter) for name in PURGED_TABLES}
+
+    def strike(name: str) -> None:
+        days = touched[name]
         if days:
             rows = store.partials(name).filter(F.col("d").isin(days))
             store.replace_days(name, without(rows, exporter), days)
-    store.write_dimension("interfaces", without(store.interfaces, exporter))
-    store.write_dimension("exporters", without(store.exporters, exporter, "ip"))
-    unnamed = ["total_1m", "src_1m", "dst_1m", "app_1m"]
-    rebuild_rollups(store, unnamed if keep_history else None, keep_history)
+
+    together(
+        store.spark,
+        [
+            *(partial(strike, name) for name in PURGED_TABLES),
+            lambda: store.write_dimension("interfaces", without(store.interfaces, exporter)),
+            lambda: store.write_dimension("exporters", without(store.exporters, exporter, "ip")),
+        ],
+    )
+    if keep_history:
+        days = sorted({day for found in touched.values() for day in found})
+        rebuild_rollups(store, ["total_1m", "src_1m", "dst_1m", "app_1m"], True, days)
+    else:
+        rebuild_rollups(store)
     fields = counts.asDict()
     return store.spark.range(1).select(
         *(F.lit(value).cast("long").alias(name) for name, value in fields.items())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from flowtide.functions import buckets
 from flowtide.operators import rollups
 from flowtide.operators.filters import instant
 from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, STATISTICS
+from flowtide.session import together
 from flowtide.sources.store import COMPACTED, TableStore
 
 
@@ -96,28 +98,36 @@ def backfill_statistics(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _rewrite(store: TableStore, name: str, rows: DataFrame) -> None:
-    days = store.days(name)
-    store.replace_days(name, rows, days, keep_batch=False)
-
-
 def rebuild_rollups(
-    store: TableStore, names: list[str] | None = None, keep_history: bool = False
+    store: TableStore,
+    names: list[str] | None = None,
+    keep_history: bool = False,
+    days: list[date] | None = None,
 ) -> None:
-    """Replace rollups by what conversations say.
+    """Replace rollups, or some days of them, by what conversations say.
 
     Conversations reach back a day at most. ``keep_history`` fills the time
     before them from statistics; without it that history is lost.
     """
     conversations = store.conversations().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first = _oldest_bucket(store)
-        for name in names or rollups.ROLLUP_NAMES:
+        older = None
+        if keep_history:
+            first, older = _oldest_bucket(store), store.statistics()
+            if first is not None:
+                older = older.filter(F.col("bucket_start") < instant(first))
+
+        def rewrite(name: str) -> None:
             rows = rebuilt(conversations, name)
-            if keep_history and first is not None:
-                older = store.statistics().filter(F.col("bucket_start") < instant(first))
+            if older is not None:
                 rows = rows.unionByName(from_statistics(older, name))
-            _rewrite(store, name, rows)
+            replaced = store.days(name)
+            if days is not None:
+                rows = rows.filter(F.to_date("bucket").isin(days))
+                replaced = [day for day in replaced if day in days]
+            store.replace_days(name, rows, replaced, keep_batch=False)
+
+        together(store.spark, [partial(rewrite, name) for name in names or rollups.ROLLUP_NAMES])
     finally:
         conversations.unpersist()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import date, datetime, timedelta
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from flowtide.catalogs import DETAILED_HOURS, STATS_DAYS_RANGE
 from flowtide.functions import buckets
 from flowtide.operators import condense
 from flowtide.operators.filters import BUCKET, instant, utc
+from flowtide.session import together
 from flowtide.sources.store import EVENT_TABLES, TableStore
 
 
@@ -82,9 +84,15 @@ def expire_conversations(store: TableStore, as_of: datetime, hours: int) -> None
 def expire_statistics(store: TableStore, as_of: datetime, days: int) -> None:
     """Statistics and all six rollups."""
     cutoff = utc(as_of) - timedelta(days=max(1, days))
-    for name, (_, at) in EVENT_TABLES.items():
-        if name != "conversations":
-            _expire(
-                store, name, cutoff, timedelta(0),
-                lambda rows, at=at: rows.filter(F.col(at) >= instant(cutoff)),
-            )
+
+    def expire(name: str, at: str) -> None:
+        _expire(store, name, cutoff, timedelta(0), lambda rows: rows.filter(F.col(at) >= instant(cutoff)))
+
+    together(
+        store.spark,
+        [
+            partial(expire, name, at)
+            for name, (_, at) in EVENT_TABLES.items()
+            if name != "conversations"
+        ],
+    )

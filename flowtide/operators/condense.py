@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from flowtide.functions import buckets, service
 from flowtide.schemas import CONVERSATION_PARTIALS, CONVERSATIONS, META_TYPES
 
+# The two key ports imply the service port and side, so these need no grouping.
 DIMS = [
-    "exporter", "src_addr", "dst_addr", "proto", "service_port", "service_side",
-    "key_src_port", "key_dst_port", "in_if", "out_if",
+    "exporter", "src_addr", "dst_addr", "proto", "key_src_port", "key_dst_port", "in_if", "out_if",
 ]
 KEY = ["bucket_start", *DIMS]
 TEXT_META = [name for name, dtype in META_TYPES.items() if dtype.typeName() == "string"]
@@ -34,9 +34,18 @@ def with_service(flows: DataFrame) -> DataFrame:
     )
 
 
+# The service columns regained from the key ports: one port is the service,
+# two are an ambiguous pair.
+_IMPLIED = {
+    "service_port": """CASE WHEN key_dst_port IS NULL THEN key_src_port
+                            WHEN key_src_port IS NULL THEN key_dst_port END""",
+    "service_side": """CASE WHEN key_src_port IS NOT NULL AND key_dst_port IS NULL THEN 'source'
+                            WHEN key_dst_port IS NOT NULL AND key_src_port IS NULL THEN 'destination' END""",
+}
+
 # 0 and NULL ports share a key; the code tells which the first flow carried.
 _ZERO_CODE = """
-CASE WHEN key_src_port IS NULL AND key_dst_port IS NULL AND service_port IS NULL
+CASE WHEN key_src_port IS NULL AND key_dst_port IS NULL
      THEN if(src_port IS NOT NULL, 1, 0) + if(dst_port IS NOT NULL, 2, 0) END"""
 
 
@@ -86,7 +95,7 @@ def condense(flows: DataFrame, grain=buckets.five_minutes, arrival_lane: bool =
         stamps[f"last_{name}"] = _stamp("last_seen", "last_seq", name)
     for name in NUMBER_META:
         stamps[f"last_{name}"] = _stamp(f"{name}_at", f"{name}_seq", name)
-    stamps["bucket_start"] = buckets.five_minutes_sql("slot")
+    stamps |= {"bucket_start": buckets.five_minutes_sql("slot"), **_IMPLIED}
     return grouped.selectExpr(
         "slot",
         *(f"CAST({stamps.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
@@ -107,7 +116,9 @@ def merge(partials: DataFrame, extra_key: tuple[str, ...] = ()) -> DataFrame:
         *(f"max(last_{name}) AS last_{name}" for name in META_TYPES),
     ]
     merged = partials.groupBy(*extra_key, *KEY).agg(*(F.expr(text) for text in measures))
-    return merged.select(*extra_key, *CONVERSATION_PARTIALS.names)
+    return merged.selectExpr(
+        *extra_key, *(f"{_IMPLIED.get(n, n)} AS {n}" for n in CONVERSATION_PARTIALS.names)
+    )
 
 
 _FINISHED = {

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Every timestamp in the tables is UTC; ANSI mode makes overflows visible
@@ -51,3 +54,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"flowtide-{name}-", dir=base)
     unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{base.rstrip('/')}/flowtide-{name}-{unique}"
+
+
+def together(spark: SparkSession, jobs: Iterable[Callable[[], None]], most: int = 8) -> None:
+    """Submit independent jobs at once, so that their short tails share the cluster."""
+    with ThreadPoolExecutor(most) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        for job in started:
+            job.result()

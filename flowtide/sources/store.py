@@ -2,9 +2,9 @@
 
 A batch appends rows that can still be merged instead of updating rows in
 place. ``d`` (UTC day of the bucket) prunes scans; ``batch`` lets a replayed
-batch overwrite exactly what it wrote before. Compaction folds finished
-batches of a day into ``batch=-1``. Days that hold nothing else are known to
-be merged already and are read without a shuffle.
+batch overwrite exactly what it wrote before. Compaction folds finished batches
+of a day into ``batch=-1``; those rows are merged already and are read without
+a shuffle as far as no later batch has touched their buckets.
 """
 
 from __future__ import annotations
@@ -158,21 +158,33 @@ class TableStore:
     def merged(
         self, name: str, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:
-        """One row per key. Fully compacted days skip the merge."""
+        """One row per key.
+
+        Compacted rows are merged already. They take part in a merge only from
+        the oldest bucket on that later batches of their day have touched.
+        """
         rows = self.partials(name, low, high)
-        open_days = [
-            day
+        at, columns = TABLES[name][1], TABLES[name][0].names
+        batches = {
+            day: self.batches(name, day)
             for day in self.days(name)
-            if (not low or day >= utc(low).date())
-            and (not high or day <= utc(high).date())
-            and self.batches(name, day) != [COMPACTED]
-        ]
-        columns = TABLES[name][0].names
-        still_open = F.col("d").isin(open_days) if open_days else F.lit(False)
-        done = rows.filter(~still_open).select(*columns)
+            if (not low or day >= utc(low).date()) and (not high or day <= utc(high).date())
+        }
+        open_days = [day for day, found in batches.items() if found != [COMPACTED]]
         if not open_days:
-            return done
-        return done.unionByName(merge_table(name, rows.filter(still_open)).select(*columns))
+            return rows.select(*columns)
+        later = rows.filter(F.col("d").isin(open_days) & (F.col("batch") != COMPACTED))
+        settled = ~F.col("d").isin(open_days)
+        if any(COMPACTED in batches[day] for day in open_days):
+            # One row per open day; only days not compacted yet are open.
+            touched = later.groupBy("d").agg(F.unix_micros(F.min(at)).alias("since")).collect()
+            for row in touched:
+                since = F.timestamp_micros(F.lit(row["since"]))
+                settled = settled | (
+                    (F.col("d") == F.lit(row["d"])) & (F.col("batch") == COMPACTED) & (F.col(at) < since)
+                )
+        done = rows.filter(settled).select(*columns)
+        return done.unionByName(merge_table(name, rows.filter(~settled)).select(*columns))
 
     def conversations(
         self, low: datetime | None = None, high: datetime | None = None

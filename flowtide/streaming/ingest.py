@@ -9,6 +9,8 @@ and delayed or replayed files simply fold into their old buckets.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowtide.functions import buckets
 from flowtide.operators import condense, dimensions, rollups
 from flowtide.schemas import FLOWS
+from flowtide.session import together
 from flowtide.sources import jsonl
 from flowtide.sources.store import TableStore
 
@@ -25,13 +28,28 @@ TRIGGER = "10 seconds"
 
 
 def write_condensed(store: TableStore, condensed: DataFrame, batch: int) -> None:
-    """The eight event tables and the exporter sightings of one condensed batch."""
+    """The eight event tables and the exporter sightings of one condensed batch.
+
+    The first write fills the cache; the others are small and independent, so
+    they are submitted together and share the cluster.
+    """
     store.append("conversations", condensed, batch)
-    store.append("statistics", rollups.statistics_5m(condensed), batch)
-    for name in rollups.ROLLUP_NAMES:
+
+    def update_exporters() -> None:
+        seen = dimensions.exporters_seen(condensed, "first_seen", "last_seen")
+        store.write_dimension("exporters", dimensions.merge_exporters(store.exporters, seen))
+
+    def write_rollup(name: str) -> None:
         store.append(name, rollups.roll_up(condensed, name), batch)
-    seen = dimensions.exporters_seen(condensed, "first_seen", "last_seen")
-    store.write_dimension("exporters", dimensions.merge_exporters(store.exporters, seen))
+
+    together(
+        store.spark,
+        [
+            update_exporters,
+            lambda: store.append("statistics", rollups.statistics_5m(condensed), batch),
+            *(partial(write_rollup, name) for name in rollups.ROLLUP_NAMES),
+        ],
+    )
 
 
 def ingest_flows(store: TableStore, flows: DataFrame, batch: int, arrival_lane: bool = False) -> None:

@@ -120,9 +120,9 @@ clock AS (SELECT max(received_at) AS as_of FROM flows)"""
 
 DIMS = f"""
 exporters AS (
-  SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS first_seen,
+  SELECT x.*, TIMESTAMP '2024-01-01 00:00:00' AS first_seen,
     CASE WHEN ip = '192.0.2.3' THEN as_of - INTERVAL '10 minutes' ELSE as_of END AS last_seen
-  FROM ({_duck(adapter.EXPORTERS_SQL)}), clock),
+  FROM ({_duck(adapter.EXPORTERS_SQL)}) x, clock),
 interfaces AS ({_duck(adapter.INTERFACES_SQL)}),
 ip_names AS ({_duck(adapter.IP_NAMES_SQL)}),
 dns_cache AS (
