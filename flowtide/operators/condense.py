@@ -97,15 +97,15 @@ def condense(flows: DataFrame, grain=buckets.five_minutes, arrival_lane: bool =
         stamps[f"last_{name}"] = _stamp(f"{name}_at", f"{name}_seq", name)
     stamps |= {"bucket_start": buckets.five_minutes_sql("slot"), **_IMPLIED}
     return grouped.selectExpr(
-        "slot",
         *(f"CAST({stamps.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
           for f in CONVERSATION_PARTIALS),
     )
 
 
-def merge(partials: DataFrame, extra_key: tuple[str, ...] = ()) -> DataFrame:
+def merge(partials: DataFrame) -> DataFrame:
     """One partial row per conversation, whatever batches they came from."""
     measures = [
+        "min(slot) AS slot",
         "min(first_seen) AS first_seen",
         "max(last_seen) AS last_seen",
         "max(flow_time) AS flow_time",
@@ -115,9 +115,9 @@ def merge(partials: DataFrame, extra_key: tuple[str, ...] = ()) -> DataFrame:
         "min(zero_ports) AS zero_ports",
         *(f"max(last_{name}) AS last_{name}" for name in META_TYPES),
     ]
-    merged = partials.groupBy(*extra_key, *KEY).agg(*(F.expr(text) for text in measures))
+    merged = partials.groupBy(*KEY).agg(*(F.expr(text) for text in measures))
     return merged.selectExpr(
-        *extra_key, *(f"{_IMPLIED.get(n, n)} AS {n}" for n in CONVERSATION_PARTIALS.names)
+        *(f"{_IMPLIED.get(n, n)} AS {n}" for n in CONVERSATION_PARTIALS.names)
     )
 
 

@@ -40,9 +40,10 @@ def _stamped(value: T.DataType) -> T.StructType:
 
 
 # What the conversation table stores: rows that can still be merged. Every
-# "last value wins" column keeps the arrival stamp it was seen at.
+# "last value wins" column keeps the arrival stamp it was seen at; ``slot`` is
+# the finer bucket the row was condensed to.
 CONVERSATION_PARTIALS = _schema(
-    ("bucket_start", _TS), ("exporter", _S), ("src_addr", _S), ("dst_addr", _S), ("proto", _I),
+    ("bucket_start", _TS), ("slot", _TS), ("exporter", _S), ("src_addr", _S), ("dst_addr", _S), ("proto", _I),
     ("service_port", _I), ("service_side", _S), ("key_src_port", _I), ("key_dst_port", _I),
     ("in_if", _I), ("out_if", _I), ("first_seen", _TS), ("last_seen", _TS), ("flow_time", _TS),
     ("bytes", _L), ("packets", _L), ("flow_count", _L), ("zero_ports", _stamped(_I)),

@@ -61,41 +61,37 @@ def _normalized(record: Column) -> dict[str, Column]:
     }
 
 
-def normalize(records: DataFrame) -> DataFrame:
-    """Valid records -> flow rows plus ``bad_address`` (an address field holds other text)."""
+def normalize(parsed: DataFrame) -> DataFrame:
+    """Parsed lines -> flow columns, plus the line and why it is refused, if it is.
+
+    One pass over the lines serves both the flows and the quarantine.
+    """
     record = F.col("record")
     hosts = {
         f"{name}_host": ip.collector_host(variants.text_field(record, field))
         for name, field in ADDRESSES.items()
     }
-    rows = records.filter("is_record").withColumns(hosts)
+    rows = parsed.withColumns(hosts)
     rows = rows.withColumns({name: ip.canonical(F.col(f"{name}_host")) for name in ADDRESSES})
     bad = F.lit(False)
     for name in ADDRESSES:
         bad = bad | (F.col(f"{name}_host").isNotNull() & F.col(name).isNull())
+    reason = F.when(~F.col("is_record"), "malformed").when(bad, "bad address")
     rows = rows.withColumns(
-        {"seq": F.monotonically_increasing_id(), "bad_address": bad, **_normalized(record)}
+        {"seq": F.monotonically_increasing_id(), "reason": reason, **_normalized(record)}
     )
     return rows.select(
-        "value",
-        "bad_address",
-        *(F.col(f.name).cast(f.dataType).alias(f.name) for f in FLOWS),
+        "value", "reason", *(F.col(f.name).cast(f.dataType).alias(f.name) for f in FLOWS)
     )
 
 
 def good_flows(normalized: DataFrame) -> DataFrame:
-    return normalized.filter(~F.col("bad_address")).select(*FLOWS.names)
+    return normalized.filter(F.col("reason").isNull()).select(*FLOWS.names)
 
 
-def quarantine(parsed: DataFrame, normalized: DataFrame) -> DataFrame:
+def quarantine(normalized: DataFrame) -> DataFrame:
     """Lines that are not JSON objects, and records with an impossible address."""
-    malformed = parsed.filter(~F.col("is_record")).select(
-        "value", F.lit("malformed").alias("reason"), "received_at"
-    )
-    bad = normalized.filter("bad_address").select(
-        "value", F.lit("bad address").alias("reason"), "received_at"
-    )
-    return malformed.unionByName(bad)
+    return normalized.filter(F.col("reason").isNotNull()).select("value", "reason", "received_at")
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:

@@ -92,6 +92,8 @@ class TableStore:
                 F.to_date(F.col(at)).alias("d"),
                 F.lit(batch).cast("long").alias("batch"),
             )
+            # Gathers each day's rows into few files of even size.
+            .hint("rebalance", F.col("d"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("d", "batch")
@@ -105,6 +107,7 @@ class TableStore:
         batch = F.col("batch") if keep_batch else F.lit(COMPACTED).cast("long")
         (
             rows.select(*schema.names, F.to_date(F.col(at)).alias("d"), batch.alias("batch"))
+            .hint("rebalance", F.col("d"), F.col("batch"))
             .write.mode("overwrite").partitionBy("d", "batch").parquet(staged)
         )
         old = [f"d={day}/batch={b}" for day in days for b in self.batches(name, day)]
@@ -155,6 +158,18 @@ class TableStore:
             rows = rows.filter(predicate)
         return rows
 
+    def batch(self, name: str, batch: int) -> DataFrame | None:
+        """What one batch wrote, listing nothing but its own directories."""
+        paths = [
+            f"{self.path(name)}/d={day}/batch={batch}"
+            for day in self.days(name)
+            if batch in self.batches(name, day)
+        ]
+        if not paths:
+            return None
+        reader = self.spark.read.schema(TABLES[name][0]).option("basePath", self.path(name))
+        return reader.parquet(*paths)
+
     def merged(
         self, name: str, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:

@@ -2,17 +2,17 @@
 
 The streaming query only moves lines; what a batch does is ordinary batch
 work. A batch is parsed once and condensed once (to one-minute rows, map-side
-combined), and the eight event tables are written from that small result.
-The stored rows can be merged in any order, so there is no streaming state,
-and delayed or replayed files simply fold into their old buckets.
+combined) into the conversation table; the other tables are made from those
+few stored rows, which a lost executor cannot take away. The stored rows can be
+merged in any order, so there is no streaming state, and delayed or replayed
+files simply fold into their old buckets.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,13 +27,8 @@ MAX_FILES = 64
 TRIGGER = "10 seconds"
 
 
-def write_condensed(store: TableStore, condensed: DataFrame, batch: int) -> None:
-    """The eight event tables and the exporter sightings of one condensed batch.
-
-    The first write fills the cache; the others are small and independent, so
-    they are submitted together and share the cluster.
-    """
-    store.append("conversations", condensed, batch)
+def write_derived(store: TableStore, condensed: DataFrame, batch: int) -> None:
+    """Statistics, rollups, exporter sightings and log entry of a stored batch."""
 
     def update_exporters() -> None:
         seen = dimensions.exporters_seen(condensed, "first_seen", "last_seen")
@@ -50,32 +45,32 @@ def write_condensed(store: TableStore, condensed: DataFrame, batch: int) -> None
             *(partial(write_rollup, name) for name in rollups.ROLLUP_NAMES),
         ],
     )
+    event = condensed.agg(
+        F.lit("flow").alias("type"),
+        F.sum("flow_count").alias("count"),
+        F.max("last_seen").alias("ts"),
+    )
+    # Written last: a batch in the log has all its tables.
+    store.append("batch_log", event, batch)
 
 
 def ingest_flows(store: TableStore, flows: DataFrame, batch: int, arrival_lane: bool = False) -> None:
     """Aggregate a batch of flow rows into the store."""
-    condensed = condense.condense(flows, buckets.minute, arrival_lane).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        write_condensed(store, condensed, batch)
-        event = condensed.agg(
-            F.lit("flow").alias("type"),
-            F.sum("flow_count").alias("count"),
-            F.max("last_seen").alias("ts"),
-        ).filter(F.col("count") > 0)
-        # Written last: a batch in the log has all its tables.
-        store.append("batch_log", event, batch)
-    finally:
-        condensed.unpersist()
+    store.append("conversations", condense.condense(flows, buckets.minute, arrival_lane), batch)
+    condensed = store.batch("conversations", batch)
+    if condensed is not None:
+        write_derived(store, condensed, batch)
 
 
 def ingest_lines(store: TableStore, lines: DataFrame, batch: int) -> None:
     """One micro-batch: split off bad lines, normalise, aggregate, write."""
-    parsed = jsonl.parse(lines)
-    normalized = jsonl.normalize(parsed)
-    store.append("quarantine", jsonl.quarantine(parsed, normalized), batch)
-    ingest_flows(store, jsonl.good_flows(normalized), batch, arrival_lane=True)
+    normalized = jsonl.normalize(jsonl.parse(lines))
+    refused = Observation()
+    watched = normalized.observe(refused, F.count("reason").alias("lines"))
+    ingest_flows(store, jsonl.good_flows(watched), batch, arrival_lane=True)
+    # Counted along the way; the lines are read again only when some were refused.
+    if refused.get["lines"]:
+        store.append("quarantine", jsonl.quarantine(normalized), batch)
 
 
 def _follow(rows: DataFrame, sink, store: TableStore, checkpoint: str, drain: bool) -> StreamingQuery:

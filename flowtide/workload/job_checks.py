@@ -47,7 +47,7 @@ register(
 def _normalized(i: Inputs) -> DataFrame:
     lines = samples.json_lines(i.flows).withColumn("received_at", F.timestamp_micros(F.lit(0)))
     rows = jsonl.normalize(jsonl.parse(lines))
-    return rows.groupBy("bad_address", "exporter", "src_addr", "dst_addr", "proto", "flow_type").agg(
+    return rows.groupBy("reason", "exporter", "src_addr", "dst_addr", "proto", "flow_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("long").alias("bytes"),
         F.max("flow_time").alias("last_time"),
     )
@@ -56,17 +56,19 @@ def _normalized(i: Inputs) -> DataFrame:
 register(
     "normalize_flow", _normalized,
     query(
-        """SELECT false AS bad_address, exporter, src_addr, dst_addr, proto, flow_type, count(*) AS n,
+        """SELECT NULL AS reason, exporter, src_addr, dst_addr, proto, flow_type, count(*) AS n,
              CAST(sum(bytes) AS BIGINT) AS bytes, max(flow_time) AS last_time FROM flows GROUP BY ALL
            UNION ALL
-           SELECT true, NULL, NULL, NULL, NULL, '', count(*), 0, NULL FROM flows WHERE seq % 50 = 4"""
+           SELECT 'bad address', NULL, NULL, NULL, NULL, '', count(*), 0, NULL FROM flows WHERE seq % 50 = 4
+           UNION ALL
+           SELECT 'malformed', NULL, NULL, NULL, NULL, '', count(*), 0, NULL FROM flows WHERE seq % 50 < 4"""
     ),
 )
 
 
 def _quarantined(i: Inputs) -> DataFrame:
     parsed = jsonl.parse(jsonl.read_lines(i.spark, _written_lines(i)))
-    return jsonl.quarantine(parsed, jsonl.normalize(parsed)).select("value", "reason")
+    return jsonl.quarantine(jsonl.normalize(parsed)).select("value", "reason")
 
 
 register(
