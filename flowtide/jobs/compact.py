@@ -12,9 +12,8 @@ from flowtide.sources.store import COMPACTED, EVENT_TABLES, TableStore, merge_ta
 
 
 def newest_batch(store: TableStore) -> int | None:
-    days = store.days("batch_log")
-    found = [b for day in days for b in store.batches("batch_log", day)]
-    return max(found, default=None)
+    stored = store.partitions("batch_log").values()
+    return max((batch for found in stored for batch in found), default=None)
 
 
 def compact_day(store: TableStore, name: str, day: date, below: int | None = None) -> None:
@@ -34,10 +33,10 @@ def compact(store: TableStore, days: list[date] | None = None) -> None:
     below = newest_batch(store)
     jobs = []
     for name in EVENT_TABLES:
-        for day in store.days(name):
+        for day, found in store.partitions(name).items():
             if days is not None and day not in days:
                 continue
-            closed = [b for b in store.batches(name, day) if below is None or b < below]
+            closed = [b for b in found if below is None or b < below]
             if closed and closed != [COMPACTED]:
                 jobs.append(partial(compact_day, store, name, day, below))
     together(store.spark, jobs)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.operators import dimensions
-from flowtide.sources.store import TableStore
+from flowtide.sources import files
+from flowtide.sources.store import TABLES, TableStore
 
 
 def storage(conversations: DataFrame) -> DataFrame:
@@ -23,6 +24,11 @@ def storage(conversations: DataFrame) -> DataFrame:
     )
 
 
+def table_bytes(store: TableStore) -> dict[str, int]:
+    """Stored bytes per table, from the file listing."""
+    return {name: files.size(store.spark, store.path(name)) for name in TABLES}
+
+
 def exporters_in(conversations: DataFrame, known: DataFrame) -> DataFrame:
     """Known exporters joined with those the conversations mention."""
     seen = dimensions.exporters_seen(conversations, "first_seen", "last_seen")

@@ -164,6 +164,19 @@ def interfaces_from_walk(lines: DataFrame) -> DataFrame:
     )
 
 
+def refresh_exporters(known: DataFrame, polls: DataFrame) -> DataFrame:
+    """Host name and description of known exporters from polls (ip, hostname, sys_descr)."""
+    polled = polls.select(
+        normalize_host(F.col("ip")).alias("ip"),
+        walk.scalar(F.col("hostname")).alias("new_hostname"),
+        walk.scalar(F.col("sys_descr")).alias("new_sys_descr"),
+        F.lit(True).alias("polled"),
+    )
+    names = ("hostname", "sys_descr")
+    updates = {n: F.when(F.col("polled"), F.col(f"new_{n}")).otherwise(F.col(n)) for n in names}
+    return known.join(polled, "ip", "left").withColumns(updates).select(*known.columns)
+
+
 def refresh_interfaces(known: DataFrame, lines: DataFrame, polled_at: Column) -> DataFrame:
     """Polled columns are overwritten, custom names and unseen interfaces stay."""
     polled = interfaces_from_walk(lines)

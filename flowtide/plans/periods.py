@@ -19,6 +19,12 @@ def presets(detailed_hours: int) -> list[int]:
     return [h for h in DETAILED_HOURS if h <= detailed_hours]
 
 
+def presets_column(detailed_hours: Column) -> Column:
+    """``presets`` for a column of settings, as text."""
+    offered = F.filter(F.array(*(F.lit(h) for h in DETAILED_HOURS)), lambda h: h <= detailed_hours)
+    return F.array_join(offered.cast("array<string>"), "/")
+
+
 def tier(date_from: datetime, date_to: datetime, as_of: datetime, detailed_hours: int) -> str:
     """``detailed`` when both ends lie in the detailed window, else ``statistics``."""
     end = utc(as_of)

@@ -31,6 +31,24 @@ def subdirs(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     return sorted(n for n in names if n.startswith(prefix))
 
 
+def partitions(spark: SparkSession, path: str, *keys: str) -> list[tuple[str, ...]]:
+    """Values of the partition directories ``k1=v1/k2=v2`` below a path."""
+    pattern = "/".join([path, *(f"{key}=*" for key in keys)])
+    found = _fs(spark, path).globStatus(_path(spark, pattern)) or []
+    out = []
+    for status in found:
+        parts = status.getPath().toString().split("/")[-len(keys):]
+        out.append(tuple(part.split("=", 1)[1] for part in parts))
+    return sorted(out)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    if not exists(spark, path):
+        return 0
+    return _fs(spark, path).getContentSummary(_path(spark, path)).getLength()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 

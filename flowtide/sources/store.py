@@ -72,14 +72,18 @@ class TableStore:
 
     # -- partitions ---------------------------------------------------------
 
+    def partitions(self, name: str) -> dict[date, list[int]]:
+        """Batch numbers stored per day."""
+        out: dict[date, list[int]] = {}
+        for day, batch in files.partitions(self.spark, self.path(name), "d", "batch"):
+            out.setdefault(date.fromisoformat(day), []).append(int(batch))
+        return {day: sorted(found) for day, found in out.items()}
+
     def days(self, name: str) -> list[date]:
-        return [
-            date.fromisoformat(n[2:]) for n in files.subdirs(self.spark, self.path(name), "d=")
-        ]
+        return sorted(self.partitions(name))
 
     def batches(self, name: str, day: date) -> list[int]:
-        found = files.subdirs(self.spark, f"{self.path(name)}/d={day}", "batch=")
-        return sorted(int(n.split("=", 1)[1]) for n in found)
+        return self.partitions(name).get(day, [])
 
     # -- writing ------------------------------------------------------------
 
@@ -110,15 +114,15 @@ class TableStore:
             .hint("rebalance", F.col("d"), F.col("batch"))
             .write.mode("overwrite").partitionBy("d", "batch").parquet(staged)
         )
-        old = [f"d={day}/batch={b}" for day in days for b in self.batches(name, day)]
+        stored = self.partitions(name)
+        old = [f"d={day}/batch={b}" for day in days for b in stored.get(day, [])]
         new = [
-            f"{day}/{b}"
-            for day in files.subdirs(self.spark, staged, "d=")
-            for b in files.subdirs(self.spark, f"{staged}/{day}", "batch=")
+            f"d={day}/batch={b}" for day, b in files.partitions(self.spark, staged, "d", "batch")
         ]
         files.swap(self.spark, staged, self.path(name), old, new)
+        left = self.partitions(name)
         for day in days:
-            if not self.batches(name, day):
+            if day not in left:
                 files.drop(self.spark, f"{self.path(name)}/d={day}")
 
     def drop_day(self, name: str, day: date) -> None:
@@ -162,8 +166,8 @@ class TableStore:
         """What one batch wrote, listing nothing but its own directories."""
         paths = [
             f"{self.path(name)}/d={day}/batch={batch}"
-            for day in self.days(name)
-            if batch in self.batches(name, day)
+            for day, found in self.partitions(name).items()
+            if batch in found
         ]
         if not paths:
             return None
@@ -181,8 +185,8 @@ class TableStore:
         rows = self.partials(name, low, high)
         at, columns = TABLES[name][1], TABLES[name][0].names
         batches = {
-            day: self.batches(name, day)
-            for day in self.days(name)
+            day: found
+            for day, found in self.partitions(name).items()
             if (not low or day >= utc(low).date()) and (not high or day <= utc(high).date())
         }
         open_days = [day for day, found in batches.items() if found != [COMPACTED]]

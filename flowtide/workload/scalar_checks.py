@@ -296,6 +296,14 @@ register(
            WHEN p_size <= 18 THEN 12 ELSE 24 END AS INT) AS detailed_hours,
          CAST(greatest(1, (p_partkey + 23) // 24) AS INT) AS stats_days FROM part""",
 )
+register(
+    "presets",
+    lambda i: i.table("part").select(
+        "p_partkey", "p_size", periods.presets_column(F.col("p_size")).alias("presets")
+    ),
+    """SELECT p_partkey, p_size,
+         array_to_string(list_filter([1, 3, 6, 12, 24], lambda h: h <= p_size), '/') AS presets FROM part""",
+)
 register(
     "route_tier",
     lambda i: i.flows.select(

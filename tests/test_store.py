@@ -207,3 +207,22 @@ def test_interface_names_and_oversized_requests(spark):
     assert [r.port for r in dimensions.valid_port_edits(ports).collect()] == [600]
     described = spark.createDataFrame([(6, 600, "y")], "proto int, port int, description string")
     assert dimensions.delete_port_descriptions(described, described).count() == 0
+
+
+def test_polled_device_names(spark):
+    from flowtide import schemas
+
+    known = spark.createDataFrame([("192.0.2.1", None, None, "old", "mine", None), ("192.0.2.2", None, None, "b", None, None)], schemas.EXPORTERS)
+    polls = spark.createDataFrame([("192.0.2.1/32", 'STRING: "gw"', "router 7.1")], "ip string, hostname string, sys_descr string")
+    rows = {r.ip: (r.hostname, r.custom_name, r.sys_descr) for r in dimensions.refresh_exporters(known, polls).collect()}
+    assert rows == {"192.0.2.1": ("gw", "mine", "router 7.1"), "192.0.2.2": ("b", None, None)}
+
+
+def test_storage_figures(store):
+    from flowtide.jobs import reports
+
+    fill(store, random_flows(100, 16), 1)
+    row = reports.storage(store.conversations()).first()
+    assert row.aggregated_flows == 100 and 0 < row.service_coverage <= 1
+    sizes = reports.table_bytes(store)
+    assert sizes["conversations"] > 0 and sizes["quarantine"] == 0
