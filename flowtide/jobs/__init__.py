@@ -1,5 +1,5 @@
 """Maintenance jobs over the table store.
 
-They rewrite whole day partitions through a staged swap and are meant to run
+Those that rewrite day partitions do so through a staged swap and are meant to run
 between micro-batches, for instance from the driver that runs the stream.
 """

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import math
-from datetime import date, datetime, timedelta
-from functools import partial
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowtide.catalogs import DETAILED_HOURS, STATS_DAYS_RANGE
-from flowtide.functions import buckets
-from flowtide.operators import condense
-from flowtide.operators.filters import BUCKET, instant, utc
-from flowtide.session import together
+from flowtide.operators.filters import BUCKET, utc
 from flowtide.sources.store import EVENT_TABLES, TableStore
 
 
@@ -46,53 +42,23 @@ def checked(raw_hours: int, stats_days: int) -> tuple[int, int]:
     return raw_hours, stats_days
 
 
-def unexpired(partials: DataFrame, cutoff: datetime) -> DataFrame:
-    """Stored conversation rows whose conversation was last seen at or after the cutoff.
-
-    Only the five-minute bucket the cutoff falls into needs its conversations
-    merged to know; all other buckets are entirely kept or entirely dropped.
-    """
-    edge = buckets.five_minutes(instant(cutoff))
-    later = partials.filter(F.col("bucket_start") > edge)
-    at_edge = partials.filter(F.col("bucket_start") == edge)
-    alive = condense.merge(at_edge).filter(F.col("last_seen") >= instant(cutoff))
-    keys = alive.select(*(F.col(c).alias(f"k_{c}") for c in condense.KEY))
-    same = F.lit(True)
-    for column in condense.KEY:
-        same = same & F.col(column).eqNullSafe(F.col(f"k_{column}"))
-    return later.unionByName(at_edge.join(keys, same, "left_semi"))
-
-
-def _expire(store: TableStore, name: str, cutoff: datetime, slack: timedelta, keep) -> None:
-    """Drop days that are over, rewrite those the cutoff may reach into."""
-    oldest_kept = utc(cutoff - slack).date()
+def _expire(store: TableStore, name: str, cutoff: datetime, slack: timedelta = timedelta(0)) -> None:
+    """Hide what is older than the cutoff and drop the days that lie before it."""
+    store.set_horizon(name, cutoff)
+    first_kept = (cutoff - slack).date()
     for day in store.days(name):
-        if day < oldest_kept:
+        if day < first_kept:
             store.drop_day(name, day)
-    edge: list[date] = [d for d in store.days(name) if oldest_kept <= d <= utc(cutoff).date()]
-    if edge:
-        rows = store.partials(name).filter(F.col("d").isin(edge))
-        store.replace_days(name, keep(rows), edge)
 
 
 def expire_conversations(store: TableStore, as_of: datetime, hours: int) -> None:
-    cutoff = utc(as_of) - timedelta(hours=max(1, hours))
-    # A bucket reaches at most five minutes past its start.
-    _expire(store, "conversations", cutoff, BUCKET, lambda rows: unexpired(rows, cutoff))
+    """Remove conversations last seen before the cutoff, each as a whole."""
+    _expire(store, "conversations", utc(as_of) - timedelta(hours=max(1, hours)), BUCKET)
 
 
 def expire_statistics(store: TableStore, as_of: datetime, days: int) -> None:
     """Statistics and all six rollups."""
     cutoff = utc(as_of) - timedelta(days=max(1, days))
-
-    def expire(name: str, at: str) -> None:
-        _expire(store, name, cutoff, timedelta(0), lambda rows: rows.filter(F.col(at) >= instant(cutoff)))
-
-    together(
-        store.spark,
-        [
-            partial(expire, name, at)
-            for name, (_, at) in EVENT_TABLES.items()
-            if name != "conversations"
-        ],
-    )
+    for name in EVENT_TABLES:
+        if name != "conversations":
+            _expire(store, name, cutoff)

@@ -49,6 +49,23 @@ def size(spark: SparkSession, path: str) -> int:
     return _fs(spark, path).getContentSummary(_path(spark, path)).getLength()
 
 
+def latest_mark(spark: SparkSession, path: str) -> int | None:
+    """The highest number a folder was marked with."""
+    if not exists(spark, path):
+        return None
+    found = _fs(spark, path).listStatus(_path(spark, path))
+    return max((int(status.getPath().getName()) for status in found), default=None)
+
+
+def mark(spark: SparkSession, path: str, number: int) -> None:
+    """Mark a folder with a number: one empty file, so the step is atomic."""
+    fs = _fs(spark, path)
+    fs.create(_path(spark, f"{path}/{number}"), True).close()
+    for status in fs.listStatus(_path(spark, path)):
+        if int(status.getPath().getName()) < number:
+            fs.delete(status.getPath(), False)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 

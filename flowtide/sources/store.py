@@ -5,13 +5,16 @@ place. ``d`` (UTC day of the bucket) prunes scans; ``batch`` lets a replayed
 batch overwrite exactly what it wrote before. Compaction folds finished batches
 of a day into ``batch=-1``; those rows are merged already and are read without
 a shuffle as far as no later batch has touched their buckets.
+
+Retention never rewrites data: whole days are dropped, and a horizon per table
+hides what is left over on the day it falls into until compaction removes it.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +22,11 @@ from pyspark.sql import types as T
 
 from flowtide import schemas
 from flowtide.operators import condense, rollups
-from flowtide.operators.filters import between, utc
+from flowtide.operators.filters import BUCKET, between, instant, utc
 from flowtide.sources import files
 
 COMPACTED = -1
+UNIX_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 EVENT_TABLES = {
     "conversations": (schemas.CONVERSATION_PARTIALS, "bucket_start"),
@@ -137,6 +141,27 @@ class TableStore:
         ).write.parquet(f"{staged}/data")
         files.swap(self.spark, staged, self.path(name), ["data"], ["data"])
 
+    # -- retention ----------------------------------------------------------
+
+    def set_horizon(self, name: str, moment: datetime) -> None:
+        """Rows before a moment no longer exist for readers."""
+        micros = (utc(moment) - UNIX_EPOCH) // timedelta(microseconds=1)
+        files.mark(self.spark, f"{self.root}/_horizon/{name}", micros)
+
+    def horizon(self, name: str) -> datetime | None:
+        micros = files.latest_mark(self.spark, f"{self.root}/_horizon/{name}")
+        return None if micros is None else UNIX_EPOCH + timedelta(microseconds=micros)
+
+    def _lowest(self, name: str, low: datetime | None) -> datetime | None:
+        """The later of a lower bucket bound and the horizon. A conversation
+        may have been seen up to five minutes after its bucket began."""
+        horizon = self.horizon(name)
+        if horizon is None:
+            return low
+        if name == "conversations":
+            horizon -= BUCKET
+        return max(horizon, utc(low)) if low else horizon
+
     # -- reading ------------------------------------------------------------
 
     def dimension(self, name: str) -> DataFrame:
@@ -154,6 +179,7 @@ class TableStore:
         if not files.subdirs(self.spark, self.path(name), "d="):
             return self.spark.createDataFrame([], full)
         rows = self.spark.read.schema(full).parquet(self.path(name))
+        low = self._lowest(name, low)
         if low:
             rows = rows.filter(F.col("d") >= F.lit(utc(low).date()))
         if high:
@@ -182,7 +208,12 @@ class TableStore:
         Compacted rows are merged already. They take part in a merge only from
         the oldest bucket on that later batches of their day have touched.
         """
-        rows = self.partials(name, low, high)
+        rows = self._merged(name, low, high)
+        horizon = self.horizon(name) if name == "conversations" else None
+        return rows if horizon is None else rows.filter(F.col("last_seen") >= instant(horizon))
+
+    def _merged(self, name: str, low: datetime | None, high: datetime | None) -> DataFrame:
+        rows, low = self.partials(name, low, high), self._lowest(name, low)
         at, columns = TABLES[name][1], TABLES[name][0].names
         batches = {
             day: found
@@ -225,9 +256,9 @@ class TableStore:
         if not days:
             return None
         low = datetime(days[-1].year, days[-1].month, days[-1].day)
-        top = self.partials("conversations", low).agg(F.unix_micros(F.max("bucket_start"))).first()
-        micros = top[0]
-        return utc(datetime(1970, 1, 1)) + timedelta(microseconds=micros) if micros is not None else None
+        top = self.partials("conversations", low).agg(F.unix_micros(F.max("bucket_start")))
+        micros = top.first()[0]
+        return None if micros is None else UNIX_EPOCH + timedelta(microseconds=micros)
 
     @property
     def exporters(self) -> DataFrame:

@@ -111,12 +111,21 @@ def test_day_partitions_prune(spark, store):
 def test_retention_keeps_whole_conversations(store):
     flows = random_flows(800, 12)
     fill(store, flows)
-    as_of = flows[-1]["received_at"] + timedelta(minutes=30)
+    as_of = flows[-1]["received_at"] + timedelta(minutes=45)
     cutoff = as_of - timedelta(hours=1)
     retention.expire_conversations(store, as_of, 1)
     want = {k: v for k, v in conversations(flows).items() if v["last_seen"] >= cutoff}
     assert 0 < len(want) < len(conversations(flows))
     check(found(store.conversations()), want)
+    # Compaction removes the hidden buckets; what readers see stays the same.
+    hidden = F.col("bucket_start") < F.lit(cutoff - timedelta(minutes=5))
+    stored = store.spark.read.parquet(store.path("conversations"))
+    assert stored.filter(hidden).count() > 0
+    for day in store.days("conversations"):
+        compact.compact_day(store, "conversations", day)
+    stored = store.spark.read.parquet(store.path("conversations"))
+    assert stored.filter(hidden).count() == 0
+    check(found(store.conversations()), want)
 
 
 def test_retention_drops_days(store):
