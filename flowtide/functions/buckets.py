@@ -39,5 +39,5 @@ def hour(ts: Column) -> Column:
 
 def nanos_to_timestamp(nanos: Column) -> Column:
     """Nanoseconds since the epoch; zero and below mean unknown."""
-    micros = F.call_function("div", nanos, F.lit(1000).cast("long"))
-    return F.when(nanos > 0, F.timestamp_micros(micros))
+    known = F.nullif(F.greatest(nanos, F.lit(0)), F.lit(0))
+    return F.timestamp_micros(F.call_function("div", known, F.lit(1000).cast("long")))

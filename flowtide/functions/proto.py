@@ -15,13 +15,15 @@ def _literal_map(entries: dict) -> Column:
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(entries.items())))
 
 
+def spelled_protocol(text: Column) -> Column:
+    """Number of a known spelling."""
+    name = F.translate(F.upper(strip(text)), "_", "-")
+    return F.try_element_at(_literal_map(PROTOCOL_SPELLINGS), name)
+
+
 def protocol_from_text(text: Column) -> Column:
     """Number for decimal text or a known spelling; anything else is NULL."""
-    bare = strip(text)
-    name = F.translate(F.upper(bare), "_", "-")
-    return F.coalesce(
-        bare.try_cast("int"), F.try_element_at(_literal_map(PROTOCOL_SPELLINGS), name)
-    )
+    return F.coalesce(spelled_protocol(text), strip(text).try_cast("int"))
 
 
 def protocol_name(proto: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowtide.functions.buckets import nanos_to_timestamp
-from flowtide.functions.proto import protocol_from_text
+from flowtide.functions.proto import spelled_protocol
 
 
 def _path(field: str) -> str:
@@ -37,8 +37,10 @@ def flow_type_field(record: Column, field: str = "type") -> Column:
 
 
 def protocol_field(record: Column, field: str = "proto") -> Column:
+    # Names first: they are the usual case, and reading one as a number is a
+    # failed cast, which is slow.
     return F.coalesce(
-        int_field(record, field, "int"), protocol_from_text(text_field(record, field))
+        spelled_protocol(text_field(record, field)), int_field(record, field, "int")
     )
 
 
@@ -57,7 +59,8 @@ def _counts_as_absent(record: Column, field: str) -> Column:
 
 def flow_time_field(record: Column, first: str, second: str) -> Column:
     """Timestamp of the first nanosecond field that holds something."""
-    nanos = F.when(_counts_as_absent(record, first), int_field(record, second)).otherwise(
-        int_field(record, first)
+    nanos = int_field(record, first)
+    nanos = F.when(nanos != 0, nanos).when(
+        _counts_as_absent(record, first), int_field(record, second)
     )
     return nanos_to_timestamp(nanos)

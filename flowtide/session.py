@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -50,8 +49,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = os.environ.get("FLOWTIDE_SCRATCH") or tempfile.gettempdir()
-        return tempfile.mkdtemp(prefix=f"flowtide-{name}-", dir=base)
+        return tempfile.mkdtemp(prefix=f"flowtide-{name}-")
     unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{base.rstrip('/')}/flowtide-{name}-{unique}"
 
