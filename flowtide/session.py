@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -40,18 +40,15 @@ def build_session(app: str = "flowtide", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory all executors can reach.
+    """A fresh directory that all executors can reach, on any master.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session has
-    one; a temporary folder of this machine serves local mode only.
+    It lies in the folder named by ``spark.checkpoint.dir``, else below the
+    warehouse, and never in a folder of one machine's own choosing.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        return tempfile.mkdtemp(prefix=f"flowtide-{name}-")
-    unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/flowtide-{name}-{unique}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/flowtide-{name}-{uuid.uuid4()}"
 
 
 def together(spark: SparkSession, jobs: Iterable[Callable[[], None]], most: int = 8) -> None:
