@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import quality_rules
+from flowtide.llm import license_scan, mixing, quality_rules
 from flowtide.llm.work import read
 from flowtide.session import prepare
 
@@ -67,3 +67,77 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.failed(quality_rules.PRODUCTION)).alias("kept"),
         *(at(n).alias(n) for n in ("n_lines", "n_upper", "fail_bits")),
     )
+
+
+def _sql_templates() -> str:
+    rows = []
+    for number, t in enumerate(license_scan.TEMPLATES):
+        listed = ", ".join(f"'{w}'" for w in t.words)
+        rows.append(f"({number}, '{t.label}', {str(t.phrase).lower()}, [{listed}], {[i + 1 for i in t.needed]})")
+    return ", ".join(rows)
+
+
+OP1_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tpl(tid, label, phrase, words, needed) AS (VALUES {_sql_templates()}),
+p AS (SELECT r, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+c AS (SELECT r, w, tid, label, phrase, words, needed, i - needed[1] + 1 AS s FROM p JOIN tpl ON word = words[needed[1]]),
+m AS (SELECT r, label, phrase, s, len(list_filter(range(1, len(words) + 1), lambda j: s + j > 1 AND w[s + j - 1] = words[j])) / len(words) AS share
+      FROM c WHERE len(list_filter(needed, lambda j: s + j > 1 AND w[s + j - 1] = words[j])) = len(needed)),
+g AS (SELECT r, count(*) FILTER (phrase) AS n_base, min(s) FILTER (phrase) - 1 AS first_word, max(s) FILTER (phrase) - 1 AS last_word,
+        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+        coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, max(share) AS score
+      FROM m WHERE share >= {license_scan.MIN_SHARE} GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM t LEFT JOIN g USING (r)
+"""
+
+
+@query("op1_license_scan", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = license_scan.scan(docs).select("doc_id", f"{license_scan.SCAN}.*")
+    phrases = [n for n, t in enumerate(license_scan.TEMPLATES) if t.phrase]
+    rows = rows.withColumn("base", F.filter("matches", lambda m: m["template"].isin(phrases)))
+    place = F.transform("base", lambda m: m["start"])
+    return rows.select(
+        "doc_id", "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(place).cast("bigint").alias("first_word"),
+        F.array_max(place).cast("bigint").alias("last_word"),
+        license_scan.labels(F.col("base")).alias("base_labels"),
+        license_scan.labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce(text, '')) AS key FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM src),
+lv AS (SELECT *, (budget - coalesce(sum(2 * source_size) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS lam
+       FROM w WINDOW o AS (ORDER BY 2 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(lam, (2 * source_size / weight, place)) AS level FROM lv WHERE lam * weight <= 2 * source_size),
+s AS (SELECT w.*, CASE WHEN level * weight > 2 * source_size THEN (2 * source_size)::DOUBLE ELSE level * weight END AS target FROM w, level),
+k AS (SELECT source, key, sum(size)::BIGINT AS size FROM d GROUP BY ALL),
+cum AS (SELECT k.*, s.place, s.source_size, s.target, s.budget, sum(k.size) OVER (PARTITION BY s.place ORDER BY key) AS cum
+        FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source),
+line AS (SELECT *, CASE WHEN target > 0 THEN (cum + round * source_size)::DOUBLE / target ELSE 0 END AS finish FROM cum, range(0, 2) AS g(round)),
+cut AS (SELECT *, sum(size) OVER (ORDER BY finish, place, round, key ROWS UNBOUNDED PRECEDING) AS upto FROM line),
+n AS (SELECT place, key, count(*) FILTER (upto <= budget) AS copies FROM cut GROUP BY ALL)
+SELECT doc_id, d.size, s.source_size, s.target, (d.size * copies)::BIGINT AS taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN n ON n.place = s.place AND n.key = d.key
+"""
+
+
+@query("op2_mixing", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.mix(docs)
+    return rows.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target",
+        (F.col("mix.size") * F.col("mix.copies")).cast("bigint").alias("taken"),
+    )
