@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import license_scan, mixing, quality_rules
+from flowtide.llm import exact_topk, license_scan, mixing, packing, quality_rules
 from flowtide.llm.work import read
 from flowtide.session import prepare
 
@@ -141,3 +141,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "mix.size", "mix.source_size", "mix.target",
         (F.col("mix.size") * F.col("mix.copies")).cast("bigint").alias("taken"),
     )
+
+
+def tokenizer_path() -> str:
+    """The vocabulary that the packing query uses; packing itself takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path())
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op10_exact_topk", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.top_k(rows, F.col("vec_id") % 50 == 0)
