@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import exact_topk, license_scan, mixing, packing, quality_rules
-from flowtide.llm.work import read
+from flowtide.llm import exact_topk, license_scan, mixing, packing, quality_rules, substring_dedup
+from flowtide.llm.work import read, words
 from flowtide.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,34 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, i + k AS i FROM win JOIN low USING (h), range(0, 13) AS g(k) WHERE low < doc_id),
+per AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
+FROM t LEFT JOIN per USING (r)
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lossy = substring_dedup.repeated(docs)
+    lost = substring_dedup.digests(lossy).dropDuplicates(["id", "th"]).alias("lost")
+    own = words(F.col("text"))
+    rows = substring_dedup.keyed(docs).select(
+        "id", "th", F.size(own).cast("bigint").alias("n_words"), F.sha2(F.array_join(own, " ").cast("binary"), 256).alias("sha")
+    ).alias("own")
+    both = rows.join(lost, (F.col("own.id") == F.col("lost.id")) & (F.col("own.th") == F.col("lost.th")), "left")
+    return both.select(
+        F.when(F.col("own.id") != int(substring_dedup.LAST), F.col("own.id")).alias("doc_id"), "n_words",
+        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )
