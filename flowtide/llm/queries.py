@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import exact_topk, license_scan, mixing, packing, quality_rules, substring_dedup
+from flowtide.llm import exact_topk, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup
 from flowtide.llm.work import read, words
 from flowtide.session import prepare
 
@@ -201,3 +201,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
     )
+
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM t),
+nodes AS (SELECT s, min(doc_id) AS least FROM s WHERE len(s) > 0 GROUP BY s),
+post AS (SELECT least, len(s) AS n, unnest(s) AS x FROM nodes),
+df AS (SELECT x, count(*) AS df FROM post GROUP BY x HAVING count(*) > 1),
+ranked AS (SELECT least, n, x, row_number() OVER (PARTITION BY least ORDER BY coalesce(df, 1), x) AS k, df FROM post LEFT JOIN df USING (x)),
+pre AS (SELECT least, n, x FROM ranked WHERE df > 1 AND k <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.least AS a, b.least AS b FROM pre a JOIN pre b ON a.x = b.x AND a.least < b.least AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+link AS (SELECT a, b FROM cand JOIN nodes p ON p.least = a JOIN nodes q ON q.least = b
+         WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+comp AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(root, least, doc_id) AS component_id, doc_id = coalesce(root, least, doc_id) AS kept
+FROM s LEFT JOIN nodes ON nodes.s = s.s LEFT JOIN comp ON comp.a = nodes.least
+"""
+
+
+@query("op7_minhash_dedup", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = minhash_dedup.classes(docs)
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+    )
