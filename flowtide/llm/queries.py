@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import exact_topk, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup
+from flowtide.llm import exact_topk, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup
 from flowtide.llm.work import read, words
 from flowtide.session import prepare
 
@@ -231,3 +231,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
     )
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lossy = suffix_dedup.repeated(docs, keep_first=False)
+    lost = suffix_dedup.cleaned(lossy).dropDuplicates(["id", "th"]).select(
+        "id", "th", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    ).alias("lost")
+    rows = substring_dedup.keyed(docs).select(
+        "id", "th", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")
+    ).alias("own")
+    both = rows.join(lost, (F.col("own.id") == F.col("lost.id")) & (F.col("own.th") == F.col("lost.th")), "left")
+    return both.select(
+        F.when(F.col("own.id") != int(substring_dedup.LAST), F.col("own.id")).alias("doc_id"), "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )
