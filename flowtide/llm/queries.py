@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import exact_topk, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup
+from flowtide.llm import (
+    exact_topk,
+    license_scan,
+    lm_scoring,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+)
 from flowtide.llm.work import read, words
 from flowtide.session import prepare
 
@@ -250,3 +261,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
     )
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return lm_scoring.score(docs, labels, (F.col("quality") == 1) & (F.col("toxic") == 0))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.classify(docs, labels, F.col("quality") == 1)
