@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.work import WHITE, words
+from flowtide.llm.work import WHITE, fresh, words
 
 LEDGER = "ledger"
 WINDOW = 3
@@ -123,7 +123,10 @@ def accept(docs: DataFrame, version: int = PRODUCTION, text: str = "text") -> Da
     """The rows of ``docs`` that the policy keeps, columns unchanged."""
     had = docs.columns
     inner = docs.withColumnRenamed(LEDGER, "_had_ledger") if LEDGER in had else docs
-    rows = ledger(inner, text).filter(~failed(version)).drop(LEDGER)
+    # A filter does not move below a projection that is not deterministic. Moved, it would repeat
+    # the expression of every measurement inside the lambdas of the others.
+    stay = fresh(had, "_stay")
+    rows = ledger(inner, text).withColumn(stay, F.rand(0)).filter(~failed(version) & (F.col(stay) >= 0)).drop(LEDGER, stay)
     return rows.withColumnRenamed("_had_ledger", LEDGER).select(*had) if LEDGER in had else rows
 
 
