@@ -51,9 +51,9 @@ FROM (SELECT *, (event_id * 7) % 24 AS t FROM events) e
 """
 
 EXPORTERS_SQL = """
-SELECT '192.0.2.' || CAST(1 + s_suppkey AS {S}) AS ip, s_name AS hostname,
-       CASE WHEN s_suppkey = 1 THEN 'core-router' END AS custom_name
-FROM supplier WHERE s_suppkey < 3
+SELECT '192.0.' || CAST(2 + CAST(floor(s_suppkey / 250) AS INT) AS {S}) || '.' || CAST(1 + s_suppkey % 250 AS {S}) AS ip,
+       s_name AS hostname, CASE WHEN s_suppkey = 1 THEN 'core-router' END AS custom_name
+FROM supplier
 """
 
 INTERFACES_SQL = """
@@ -63,12 +63,13 @@ SELECT '192.0.2.' || CAST(1 + n_nationkey % 3 AS {S}) AS exporter,
        n_name AS if_descr,
        CASE WHEN n_nationkey % 5 = 0 THEN 'uplink-' || CAST(n_regionkey AS {S}) END AS if_alias,
        CASE WHEN n_nationkey = 5 THEN 'edge-port' END AS custom_name
-FROM nation WHERE n_nationkey < 9
+FROM nation
 """
 
 IP_NAMES_SQL = """
-SELECT '198.51.100.' || CAST(c_custkey + 1 AS {S}) AS ip, c_name AS name
-FROM customer WHERE c_custkey < 4
+SELECT '198.51.' || CAST(100 + CAST(floor(c_custkey / 250) AS INT) AS {S}) || '.' || CAST(1 + c_custkey % 250 AS {S}) AS ip,
+       c_name AS name
+FROM customer
 """
 
 DNS_CACHE_SQL = """
@@ -82,7 +83,7 @@ FROM part GROUP BY 1
 PORT_DESCRIPTIONS_SQL = """
 SELECT CAST(CASE WHEN p_partkey % 4 = 1 THEN 17 ELSE 6 END AS INT) AS proto,
        CAST(1 + (p_partkey + 65534) % 65535 AS INT) AS port, max(p_brand) AS description
-FROM part WHERE p_partkey % 7 <> 2 AND p_partkey > 0 GROUP BY 1, 2
+FROM part GROUP BY 1, 2
 """
 
 EPOCH = datetime(2024, 1, 1)
