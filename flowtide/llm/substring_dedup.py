@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from flowtide.llm.tokens import Words, packed, pieces, rising, risen, runs, spread, unpacked
+from flowtide.llm.tokens import Words, answer, document_cells, merged_answers, packed, pieces, rising, risen, runs, spread, unpacked
 from flowtide.llm.work import shards, stored, text_bytes
 
 WINDOW = 13
@@ -36,6 +37,7 @@ COVER = (0, 1, 3)  # every difference modulo 7 is the difference of two of these
 BLOCK = 1_000_000
 LAST = np.iinfo(np.int64).max
 KEYED = "id bigint, th bigint"
+ASKED = "shard int, block bigint, blob binary"
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -68,37 +70,31 @@ class _Block:
         return h[order], (more[order] if self.wide else more), doc[order], at[order], ids, ths
 
 
-def _per_document(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    begins = runs(doc)
-    for lo, hi in zip(begins, np.append(begins[1:], len(doc))):
-        yield int(ids[doc[lo]]), int(ths[doc[lo]]), packed(rising(np.unique(at[lo:hi]).astype(np.uint32)))
-
-
-def _flush(block: _Block, count: int, ask: bool, settle) -> Iterator[tuple]:
+def _flush(block: _Block, count: int, ask: bool, settle, number: int) -> Iterator[pa.RecordBatch]:
     """Either the block's own findings per document, or its entries per shard."""
     if not block.size:
         return
     h, more, doc, at, ids, ths = block.sorted()
     begins = runs(h, more) if block.wide else runs(h)
-    own = ids[doc]
-    local, open_, known = settle(own, begins, len(h))
+    local, open_, known = settle(ids[doc], begins, len(h))
     if not ask:
-        yield from _per_document(ids, ths, doc[local], at[local])
+        yield document_cells(ids, ths, doc[local], at[local])
         return
     # One entry stands for a hash that the block has settled (no document waits for it).
-    sent = open_ | known
-    shard = (h >> np.uint64(32)) % np.uint64(count)
-    doc = np.where(known & ~open_, -1, doc)
-    for s in range(count):
-        take = np.flatnonzero(sent & (shard == s))
-        if not len(take):
-            continue
-        used = np.unique(doc[take])
-        used = used[used >= 0]
-        ref = np.where(doc[take] >= 0, np.searchsorted(used, doc[take]), -1).astype(np.int32)
-        yield s, packed(rising(h[take]), more[take] if block.wide else more[:0], ref, at[take], ids[used], ths[used])
+    sent = np.flatnonzero(open_ | known)
+    shard = ((h[sent] >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    sent, shard = sent[order], shard[order]
+    begins = runs(shard)
+    cells = []
+    for a, b in zip(begins, np.append(begins[1:], len(sent))):
+        take = sent[a:b]
+        used, ref = np.unique(doc[take], return_inverse=True)
+        ref = np.where(open_[take], ref, -1).astype(np.int32)
+        cells.append(packed(rising(h[take]), more[take] if block.wide else more[:0], ref, at[take], ids[used], ths[used]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(shard[begins], pa.int32()), pa.array(np.full(len(begins), number)), pa.array(cells, pa.binary())], names=["shard", "block", "blob"]
+    )
 
 
 def _anchors_settled(own: np.ndarray, begins: np.ndarray, n: int):
@@ -118,68 +114,62 @@ def _windows_settled(own: np.ndarray, begins: np.ndarray, n: int):
 
 def _entries(rows: DataFrame, make, wide: bool, count: int, ask: bool, settle) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(wide)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            got = list(_flush(block, count, ask, settle))
-            if got:
-                columns = list(zip(*got))
-                kinds = [pa.int32(), pa.binary()] if ask else [pa.int64(), pa.int64(), pa.binary()]
-                names = ["shard", "blob"] if ask else ["id", "th", "places"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
+        block, number = _Block(wide), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch):
                 make(block, part)
                 if block.size >= BLOCK:
-                    yield from out()
-                    block = _Block(wide)
-        yield from out()
+                    yield from _flush(block, count, ask, settle, number)
+                    block, number = _Block(wide), number + 1
+        yield from _flush(block, count, ask, settle, number)
 
-    return rows.mapInArrow(run, "shard int, blob binary" if ask else f"{KEYED}, places binary")
+    return rows.mapInArrow(run, ASKED if ask else f"{KEYED}, cell binary")
 
 
 def _answers(asked: DataFrame, wide: bool, windows: bool) -> DataFrame:
-    """Per shard: which entries' hashes other documents hold too (anchors), or smaller ids hold (windows)."""
+    """Which entries' hashes other documents hold too (anchors), or smaller ids hold (windows); back per block, then per document."""
 
     def run(key, table):  # untyped: hints as text are not understood here
-        hs, ms, refs, ats, ids, ths, base = [], [], [], [], [], [], 0
-        for blob in table["blob"]:
+        cells, base = [], 0
+        for n, blob in enumerate(table["blob"]):
             h, m, ref, at, i, t = unpacked(blob.as_py())
-            hs.append(risen(h)), ms.append(m), ats.append(at), ids.append(i), ths.append(t)
-            refs.append(np.where(ref >= 0, ref + base, -1).astype(np.int64))
+            cells.append((risen(h), m, np.where(ref >= 0, ref + base, -1).astype(np.int64), at, np.full(len(h), n, np.int32), i, t))
             base += len(i)
-        h, m, ref, at = (np.concatenate(x) for x in (hs, ms, refs, ats))
-        ids, ths = np.concatenate(ids), np.concatenate(ths)
-        hs = ms = refs = ats = None
+        h, m, ref, at, source, ids, ths = (np.concatenate(c) for c in zip(*cells))
+        cells = None
         order = np.lexsort((m, h)) if wide else np.argsort(h, kind="stable")
-        h, ref, at = h[order], ref[order], at[order]
+        h, ref, at, source = h[order], ref[order], at[order], source[order]
         begins = runs(h, m[order]) if wide else runs(h)
         known = ref < 0
-        if len(ids):
-            own = np.where(known, LAST, ids[np.maximum(ref, 0)])
-        else:
-            own = np.full(len(ref), LAST)
+        own = np.where(known, LAST, ids[np.maximum(ref, 0)])
         low = np.minimum.reduceat(own, begins)
         if windows:
             hit = own > spread(low, begins, len(h))
         else:
-            high = np.maximum.reduceat(np.where(known, low.min(initial=0) - 1, own), begins)
-            many = (low < high) | np.logical_or.reduceat(known, begins)
-            hit = spread(many, begins, len(h))
-        hit &= ~known
-        got = list(_per_document(ids, ths, ref[hit], at[hit]))
-        columns = list(zip(*got)) if got else [[], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "th", "places"])
+            high = np.maximum.reduceat(np.where(known, np.iinfo(np.int64).min, own), begins)
+            hit = spread((low < high) | np.logical_or.reduceat(known, begins), begins, len(h))
+        hit = np.flatnonzero(hit & ~known)
+        hit = hit[np.argsort(source[hit], kind="stable")]
+        begins = runs(source[hit])
+        got = [answer(ids, ths, ref[hit[a:b]], at[hit[a:b]]) for a, b in zip(begins, np.append(begins[1:], len(hit)))]
+        return pa.table([table["block"].take(pa.array(source[hit[begins]])), pa.array(got, pa.binary())], names=["block", "blob"])
+
+    found = asked.groupBy("shard").applyInArrow(run, "block bigint, blob binary")
+    return per_document(found)
+
+
+def per_document(found: DataFrame) -> DataFrame:
+    """Answers (block, blob) as rows (id, th, cell)."""
+
+    def run(key, table):  # untyped: hints as text are not understood here
+        return pa.Table.from_batches([merged_answers(table["blob"].to_pylist())])
 
-    return asked.groupBy("shard").applyInArrow(run, f"{KEYED}, places binary")
+    return found.groupBy("block").applyInArrow(run, f"{KEYED}, cell binary")
 
 
-def _gathered(*parts: DataFrame) -> DataFrame:
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("id", "th").agg(F.collect_list("places").alias("places"))  # bounded by the document
+def gathered(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    rows = one.unionByName(other).groupBy("id", "th").agg(F.collect_list("cell").alias(name))  # bounded by the document
+    return rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), name)
 
 
 def _places(cell: pa.Scalar) -> np.ndarray:
@@ -201,7 +191,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     count = shards(size)
     one = _entries(rows, anchors, False, count, False, _anchors_settled)
     asked = _entries(rows, anchors, False, count, True, _anchors_settled)
-    anchored = _gathered(one, _answers(asked, False, False)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "places")
+    anchored = gathered(one, _answers(asked, False, False), "places")
     near = stored(
         rows.join(anchored, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "places"),
         "substring-candidates",
@@ -222,7 +212,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     count = shards(2 * held)
     one = _entries(near, windows, True, count, False, _windows_settled)
     asked = _entries(near, windows, True, count, True, _windows_settled)
-    removed = _gathered(one, _answers(asked, True, True)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "places")
+    removed = gathered(one, _answers(asked, True, True), "places")
     own = near.select("id", "th", "text")
     return own.join(removed, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "places")
 

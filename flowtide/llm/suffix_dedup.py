@@ -31,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from flowtide.llm.substring_dedup import KEYED, keyed
-from flowtide.llm.tokens import Rolling, byte_values, packed, pieces, rising, risen, runs, spread, text_bytes, unpacked
+from flowtide.llm.substring_dedup import ASKED, KEYED, gathered, keyed, per_document
+from flowtide.llm.tokens import Rolling, answer, byte_values, document_cells, packed, pieces, rising, risen, runs, spread, text_bytes, unpacked
 from flowtide.llm.work import shards, stored
 from flowtide.llm.work import text_bytes as total_bytes
 
+CELLS = f"{KEYED}, cell binary"
 LENGTH = 400
 GRAM = 48
 BLOCK = 400_000  # anchors settled together
@@ -125,35 +127,28 @@ def smaller_neighbour(position: np.ndarray, run: np.ndarray) -> np.ndarray:
     return found
 
 
-def _spans(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, lo: np.ndarray, many: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Removed windows per document: first starts and how many follow."""
-    order = np.lexsort((lo, doc))
-    doc, lo, many = doc[order], lo[order], many[order]
-    begins = runs(doc)
-    return [
-        (int(ids[doc[a]]), int(ths[doc[a]]), packed(rising(lo[a:b].astype(np.uint32)), many[a:b].astype(np.uint32)))
-        for a, b in zip(begins, np.append(begins[1:], len(doc)))
-    ]
+def _shard_rows(shard: np.ndarray, number: int, make) -> pa.RecordBatch:
+    order = np.argsort(shard, kind="stable")
+    begins = runs(shard[order])
+    cells = [make(order[a:b]) for a, b in zip(begins, np.append(begins[1:], len(order)))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard[order[begins]].astype(np.int32)), pa.array(np.full(len(begins), number)), pa.array(cells, pa.binary())], names=["shard", "block", "blob"]
+    )
 
 
-SPANS = f"{KEYED}, spans binary"
-
-
-def _span_batch(got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*got)) if got else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "th", "spans"])
-
-
-def _shard_rows(shard: np.ndarray, count: int, make) -> Iterator[pa.RecordBatch]:
-    got = [(s, make(np.flatnonzero(shard == s))) for s in range(count) if (shard == s).any()]
-    if got:
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["shard", "blob"])
+def _by_block(table: pa.Table, source: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """Findings for documents, as one answer per block that asked."""
+    order = np.argsort(source[doc], kind="stable")
+    from_ = source[doc][order]
+    begins = runs(from_)
+    got = [answer(ids, ths, doc[order[a:b]], *(v[order[a:b]] for v in values)) for a, b in zip(begins, np.append(begins[1:], len(order)))]
+    return pa.table([table["block"].take(pa.array(from_[begins])), pa.array(got, pa.binary())], names=["block", "blob"])
 
 
 def _anchors(rows: DataFrame, length: int, count: int, ask: bool) -> DataFrame:
     """Which zones' anchors occur again: settled within the block, or asked of the shards."""
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
         base, cells = 0, []
         for ids, ths, z in held:
             cells.append((z.anchor, z.doc + base, z.lo))
@@ -165,8 +160,7 @@ def _anchors(rows: DataFrame, length: int, count: int, ask: bool) -> DataFrame:
         begins = runs(h)
         many = spread(np.diff(np.append(begins, len(h))) > 1, begins, len(h))
         if not ask:
-            if many.any():
-                yield _span_batch(_spans(ids, ths, doc[many], lo[many], np.ones(int(many.sum()), np.int64)))
+            yield document_cells(ids, ths, doc[many], lo[many], np.ones(int(many.sum()), np.int64))
             return
         first = np.zeros(len(h), bool)
         first[begins] = True
@@ -176,10 +170,10 @@ def _anchors(rows: DataFrame, length: int, count: int, ask: bool) -> DataFrame:
             used, ref = np.unique(doc[take], return_inverse=True)
             return packed(rising(h[take]), np.where(known[take], -1, ref).astype(np.int32), lo[take].astype(np.uint32), ids[used], ths[used])
 
-        yield from _shard_rows((h >> np.uint64(32)) % np.uint64(count), count, make)
+        yield _shard_rows((h >> np.uint64(32)) % np.uint64(count), number, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch):
                 z = Zones(part["text"], length)
@@ -187,29 +181,29 @@ def _anchors(rows: DataFrame, length: int, count: int, ask: bool) -> DataFrame:
                 held.append((np.asarray(part["id"]), np.asarray(part["th"]), z))
                 size += len(z.start)
                 if size >= BLOCK:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, number)
+                    held, size, number = [], 0, number + 1
         if size:
-            yield from flush(held)
+            yield from flush(held, number)
 
-    return rows.mapInArrow(run, "shard int, blob binary" if ask else SPANS)
+    return rows.mapInArrow(run, ASKED if ask else CELLS)
 
 
 def _anchor_answers(asked: DataFrame) -> DataFrame:
     def run(key, table):  # untyped: hints as text are not understood here
         cells, base = [], 0
-        for blob in table["blob"]:
+        for n, blob in enumerate(table["blob"]):
             h, ref, lo, ids, ths = unpacked(blob.as_py())
-            cells.append((risen(h), np.where(ref >= 0, ref + base, -1).astype(np.int64), lo, ids, ths))
+            cells.append((risen(h), np.where(ref >= 0, ref + base, -1).astype(np.int64), lo, ids, ths, np.full(len(ids), n)))
             base += len(ids)
-        h, ref, lo, ids, ths = (np.concatenate(c) for c in zip(*cells))
+        h, ref, lo, ids, ths, source = (np.concatenate(c) for c in zip(*cells))
         order = np.argsort(h, kind="stable")
         h, ref, lo = h[order], ref[order], lo[order]
         begins = runs(h)
         hit = spread(np.diff(np.append(begins, len(h))) > 1, begins, len(h)) & (ref >= 0)
-        return pa.Table.from_batches([_span_batch(_spans(ids, ths, ref[hit], lo[hit], np.ones(int(hit.sum()), np.int64)) if hit.any() else [])])
+        return _by_block(table, source, ids, ths, ref[hit], lo[hit], np.ones(int(hit.sum()), np.int64))
 
-    return asked.groupBy("shard").applyInArrow(run, SPANS)
+    return per_document(asked.groupBy("shard").applyInArrow(run, "block bigint, blob binary"))
 
 
 def _cells(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +225,7 @@ def _later(content: tuple[np.ndarray, ...], ids: np.ndarray, lo: np.ndarray, row
 def _zones(near: DataFrame, length: int, count: int, ask: bool, keep_first: bool) -> DataFrame:
     """Zones with repeated anchors: copies within the block are settled, one zone per content is asked of the shards."""
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
         base, cells, texts = 0, [], []
         for ids, ths, z, at, digest in held:
             cells.append((z.anchor, digest, z.doc + base, z.lo, z.windows))
@@ -242,10 +236,8 @@ def _zones(near: DataFrame, length: int, count: int, ask: bool, keep_first: bool
         order, begins, later = _later((digest, anchor), ids[doc], lo, doc)
         many = spread(np.diff(np.append(begins, len(order))) > 1, begins, len(order))
         if not ask:
-            gone = later if keep_first else many
-            if gone.any():
-                g = order[gone]
-                yield _span_batch(_spans(ids, ths, doc[g], lo[g], windows[g]))
+            g = order[later if keep_first else many]
+            yield document_cells(ids, ths, doc[g], lo[g], windows[g])
             return
         sent = order[~later]
         known = np.zeros(len(sent), bool) if keep_first else many[~later]
@@ -256,10 +248,10 @@ def _zones(near: DataFrame, length: int, count: int, ask: bool, keep_first: bool
             body = np.frombuffer(b"".join([texts[i] for i in t]), np.uint8)
             return packed(anchor[t], digest[t], ref.astype(np.int32), known[take], lo[t].astype(np.uint32), windows[t].astype(np.uint32), ids[used], ths[used], body)
 
-        yield from _shard_rows((anchor[sent] >> np.uint64(32)) % np.uint64(count), count, make)
+        yield _shard_rows((anchor[sent] >> np.uint64(32)) % np.uint64(count), number, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch):
                 z = Zones(part["text"], length)
@@ -278,22 +270,22 @@ def _zones(near: DataFrame, length: int, count: int, ask: bool, keep_first: bool
                 held.append((np.asarray(part["id"]), np.asarray(part["th"]), z, [data[a:b] for a, b in zip(z.start.tolist(), end.tolist())], digest))
                 size += int((end - z.start).sum())
                 if size >= BLOCK_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, number)
+                    held, size, number = [], 0, number + 1
         if size:
-            yield from flush(held)
+            yield from flush(held, number)
 
-    return near.mapInArrow(run, "shard int, blob binary" if ask else SPANS)
+    return near.mapInArrow(run, ASKED if ask else CELLS)
 
 
 def _zone_answers(asked: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def run(key, table):  # untyped: hints as text are not understood here
         cells, base = [], 0
-        for blob in table["blob"]:
+        for n, blob in enumerate(table["blob"]):
             anchor, digest, ref, known, lo, windows, ids, ths, body = unpacked(blob.as_py())
-            cells.append((anchor, digest, ref + base, known, lo.astype(np.int64), windows.astype(np.int64), ids, ths, body))
+            cells.append((anchor, digest, ref + base, known, lo.astype(np.int64), windows.astype(np.int64), ids, ths, np.full(len(ids), n), body))
             base += len(ids)
-        anchor, digest, ref, known, lo, windows, ids, ths, body = (np.concatenate(c) for c in zip(*cells))
+        anchor, digest, ref, known, lo, windows, ids, ths, source, body = (np.concatenate(c) for c in zip(*cells))
         cells = None
         size = windows + length - 1
         start = np.cumsum(size) - size
@@ -343,14 +335,9 @@ def _zone_answers(asked: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 first = runs(zone[w], w - np.arange(len(w)))
                 found.append((ref[own][zone[w[first]]], lo[own][zone[w[first]]] + inner[w[first]], np.diff(np.append(first, len(w)))))
         doc, low, many_ = (np.concatenate(c) for c in zip(*found))
-        return pa.Table.from_batches([_span_batch(_spans(ids, ths, doc, low, many_) if len(doc) else [])])
-
-    return asked.groupBy("shard").applyInArrow(run, SPANS)
-
+        return _by_block(table, source, ids, ths, doc, low, many_)
 
-def _gathered(one: DataFrame, other: DataFrame) -> DataFrame:
-    rows = one.unionByName(other).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))  # bounded by the document
-    return rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
+    return per_document(asked.groupBy("shard").applyInArrow(run, "block bigint, blob binary"))
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
@@ -358,11 +345,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length
     rows = keyed(docs, text, doc_id)
     same = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
     count = shards(total_bytes(docs, text) / 8)
-    anchored = _gathered(_anchors(rows, length, count, False), _anchor_answers(_anchors(rows, length, count, True)))
+    anchored = gathered(_anchors(rows, length, count, False), _anchor_answers(_anchors(rows, length, count, True)), "spans")
     near = stored(rows.join(anchored, same).select("id", "th", "text", "spans"), "suffix-candidates")
     held = near.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     count = shards(2 * held, 16e6)
-    gone = _gathered(_zones(near, length, count, False, keep_first), _zone_answers(_zones(near, length, count, True, keep_first), length, keep_first))
+    gone = gathered(_zones(near, length, count, False, keep_first), _zone_answers(_zones(near, length, count, True, keep_first), length, keep_first), "spans")
     return near.select("id", "th", "text").join(gone, same).select("id", "th", "text", "spans")
 
 

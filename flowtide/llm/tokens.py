@@ -169,3 +169,36 @@ def rising(values: np.ndarray) -> np.ndarray:
 def risen(steps: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumsum(steps, dtype=steps.dtype)
+
+
+def document_cells(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, at: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """One row (id, th, cell) per document: its places in order, and what goes with each."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order].astype(np.uint32)
+    more = tuple(m[order].astype(np.uint32) for m in more)
+    begins = runs(doc)
+    cells = [packed(rising(at[a:b]), *(m[a:b] for m in more)) for a, b in zip(begins, np.append(begins[1:], len(doc)))]
+    head = doc[begins]
+    return pa.RecordBatch.from_arrays([pa.array(ids[head], pa.int64()), pa.array(ths[head], pa.int64()), pa.array(cells, pa.binary())], names=["id", "th", "cell"])
+
+
+def answer(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, at: np.ndarray, *more: np.ndarray) -> bytes:
+    """A shard's findings for the documents of one block."""
+    used, ref = np.unique(doc, return_inverse=True)
+    return packed(ids[used], ths[used], ref.astype(np.int32), at.astype(np.uint32), *(m.astype(np.uint32) for m in more))
+
+
+def merged_answers(blobs: list[bytes]) -> pa.RecordBatch:
+    """All shards' findings for the documents of one block, one row per document."""
+    cells, base = [], 0
+    for ids, ths, ref, at, *more in map(unpacked, blobs):
+        cells.append((ids, ths, ref.astype(np.int64) + base, at, *more))
+        base += len(ids)
+    ids, ths, ref, *rest = (np.concatenate(c) for c in zip(*cells))
+    order = np.lexsort((ths, ids))
+    number = np.zeros(len(order), np.int64)
+    number[runs(ids[order], ths[order])] = 1
+    same = np.empty(len(order), np.int64)
+    same[order] = np.cumsum(number) - 1
+    first = order[number == 1]
+    return document_cells(ids[first], ths[first], same[ref], *rest)
