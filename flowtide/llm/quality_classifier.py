@@ -43,7 +43,7 @@ def kneser_ney(table: dict[str, np.ndarray], size: int, types: int):
     kinds = into.sum()
     cut = lower[np.minimum(into, 3).astype(int)]
     spare = cut.sum() / kinds if kinds else 1.0
-    unigram = (np.maximum(into - cut, 0) / kinds if kinds else 0.0) + spare / size
+    unigram = np.maximum(into - cut, 0) / max(kinds, 1.0) + spare / size
     unigram = unigram / unigram.sum()
     unigram[ngrams.OTHER] /= max(1, types - size)
     d = _discounts(table["over"])
