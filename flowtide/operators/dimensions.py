@@ -55,28 +55,29 @@ def _overwrite(known: DataFrame, edits: DataFrame, keys: list[str], value: str,
     )
 
 
-MAX_EDITS_PER_REQUEST = 500
+def _in(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
-def valid_port_edits(edits: DataFrame) -> DataFrame:
-    """Port descriptions within the accepted ranges, blanks removed.
-
-    With a ``request_id`` column, requests of more than 500 items are refused whole.
-    """
-    text = strip(F.col("description"))
-    if "request_id" in edits.columns:
-        refused = (
-            edits.groupBy("request_id").count()
-            .filter(F.col("count") > MAX_EDITS_PER_REQUEST).select("request_id")
-        )
-        edits = edits.join(refused, "request_id", "left_anti")
+def port_edit_fault() -> Column:
+    """Why a port edit is refused; null if it is not."""
     return (
-        edits.withColumn("description", text)
-        .filter(F.col("proto").between(0, 255) & F.col("port").between(1, 65535))
-        .filter(F.length("description").between(1, 100))
+        F.when(~_in(F.col("proto").between(0, 255)), "protocol outside 0..255")
+        .when(~_in(F.col("port").between(1, 65535)), "port outside 1..65535")
+        .when(~_in(F.length(strip(F.col("description"))).between(1, 100)), "description not of 1 to 100 characters")
     )
 
 
+def valid_port_edits(edits: DataFrame) -> DataFrame:
+    """Port descriptions within the accepted ranges, blanks removed, in requests of any size."""
+    return edits.filter(port_edit_fault().isNull()).withColumn("description", strip(F.col("description")))
+
+
+def refused_port_edits(edits: DataFrame) -> DataFrame:
+    """The other edits, each with its ``reason``."""
+    return edits.withColumn("reason", port_edit_fault()).filter(F.col("reason").isNotNull())
+
+
 def apply_port_edits(known: DataFrame, edits: DataFrame) -> DataFrame:
     return _overwrite(known, valid_port_edits(edits), ["proto", "port"], "description", "full")
 
@@ -106,12 +107,23 @@ def apply_interface_names(known: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_ip_names(known: DataFrame, edits: DataFrame) -> DataFrame:
-    named = edits.select(
+    named = edits.filter(ip_name_fault().isNull()).select(
         normalize_host(F.col("ip")).alias("ip"), strip(F.col("name")).alias("name"), "edit_seq"
-    ).filter(F.length("name").between(1, 100))
+    )
     return _overwrite(known, named, ["ip"], "name", "full").select(*known.columns)
 
 
+def ip_name_fault() -> Column:
+    """Why an address name is refused; null if it is not."""
+    named = _in(F.length(strip(F.col("name"))).between(1, 100))
+    return F.when(~named, "name not of 1 to 100 characters")
+
+
+def refused_ip_names(edits: DataFrame) -> DataFrame:
+    """Edits of address names that are refused, each with its ``reason``."""
+    return edits.withColumn("reason", ip_name_fault()).filter(F.col("reason").isNotNull())
+
+
 def delete_ip_names(known: DataFrame, removed: DataFrame) -> DataFrame:
     keys = removed.select(normalize_host(F.col("ip")).alias("ip")).distinct()
     return known.join(keys, "ip", "left_anti")

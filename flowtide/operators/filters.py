@@ -38,7 +38,7 @@ def clamp_column(value: Column, low: int, high: int) -> Column:
 
 
 def clamp_hours(hours: int, short: bool = False) -> int:
-    """Hours of a window: up to a year, or up to 30 days for short reports."""
+    """Hours that a request may ask for: a year, or 30 days in short reports. Reports take any number."""
     return clamp(hours, 1, 720 if short else 8760)
 
 
@@ -79,7 +79,7 @@ def window(flt: FlowFilter, as_of: datetime | None) -> tuple[datetime | None, da
         return flt.date_from, flt.date_to
     if as_of is None:
         raise ValueError("a relative window needs as_of")
-    return as_of - timedelta(hours=clamp_hours(flt.hours)), None
+    return as_of - timedelta(hours=flt.hours), None
 
 
 def bucket_bounds(

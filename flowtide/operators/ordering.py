@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.ip import inet_sort_key
 from flowtide.functions.labels import display_name
-from flowtide.operators.filters import clamp
 
 FLOW_SORTS = {
     "received_at": lambda: F.col("received_at"),
@@ -56,30 +55,34 @@ def sort_key(sorts: dict, sort: str | None) -> str:
 
 
 def page(rows: DataFrame, ordering: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page of at most 100 rows."""
+    """One page of ``limit`` rows, however many; deep pages should seek with ``after``."""
     ordered = rows.orderBy(*ordering)
     if offset and offset > 0:
         ordered = ordered.offset(offset)
-    return ordered.limit(clamp(limit, 1, 100))
+    return ordered.limit(max(int(limit), 0))
 
 
-def top(rows: DataFrame, ordering: list[Column], limit: int, most: int = 50) -> DataFrame:
-    return rows.orderBy(*ordering).limit(clamp(limit, 1, most))
+def top(rows: DataFrame, ordering: list[Column], limit: int) -> DataFrame:
+    return rows.orderBy(*ordering).limit(max(int(limit), 0))
 
 
-def after(
-    rows: DataFrame, key: Column, last_key, tie: Column, last_tie, ascending: bool = False
-) -> DataFrame:
-    """Rows following a known row in (key, tie DESC) order, for deep paging.
+def after(rows: DataFrame, order: list[tuple[Column, bool, bool]], last: list) -> DataFrame:
+    """Rows following a known row, for deep paging.
 
-    The page before ends at (last_key, last_tie); seeking past it costs a
-    filter, where an offset would make every task keep all rows before it.
+    ``order`` lists (column, ascending, nulls last) down to a key that no two
+    rows share; ``last`` holds the known row's values. Seeking past a row costs
+    a filter, where an offset would make every task keep all rows before it.
     """
-    if last_key is None:
-        beyond = key.isNotNull() if not ascending else F.lit(False)
-        same = key.isNull()
-    else:
-        limit = F.lit(last_key) if not isinstance(last_key, Column) else last_key
-        beyond = (key > limit) | key.isNull() if ascending else key < limit
-        same = key == limit
-    return rows.filter(beyond | (same & (tie < F.lit(last_tie))))
+    beyond, same = F.lit(False), F.lit(True)
+    for (column, ascending, nulls_at_end), value in zip(order, last, strict=True):
+        if value is None:
+            further = F.lit(False) if nulls_at_end else column.isNotNull()
+            equal = column.isNull()
+        else:
+            value = F.lit(value)
+            further = F.coalesce(column > value if ascending else column < value, F.lit(False))
+            if nulls_at_end:
+                further |= column.isNull()
+            equal = F.coalesce(column == value, F.lit(False))
+        beyond, same = beyond | (same & further), same & equal
+    return rows.filter(beyond)

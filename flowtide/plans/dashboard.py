@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import buckets, labels, proto
 from flowtide.operators import enrich, ordering
-from flowtide.operators.filters import between, clamp_hours
+from flowtide.operators.filters import between
 
 
-def _since(as_of: datetime, hours: int, short: bool = False) -> datetime:
-    return as_of - timedelta(hours=clamp_hours(hours, short))
+# Lists up to this long go to every task beside what they select.
+LISTED = 1_000
+
+
+def _since(as_of: datetime, hours: int) -> datetime:
+    return as_of - timedelta(hours=hours)
 
 
 def summary(tables, as_of: datetime, hours: int = 24) -> DataFrame:
@@ -101,7 +105,7 @@ def top(tables, kind: str, as_of: datetime, hours: int = 24, limit: int = 10) ->
 
 def top_interfaces(tables, as_of: datetime, hours: int = 1, limit: int = 10) -> DataFrame:
     sums = _totals(
-        tables.rollup("interface_1m", _since(as_of, hours, short=True)), "exporter", "if_index"
+        tables.rollup("interface_1m", _since(as_of, hours)), "exporter", "if_index"
     )
     best = ordering.top(sums, [F.desc("bytes"), F.asc("exporter"), F.asc("if_index")], limit)
     named = enrich.with_interface(best, tables.interfaces, "if_index", "named")
@@ -123,7 +127,7 @@ def top_interfaces(tables, as_of: datetime, hours: int = 1, limit: int = 10) ->
 
 
 def device_timeseries(tables, as_of: datetime, hours: int = 24, limit: int = 10) -> DataFrame:
-    """Hourly bytes of the heaviest exporters (ten at most); hours are taken as given."""
+    """Hourly bytes of the heaviest exporters."""
     low = as_of - timedelta(hours=hours)
     rows = tables.conversations(low - timedelta(minutes=5))
     for predicate in between(F.col("received_at"), low, None):
@@ -137,16 +141,16 @@ def device_timeseries(tables, as_of: datetime, hours: int = 24, limit: int = 10)
     )
     heaviest = ordering.top(
         hourly.groupBy("exporter").agg(F.sum("bytes").alias("total")),
-        [F.desc("total"), F.asc("exporter")], limit, most=10,
+        [F.desc("total"), F.asc("exporter")], limit,
     ).select("exporter")
-    # At most ten rows, so broadcasting them is always safe.
-    return hourly.join(F.broadcast(heaviest), "exporter", "left_semi").select(
+    chosen = F.broadcast(heaviest) if limit <= LISTED else heaviest
+    return hourly.join(chosen, "exporter", "left_semi").select(
         "bucket", "exporter", "bytes"
     ).orderBy("bucket", "exporter")
 
 
 def traffic_timeseries(tables, as_of: datetime, hours: int = 24) -> DataFrame:
-    rows = tables.rollup("total_1m", _since(as_of, hours, short=True))
+    rows = tables.rollup("total_1m", _since(as_of, hours))
     return (
         rows.groupBy(buckets.ten_minutes(F.col("bucket")).alias("bucket"))
         .agg(*(F.sum(c).cast("long").alias(c) for c in ("bytes", "packets", "flows")))

@@ -57,17 +57,23 @@ def with_names(page: DataFrame, tables, absent: int | None = None) -> DataFrame:
 
 def listing(
     tables, flt: FlowFilter, as_of: datetime | None = None, sort: str | None = None,
-    order: str | None = None, limit: int = 10, offset: int = 0,
+    order: str | None = None, limit: int = 10, offset: int = 0, seek: tuple | None = None,
 ) -> DataFrame:
     """One page of conversations with names. Names are joined to the page, not to
-    the table, unless the page is ordered by the exporter's name."""
+    the table, unless the page is ordered by the exporter's name.
+
+    ``seek`` holds the sort value, ``conv_key`` and ``bucket_start`` of the last
+    row of the page before; the page then begins behind that row."""
     rows = _candidates(tables, flt, as_of, sort)
     name = ordering.sort_key(ordering.FLOW_SORTS, sort)
     if name == "exporter":
         rows = enrich.with_exporter(rows, tables.exporters)
     key = ordering.FLOW_SORTS[name]()
-    direction = ordering.database_order(key, ordering.is_ascending(order))
-    sorting = [direction, F.desc("conv_key"), F.desc("bucket_start")]
+    ascending = ordering.is_ascending(order)
+    sorting = [ordering.database_order(key, ascending), F.desc("conv_key"), F.desc("bucket_start")]
+    if seek is not None:
+        ties = [(F.col("conv_key"), False, False), (F.col("bucket_start"), False, False)]
+        rows = ordering.after(rows, [(key, ascending, ascending), *ties], list(seek))
     page = ordering.page(rows, sorting, limit, offset)
     return with_names(page, tables).orderBy(*sorting).select(*LISTING)
 

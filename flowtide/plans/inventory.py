@@ -13,7 +13,6 @@ from flowtide.operators.filters import instant, same_host
 
 IDLE_AFTER = timedelta(minutes=5)
 DNS_FRESH = timedelta(hours=24)
-MAX_LABELS = 100
 
 
 def exporters_list(tables, as_of: datetime) -> DataFrame:
@@ -143,7 +142,7 @@ def label_addresses(
 def ip_labels(
     spark: SparkSession, tables, ips: str, as_of: datetime, resolution: bool = True
 ) -> DataFrame:
-    """Labels for a comma-separated request; only its first hundred parts count."""
-    wanted = [ip.as_bare_address(part) for part in ips.split(",")[:MAX_LABELS]]
+    """Labels for a comma-separated request, all of its parts."""
+    wanted = [ip.as_bare_address(part) for part in ips.split(",")]
     rows = [(address,) for address in dict.fromkeys(a for a in wanted if a)]
     return label_addresses(spark.createDataFrame(rows, "ip string"), tables, as_of, resolution)

@@ -70,15 +70,14 @@ def test_null_order_of_listings(inputs, order, first):
 @pytest.mark.parametrize("ascending", [True, False])
 def test_seek_paging_equals_offset_paging(spark, ascending):
     rows = spark.createDataFrame(
-        [(n % 4 if n % 5 else None, f"k{n:02d}") for n in range(40)], "v int, conv_key string"
+        [(n % 4 if n % 5 else None, f"k{n % 6:02d}", n) for n in range(40)], "v int, conv_key string, bucket int"
     )
-    order = [ordering.database_order(F.col("v"), ascending), F.desc("conv_key")]
+    order = [ordering.database_order(F.col("v"), ascending), F.desc("conv_key"), F.desc("bucket")]
     everything = ordering.page(rows, order, 100).collect()
     seen, last = [], None
     while True:
-        part = rows if last is None else ordering.after(
-            rows, F.col("v"), last.v, F.col("conv_key"), last.conv_key, ascending
-        )
+        keys = [(F.col("v"), ascending, ascending), (F.col("conv_key"), False, False), (F.col("bucket"), False, False)]
+        part = rows if last is None else ordering.after(rows, keys, [last.v, last.conv_key, last.bucket])
         page = ordering.page(part, order, 7).collect()
         if not page:
             break

@@ -203,7 +203,7 @@ def test_name_edits(spark):
     assert dimensions.delete_ip_names(names, ips.select("ip")).count() == 0
 
 
-def test_interface_names_and_oversized_requests(spark):
+def test_interface_names_and_refused_edits(spark):
     from flowtide import schemas
 
     known = spark.createDataFrame([], schemas.INTERFACES)
@@ -213,7 +213,13 @@ def test_interface_names_and_oversized_requests(spark):
     ports = spark.range(1, 502).selectExpr(
         "6 as proto", "int(id) as port", "'x' as description", "id as edit_seq", "'big' as request_id"
     ).unionByName(spark.sql("select 6 as proto, 600 as port, 'y' as description, 1L as edit_seq, 'ok' as request_id"))
-    assert [r.port for r in dimensions.valid_port_edits(ports).collect()] == [600]
+    assert dimensions.valid_port_edits(ports).count() == 502  # a request of any size
+    bad = spark.sql("""select * from values (6, 70000, 'x'), (300, 1, 'x'), (6, 1, ' '), (cast(null as int), 1, 'x'), (6, 1, 'x')
+        as t(proto, port, description)""")
+    assert sorted(r.reason for r in dimensions.refused_port_edits(bad).collect()) == [
+        "description not of 1 to 100 characters", "port outside 1..65535", "protocol outside 0..255", "protocol outside 0..255"
+    ]
+    assert dimensions.valid_port_edits(bad).count() == 1
     described = spark.createDataFrame([(6, 600, "y")], "proto int, port int, description string")
     assert dimensions.delete_port_descriptions(described, described).count() == 0
 
