@@ -7,8 +7,9 @@ must reach. Divided by the number of parts it is the cutoff that goes back with
 the queries: a vector below it in every part cannot reach the k-th best. Phase
 two collects the vectors that reach the cutoff in a part and whose bound (known
 shares, the cutoff for each share that is missing) still reaches the score.
-Phase three fetches the vectors whose shares are incomplete and scores them
-exactly. Queries meet vectors in blocks of both.
+Phase three fills in the missing shares of these entries, which the block still
+holds, and passes on what reaches the score. Queries meet vectors in blocks of
+both.
 
 Vectors with equal components score alike, so only the k + 1 with the smallest
 ids of each take part; Spark limits these groups before it shuffles them.
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from flowtide.llm.work import stored
 
 SCALE = 256
-PARTS = 4
+PARTS = 2
 BLOCK = 2048
+ENTRIES = 20_000
 BROADCAST_BYTES = 32_000_000
 NO_CUT = -(1 << 62)
 
@@ -162,16 +164,16 @@ def top_k(
                     sure += np.where(reached, share, 0)
                     missing += ~reached
                 bound = sure + missing * (each[:, None] - 1)
-                take = (missing < parts) & (bound >= goal[:, None]) & (q[:, None] != c[None, :])
-                i, j = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q[i]), pa.array(c[j]), pa.array(sure[i, j]), pa.array(missing[i, j] == 0)],
-                    names=["query_id", "vec_id", "sure", "whole"],
-                )
-
-    second = _meet(candidates, blocks(again, width, "cut"), size).mapInArrow(sufficient, "query_id bigint, vec_id bigint, sure bigint, whole boolean")
-    second = stored(second, "topk-entries")
-    whole = second.filter("whole").select("query_id", "vec_id", F.col("sure").alias("score"))
-    rest = exact(second.filter("NOT whole").select("query_id", "vec_id"), vectors)
-    best = _best(whole.unionByName(rest), ["query_id"], "score", k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                i, j = np.nonzero((missing < parts) & (bound >= goal[:, None]) & (q[:, None] != c[None, :]))
+                for lo in range(0, len(i), ENTRIES):
+                    a, b = i[lo : lo + ENTRIES], j[lo : lo + ENTRIES]
+                    score = sure[a, b]
+                    rest = missing[a, b] > 0
+                    score[rest] = (qv[a[rest]] * cv[b[rest]]).sum(1)
+                    keep = score >= goal[a]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q[a[keep]]), pa.array(c[b[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"]
+                    )
+
+    entries = _meet(candidates, blocks(again, width, "cut"), size).mapInArrow(sufficient, "query_id bigint, vec_id bigint, score bigint")
+    return _best(entries, ["query_id"], "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
