@@ -29,14 +29,19 @@ def compact_day(store: TableStore, name: str, day: date, below: int | None = Non
 
 
 def compact(store: TableStore, days: list[date] | None = None) -> None:
-    """Compact every table, or the given days of it, up to the newest batch."""
+    """Compact every table, or the given days of it, up to the newest batch.
+
+    Without a finished batch nothing is closed: what is stored may be replayed.
+    """
     below = newest_batch(store)
+    if below is None:
+        return
     jobs = []
     for name in EVENT_TABLES:
         for day, found in store.partitions(name).items():
             if days is not None and day not in days:
                 continue
-            closed = [b for b in found if below is None or b < below]
+            closed = [b for b in found if b < below]
             if closed and closed != [COMPACTED]:
                 jobs.append(partial(compact_day, store, name, day, below))
     together(store.spark, jobs)

@@ -13,6 +13,7 @@ from flowtide.jobs.rebuild import rebuild_rollups
 from flowtide.operators.filters import instant
 from flowtide.plans.inventory import IDLE_AFTER
 from flowtide.session import together
+from flowtide.sources import files
 from flowtide.sources.store import TableStore
 
 PURGED_TABLES = ("conversations", "statistics", "exporter_1m", "interface_1m")
@@ -78,6 +79,12 @@ def purge(
         raise RuntimeError(f"exporter {exporter} is active")
     counts = report(store, exporter).first()
     touched = {name: _touched_days(store, name, exporter) for name in PURGED_TABLES}
+    # Written down first: a purge that is run again still knows the days it had struck.
+    note = f"{store.root}/_purge/{exporter.replace(':', '_')}"
+    noted = [day for found in touched.values() for day in found]
+    if files.exists(store.spark, note):
+        noted += [row.d for row in store.spark.read.schema("d date").parquet(note).collect()]  # retained days at most
+    store.spark.createDataFrame([(day,) for day in sorted(set(noted))], "d date").coalesce(1).write.mode("append").parquet(note)
 
     def strike(name: str) -> None:
         days = touched[name]
@@ -90,14 +97,15 @@ def purge(
         [
             *(partial(strike, name) for name in PURGED_TABLES),
             lambda: store.write_dimension("interfaces", without(store.interfaces, exporter)),
-            lambda: store.write_dimension("exporters", without(store.exporters, exporter, "ip")),
         ],
     )
     if keep_history:
-        days = sorted({day for found in touched.values() for day in found})
-        rebuild_rollups(store, ["total_1m", "src_1m", "dst_1m", "app_1m"], True, days)
+        rebuild_rollups(store, ["total_1m", "src_1m", "dst_1m", "app_1m"], True, sorted(set(noted)))
     else:
         rebuild_rollups(store)
+    # Last: until here a second run finds the exporter and does what is left.
+    store.write_dimension("exporters", without(store.exporters, exporter, "ip"))
+    files.drop(store.spark, note)
     fields = counts.asDict()
     return store.spark.range(1).select(
         *(F.lit(value).cast("long").alias(name) for name, value in fields.items())

@@ -5,13 +5,12 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions import buckets
-from flowtide.operators import rollups
-from flowtide.operators.filters import instant
+from flowtide.operators import condense, rollups
+from flowtide.operators.filters import BUCKET, instant, utc
 from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, STATISTICS
 from flowtide.session import together
 from flowtide.sources.store import COMPACTED, TableStore
@@ -98,6 +97,27 @@ def backfill_statistics(conversations: DataFrame) -> DataFrame:
     )
 
 
+def replayable(store: TableStore) -> int | None:
+    """The newest stored batch, which may be written again."""
+    return max((b for found in store.partitions("conversations").values() for b in found if b != COMPACTED), default=None)
+
+
+def parts(store: TableStore, days: list[date] | None = None) -> list[tuple[int, DataFrame]]:
+    """Conversations of closed batches, and those of the newest, with the batch number their sums go under.
+
+    Sums of the parts add up. A replay replaces the newest batch's part only.
+    """
+    newest = replayable(store)
+    rows, horizon = store.partials("conversations"), store.horizon("conversations")
+    if days is not None:
+        rows = rows.filter(F.col("d").isin(days))
+    groups = [(COMPACTED, rows)] if newest is None else [
+        (COMPACTED, rows.filter(F.col("batch") < newest)), (newest, rows.filter(F.col("batch") == newest)),
+    ]
+    visible = F.lit(True) if horizon is None else F.col("last_seen") >= instant(horizon)
+    return [(batch, condense.finish(condense.merge(some).filter(visible))) for batch, some in groups]
+
+
 def rebuild_rollups(
     store: TableStore,
     names: list[str] | None = None,
@@ -109,42 +129,63 @@ def rebuild_rollups(
     Conversations reach back a day at most. ``keep_history`` fills the time
     before them from statistics; without it that history is lost.
     """
-    conversations = store.conversations().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        older = None
-        if keep_history:
-            first, older = _oldest_bucket(store), store.statistics()
-            if first is not None:
-                older = older.filter(F.col("bucket_start") < instant(first))
-
-        def rewrite(name: str) -> None:
-            rows = rebuilt(conversations, name)
-            if older is not None:
-                rows = rows.unionByName(from_statistics(older, name))
-            replaced = store.days(name)
-            if days is not None:
-                rows = rows.filter(F.to_date("bucket").isin(days))
-                replaced = [day for day in replaced if day in days]
-            store.replace_days(name, rows, replaced, keep_batch=False)
-
-        together(store.spark, [partial(rewrite, name) for name in names or rollups.ROLLUP_NAMES])
-    finally:
-        conversations.unpersist()
-
-
-def _oldest_bucket(store: TableStore) -> datetime | None:
+    # A conversation is counted in the minute it was last seen, up to a day after the one its bucket lies in.
+    near = None if days is None else sorted({day - timedelta(days=back) for day in days for back in (0, 1)})
+    found, older = parts(store, near), None
+    if keep_history:
+        border, older = _border(store), store.partials("statistics")
+        if near is not None:
+            older = older.filter(F.col("d").isin(near))
+        if border is not None:
+            older = older.filter(F.col("bucket_start") < instant(border))
+            found = [(batch, rows.filter(F.col("bucket_start") >= instant(border))) for batch, rows in found]
+    newest = replayable(store)
+
+    def rewrite(name: str) -> None:
+        pieces = [rebuilt(rows, name).withColumn("batch", F.lit(batch).cast("long")) for batch, rows in found]
+        if older is not None:
+            closed = F.lit(True) if newest is None else F.col("batch") < newest
+            for batch, some in ((COMPACTED, older.filter(closed)), (newest, older.filter(~closed))):
+                if batch is not None:
+                    pieces.append(from_statistics(some, name).withColumn("batch", F.lit(batch).cast("long")))
+        rows = pieces[0]
+        for piece in pieces[1:]:
+            rows = rows.unionByName(piece)
+        replaced = store.days(name)
+        if days is not None:
+            rows = rows.filter(F.to_date("bucket").isin(days))
+            replaced = [day for day in replaced if day in days]
+        store.replace_days(name, rows, replaced)
+
+    together(store.spark, [partial(rewrite, name) for name in names or rollups.ROLLUP_NAMES])
+
+
+def _border(store: TableStore) -> datetime | None:
+    """From this bucket on conversations are complete; before it only statistics are.
+
+    A horizon hides part of the bucket it falls into. None: no conversation is
+    left, so statistics say it all.
+    """
     days = store.days("conversations")
     if not days:
         return None
     end = datetime(days[0].year, days[0].month, days[0].day) + timedelta(days=1)
-    micros = (
-        store.partials("conversations", None, end)
-        .agg(F.unix_micros(F.min("bucket_start"))).first()[0]
-    )
-    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
+    micros = store.partials("conversations", None, end).agg(F.unix_micros(F.min("bucket_start"))).first()[0]
+    oldest = None if micros is None else utc(datetime(1970, 1, 1) + timedelta(microseconds=micros))
+    horizon = store.horizon("conversations")
+    if horizon is None:
+        return oldest
+    since = utc(horizon) - utc(datetime(1970, 1, 1))
+    whole = utc(datetime(1970, 1, 1)) - (-since // BUCKET) * BUCKET
+    return whole if oldest is None else max(oldest, whole)
 
 
 def backfill(store: TableStore) -> None:
-    """Fill empty statistics from conversations."""
-    if not store.days("statistics"):
-        store.append("statistics", backfill_statistics(store.conversations()), COMPACTED)
+    """Fill empty statistics from conversations, the newest batch's under its own number."""
+    if store.days("statistics"):
+        return
+    pieces = [backfill_statistics(rows).withColumn("batch", F.lit(batch).cast("long")) for batch, rows in parts(store)]
+    rows = pieces[0]
+    for piece in pieces[1:]:
+        rows = rows.unionByName(piece)
+    store.replace_days("statistics", rows, [])

@@ -193,6 +193,59 @@ def test_backfill_only_into_empty_statistics(store):
     assert totals(store)["statistics"] == want
 
 
+def test_maintenance_then_replay_counts_once(store):
+    flows = random_flows(120, 21)
+    fill(store, flows)
+    want = totals(store)
+    last = frame(store.spark, flows[2::3])
+    rebuild.rebuild_rollups(store)
+    ingest.ingest_flows(store, last, 2)
+    assert {n: t[2] for n, t in totals(store).items() if n in ("total_1m", "statistics")} == {n: want[n][2] for n in ("total_1m", "statistics")}
+    for day in store.days("statistics"):
+        store.drop_day("statistics", day)
+    rebuild.backfill(store)
+    ingest.ingest_flows(store, last, 2)
+    assert totals(store)["statistics"] == want["statistics"]
+
+
+def test_an_unfinished_first_batch_is_not_folded(store):
+    flows = random_flows(60, 22)
+    ingest.ingest_flows(store, frame(store.spark, flows), 0)
+    want = totals(store)
+    for day in store.days("batch_log"):
+        store.drop_day("batch_log", day)
+    compact.compact(store)
+    ingest.ingest_flows(store, frame(store.spark, flows), 0)
+    assert totals(store) == want
+
+
+def test_purge_at_the_retention_edge(store):
+    flows = [flow(n, DAY + timedelta(seconds=20 * n), exporter=f"192.0.2.{1 + n % 2}") for n in range(40)]
+    ingest.ingest_flows(store, frame(store.spark, flows), 0)
+    as_of = DAY + timedelta(hours=1, minutes=3)
+    retention.expire_conversations(store, as_of, 1)
+    purge.purge(store, "192.0.2.2", as_of)
+    assert totals(store)["total_1m"][2] == totals(store)["exporter_1m"][2] == totals(store)["statistics"][2] == 20
+
+
+def test_purge_without_visible_conversations_and_again_after_a_crash(store, monkeypatch):
+    flows = [flow(n, DAY + timedelta(seconds=n), exporter=f"192.0.2.{1 + n % 2}") for n in range(10)]
+    ingest.ingest_flows(store, frame(store.spark, flows), 0)
+    as_of = DAY + timedelta(hours=20)
+    retention.expire_conversations(store, as_of, 1)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(purge, "rebuild_rollups", crash)
+        with pytest.raises(OSError):
+            purge.purge(store, "192.0.2.2", as_of)
+    purge.purge(store, "192.0.2.2", as_of)
+    assert totals(store)["total_1m"][2] == totals(store)["exporter_1m"][2] == 5
+    assert {r.ip for r in store.exporters.collect()} == {"192.0.2.1"}
+
+
 def test_name_edits(spark):
     known = spark.createDataFrame([("192.0.2.1", None, None, "h", "old", None)], "ip string, first_seen timestamp, last_seen timestamp, hostname string, custom_name string, sys_descr string")
     edits = spark.createDataFrame([("192.0.2.1/32", " new ", 1), ("192.0.2.1", "  ", 2), ("192.0.2.9", "x", 3)], "ip string, name string, edit_seq long")
