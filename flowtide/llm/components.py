@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from flowtide.llm.work import stored
 
 
+def _halved(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: a node keeps the edge to its smallest neighbour, which takes over the others."""
+    down = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = down.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "_b")
+    over = down.join(least, F.col("b") == F.col("_b")).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return over.unionByName(least.select(F.col("m").alias("a"), F.col("_b").alias("b"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b).
 
@@ -16,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     so a node with very many edges costs one row per task. Rounds end when no
     label changed; only that count reaches the driver.
     """
-    both = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    both = stored(_halved(edges.select("a", "b").filter(F.col("a") != F.col("b"))), "components-halved")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "components-labels")
     while True:

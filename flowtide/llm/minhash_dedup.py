@@ -122,38 +122,26 @@ def _close(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
 
 
 def _forest(node: np.ndarray, sig: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected by similar signatures, rows in order of the tree."""
+    """Links from the smallest node of each cluster of similar signatures to its other nodes, so that trees name the same links."""
     links = []
-    group = np.arange(len(node))
     loose = np.arange(len(node))
     while len(loose) > 1:
-        # The row that agrees most with the commonest values takes in all that are similar to it.
+        # The row that agrees most with the commonest values takes in all that are similar to it, then these take in others.
         own = sig[loose]
-        if len(loose) > 2:
-            ranked = np.sort(own, 0)
-            middle = ranked[len(loose) // 2]
-            hub = int((own == middle).sum(1).argmax())
-        else:
-            hub = 0
-        near = _close(own, own[hub], least)
-        near[hub] = True
-        links += [(int(node[loose[hub]]), int(node[k])) for k in loose[near] if k != loose[hub]]
-        group[loose[near]] = loose[hub]
-        done, loose = loose[near], loose[~near]
-        # A row left over may still be similar to one that was taken in.
-        grown = True
-        while grown and len(loose) and len(done) > 1:
-            grown = False
-            for lo in range(0, len(loose), 64):
-                some = loose[lo : lo + 64]
-                hits = _close(sig[some][:, None, :], sig[done][None, :, :], least)
-                found = hits.any(1)
-                if found.any():
-                    links += [(int(node[done[hits[i].argmax()]]), int(node[k])) for i, k in enumerate(some) if found[i]]
-                    done = some[found]
-                    loose = np.setdiff1d(loose, done)
-                    grown = True
-                    break
+        middle = np.sort(own, 0)[len(loose) // 2]
+        near = _close(own, own[int((own == middle).sum(1).argmax())], least)
+        near[int((own == middle).sum(1).argmax())] = True
+        cluster, new, loose = [loose[near]], loose[near], loose[~near]
+        while len(new) and len(loose):
+            found = np.zeros(len(loose), bool)
+            for lo in range(0, len(new), 64):
+                rest = np.flatnonzero(~found)
+                found[rest] = _close(sig[loose[rest]][:, None, :], sig[new[lo : lo + 64]][None, :, :], least).any(1)
+            new, loose = loose[found], loose[~found]
+            cluster.append(new)
+        members = node[np.concatenate(cluster)]
+        head = int(members.min())
+        links += [(head, int(m)) for m in members if m != head]
     return links
 
 
@@ -186,53 +174,63 @@ def _regions(least: int, limit: int):
 
 
 def _tree_rows(trees: int, depth: int):
-    """Per node and tree: the region's key, a deeper key, and the signature in 8 bits a value, tree's part first."""
+    """Per node and tree: the region's key and a deeper key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint32).reshape(part.num_rows, -1).astype(np.uint64)
-                small = (sig & np.uint64(255)).astype(np.uint8)
-                node = np.asarray(part["node"])
-                for t in range(trees):
-                    with np.errstate(over="ignore"):
-                        key = np.full(len(node), t + 1, np.uint64)
-                        for k in range(t * depth, (t + 1) * depth):
-                            key = mix(key * np.uint64(31) + sig[:, k])
-                        deep = key
-                        for k in range((t + 1) * depth, (t + 2) * depth):
-                            deep = mix(deep * np.uint64(31) + sig[:, k % sig.shape[1]])
-                    rolled = np.roll(small, -(t + 1) * depth, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(node), pa.array([r.tobytes() for r in rolled], pa.binary())],
-                        names=["key", "deep", "node", "sig"],
-                    )
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
+            for t in range(trees):
+                with np.errstate(over="ignore"):
+                    key = np.full(len(sig), t + 1, np.uint64)
+                    for k in range(t * depth, (t + 1) * depth):
+                        key = mix(key * np.uint64(31) + sig[:, k])
+                    deep = key
+                    for k in range((t + 1) * depth, (t + 2) * depth):
+                        deep = mix(deep * np.uint64(31) + sig[:, k % sig.shape[1]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64)), pa.array(deep.view(np.int64)), batch["node"]],
+                    names=["tree", "key", "deep", "node"],
+                )
 
     return run
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures in 8 bits a value: enough to compare two of a region."""
+    for batch in batches:
+        if batch.num_rows:
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([s.tobytes() for s in sig], pa.binary())], names=["_node", "sig"])
+
+
 def candidates(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, estimate: float = ESTIMATE) -> DataFrame:
     """Candidate links (a, b) that connect all nodes found similar in some tree."""
     least = int(estimate * trees * depth)
-    rows = stored(nodes.mapInArrow(_tree_rows(trees, depth), "key bigint, deep bigint, node bigint, sig binary"), "forest")
-    count = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "sig")).alias("head"))
-    # Dense regions only, at most rows / DENSE of them.
-    dense = stored(count.filter(F.col("n") > DENSE).select(F.col("key").alias("_key"), "head"), "forest-dense")
-    # Regions of one node have no links; they do not travel with their signatures.
-    shared = rows.join(count.filter(F.col("n") > 1).select(F.col("key").alias("_k")), F.col("key") == F.col("_k")).drop("_k")
-    marked = shared.join(dense, F.col("key") == F.col("_key"), "left")
-    key = F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.col("deep")).alias("key")
-    regions = marked.select(key, "node", "sig").repartition("key").sortWithinPartitions("key", "sig")
+    rows = stored(nodes.mapInArrow(_tree_rows(trees, depth), "tree int, key bigint, deep bigint, node bigint"), "forest")
+    count = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    # Regions of one node have no links. Signatures travel with the others only.
+    count = count.select(F.col("key").alias("_key"), "n", "head")
+    shared = rows.join(count, F.col("key") == F.col("_key")).drop("_key")
+    short = stored(nodes.mapInArrow(_short, "_node bigint, sig binary"), "forest-signatures")
+    shared = stored(shared.join(short, F.col("node") == F.col("_node")).drop("_node"), "forest-regions")
+    dense = F.col("n") > DENSE
+    key = F.when(dense, F.col("deep")).otherwise(F.col("key")).alias("key")
+    # The tree's order goes on behind its prefix.
+    behind = (F.col("tree") + 1) * depth
+    order = F.concat(F.substring("sig", behind + 1, F.lit(trees * depth)), F.substring("sig", F.lit(1), behind)).alias("sig")
+    regions = shared.select(key, "node", order).repartition("key").sortWithinPartitions("key", "sig")
     links = regions.mapInArrow(_regions(least, REGION), "a bigint, b bigint")
-    to_head = marked.filter(F.col("_key").isNotNull() & (F.col("node") != F.col("head.node"))).select("node", "sig", F.col("head.node").alias("h"), F.col("head.sig").alias("hs"))
+    heads = short.select(F.col("_node").alias("_head"), F.col("sig").alias("head_sig"))
+    to_head = shared.filter(dense & (F.col("node") != F.col("head"))).join(heads, F.col("head") == F.col("_head")).select("node", "sig", "head", "head_sig")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "hs"))
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "head_sig"))
                 near = pa.array(_close(a, b, least))
-                yield pa.RecordBatch.from_arrays([batch["h"].filter(near), batch["node"].filter(near)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch["head"].filter(near), batch["node"].filter(near)], names=["a", "b"])
 
     return links.unionByName(to_head.mapInArrow(held, "a bigint, b bigint"))
 
@@ -251,19 +249,9 @@ def _confirm(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
     row, column = row[take], column[take]
     column = np.unique(column, return_inverse=True)[1] if len(column) else column
     root = np.arange(len(sets))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    lefts = range(0, len(sets), 256)
     width = int(column.max()) + 1 if len(column) else 0
-    for lo in lefts:
+    for lo in range(0, split or len(sets), 256):
         hi = min(lo + 256, len(sets))
-        if split and lo >= split:
-            break
         inter = np.zeros((hi - lo, len(sets)), np.float32)
         for c in range(0, width, 4096):
             inside = (column >= c) & (column < c + 4096)
@@ -272,11 +260,14 @@ def _confirm(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
             inter += x[lo:hi] @ x.T
         union = size[lo:hi, None] + size[None, :] - inter
         linked = DENOMINATOR * inter >= NUMERATOR * union
-        for i, j in zip(*np.nonzero(linked)):
-            a, b = find(int(i) + lo), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield int(i) + lo, int(j)
+        for i in range(lo, hi):
+            to = np.flatnonzero(linked[i - lo])
+            to = to[root[to] != root[i]]
+            if len(to):
+                classes, first = np.unique(root[to], return_index=True)
+                yield from ((i, int(j)) for j in to[first])
+                joined = np.append(classes, root[i])
+                root[np.isin(root, joined)] = joined.min()
 
 
 def links(docs: DataFrame, sigs: DataFrame, families: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
