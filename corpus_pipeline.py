@@ -7,7 +7,6 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowtide.llm import minhash_dedup, mixing, packing, quality_rules, substring_dedup
 from flowtide.llm.queries import QUERIES, tokenizer_path
@@ -27,10 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that documents of smaller ids hold; a changed text has its new length."""
-    before = docs.columns
-    size = F.when(F.col("text") == F.col("_old"), F.col("n_chars")).otherwise(F.length("text"))
-    rows = substring_dedup.dedup(docs.withColumn("_old", F.col("text")))
-    return rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size)).select(*before)
+    return substring_dedup.dedup(docs, size="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,11 +269,20 @@ def digests(lossy: DataFrame, window: int = WINDOW) -> DataFrame:
     return lossy.mapInArrow(run, f"{KEYED}, n_removed bigint, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """``docs``, columns unchanged, the text without its removed words."""
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, size: str | None = None) -> DataFrame:
+    """``docs``, columns unchanged, the text without its removed words; a column ``size`` gets the length of a changed text."""
     new = stored(cleaned(repeated(docs, text, doc_id, window), window), "substring-cleaned")
     new = new.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("text").alias("_new")).dropDuplicates(["_id", "_th"])
     cells = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*cells).alias("_row"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(int(LAST))).alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     rows = rows.join(new, (F.col("_i") == F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
-    return rows.select(*(F.coalesce("_new", F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+    def cell(name: str):
+        had = F.col(f"_row.`{name}`")
+        if name == text:
+            return F.coalesce("_new", had).alias(name)
+        if name == size:
+            return F.coalesce(F.length("_new").cast(docs.schema[name].dataType), had).alias(name)
+        return had.alias(name)
+
+    return rows.select(*map(cell, docs.columns))
