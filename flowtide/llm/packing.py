@@ -39,7 +39,7 @@ SIZE = 1024
 CLOSING_ID = 2
 STEPS = 3_000
 OTHERS = 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 PART_ROWS = 20_000
 
 
@@ -64,6 +64,7 @@ class _Encoder:
         self.model = Tokenizer.from_str(model)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self.encode([",", "."])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,7 +72,12 @@ class _Encoder:
 
     def _learn(self, known: dict[str, bytes], parts: Iterable[str], lead: str) -> None:
         new = [p for p in set(filterfalse(known.__contains__, parts)) if p and p == p.strip()]
-        known.update(zip(new, self.encode([lead + p for p in new])))
+        # A comma or full stop after a letter is a pre-token of its own.
+        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
+        wanted = list({p[:-1] for p in marked}.union(new).difference(marked).difference(known))
+        known.update(zip(wanted, self.encode([lead + p for p in wanted])))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for known in (self.first, self.later):
