@@ -5,9 +5,12 @@ documents. Bigram counts stay in shards and meet the documents' bigrams there;
 per-word tables are bounded by the vocabulary. Words outside the vocabulary
 share their probability evenly among the distinct words seen. A trusted
 document is scored without its own bigrams, so that perplexities of trusted
-and new documents compare. Per language, quantiles of the trusted documents'
-perplexities are the thresholds; a document within them, widened by a margin,
-is kept. The quantiles are mergeable sketches of a stated accuracy.
+and new documents compare. Per language, the thresholds come from inner
+quantiles of the trusted documents' perplexities, so that a few odd ones among
+them do not set a limit: the upper one lies 1.5 interquartile ranges of the
+logarithm above the upper quartile, the lower one as far below the lower
+quartile or at the hundredth, whichever is less. A document within them is
+kept. The quantiles are mergeable sketches of a stated accuracy.
 
 Defined results: null and empty texts have no tokens, perplexity null, and are
 not kept; a language without trusted documents takes the thresholds over all
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from flowtide.llm import ngrams
 
-LOW, HIGH = 0.001, 0.999
-MARGIN = 1.25
+FLOOR, LOW, HIGH = 0.01, 0.25, 0.75
+REACH = 1.5
 ACCURACY = 10_000
 
 
@@ -74,17 +77,19 @@ def perplexity(docs: DataFrame, labels: DataFrame, trusted: Column, text: str =
     return out.select("doc_id", "lang", "trusted", "tokens", F.when(F.col("tokens") > 0, F.exp(F.col("s1") / F.col("tokens"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: Column, low: float = LOW, high: float = HIGH, margin: float = MARGIN, **columns) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, trusted: Column, floor: float = FLOOR, low: float = LOW, high: float = HIGH, reach: float = REACH, **columns) -> DataFrame:
     """Perplexities with the language's thresholds and ``kept``."""
     from flowtide.llm.work import stored
 
     rows = stored(perplexity(docs, labels, trusted, **columns), "perplexity")
     good = rows.filter(F.col("trusted") & F.col("perplexity").isNotNull())
-    ends = lambda: F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY)).alias("ends")
+    ends = lambda: F.percentile_approx("perplexity", F.array(F.lit(floor), F.lit(low), F.lit(high)), F.lit(ACCURACY)).alias("ends")
     own = good.groupBy("lang").agg(ends()).select(F.col("lang").alias("_lang"), F.col("ends").alias("_own"))
     every = good.agg(ends()).select(F.col("ends").alias("_every"))
     both = rows.join(own, F.col("lang") == F.col("_lang"), "left").join(every, F.lit(True), "left")  # one row beside each
     end = F.coalesce("_own", "_every")
-    both = both.withColumn("low", F.get(end, F.lit(0)) / margin).withColumn("high", F.get(end, F.lit(1)) * margin)
+    least, first, third = (F.get(end, F.lit(k)) for k in range(3))
+    beyond = F.pow(third / first, F.lit(reach))
+    both = both.withColumn("low", F.least(least, first / beyond)).withColumn("high", third * beyond)
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull() & F.col("perplexity").isNotNull())
     return both.select("doc_id", "lang", "trusted", "tokens", "perplexity", "low", "high", inside.alias("kept"))

@@ -273,5 +273,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality_classifier.classify(docs, labels, F.col("quality") == 1)
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return quality_classifier.classify(docs, labels, (F.col("quality") == 1) & (F.col("toxic") == 0))

@@ -103,3 +103,25 @@ def test_models_of_nothing(spark):
     docs, labels, _ = corpus(spark)
     assert lm_scoring.score(docs.limit(0), labels, F.col("quality") == 1).count() == 0
     assert all(r.kept == bool(r.tokens) for r in quality_classifier.classify(docs, labels.limit(0), F.col("quality") == 1).collect())
+
+
+def test_planted_low_quality_is_rejected(spark, tmp_path):
+    from flowtide.llm.queries import QUERIES
+
+    r = random.Random(5)
+    clean = lambda: " ".join(f"w{(7 * k + r.choice((1, 2, 3))) % 50}" for k in range(r.randrange(60, 120)))
+    noise = lambda: " ".join(f"z{r.randrange(10**6)}" for _ in range(80))
+    foul = lambda: " ".join(f"t{r.randrange(20)}" for _ in range(80))
+    kinds = [("trusted", clean, 300), ("odd", noise, 3), ("toxic", foul, 60), ("planted", noise, 40), ("clean", clean, 100)]
+    kind = [k for k, _, many in kinds for _ in range(many)]
+    makers = {k: m for k, m, _ in kinds}
+    given = {"trusted": (1, 0), "odd": (1, 0), "toxic": (1, 1)}
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(n, makers[k](), "en") for n, k in enumerate(kind)], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    labels = [(n, *given[k]) for n, k in enumerate(kind) if k in given]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = QUERIES["op6_quality_classifier"](spark, folder).collect()
+    kept = Counter(kind[x.doc_id] for x in rows if x.kept)
+    assert {kind[x.doc_id] for x in rows if x.trusted} == {"trusted", "odd"}
+    assert not kept["planted"] and not kept["toxic"] and not kept["odd"]
+    assert kept["clean"] >= 93 and kept["trusted"] >= 285
