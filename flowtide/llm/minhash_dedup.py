@@ -307,23 +307,35 @@ def links(docs: DataFrame, sigs: DataFrame, families: DataFrame, text: str, doc_
     return dealt.groupBy("root", "p", "q").applyInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(id, th, n_shingles, component) per row of ``docs``; component: the smallest id reachable."""
+def _rooted(docs: DataFrame, text: str, doc_id: str, width: int, trees: int, depth: int) -> DataFrame:
+    """(id, th, n, root) per row of ``docs``; root: the node that names the class, null for empty texts."""
     sigs = stored(signatures(docs, text, doc_id, width, trees * depth), "signatures")
     nodes = sigs.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("sig").alias("sig"))
     families = components(candidates(nodes, trees, depth))
     confirmed = components(links(docs, sigs, families, text, doc_id, width))
     up = confirmed.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    joined = sigs.drop("sig").join(up, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node"))
+    return sigs.drop("sig").join(up, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node"))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """(id, th, n_shingles, component) per row of ``docs``; component: the smallest id reachable."""
+    joined = _rooted(docs, text, doc_id, width, trees, depth)
     least = joined.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "_r")
     out = joined.join(least, F.col("root") == F.col("_r"), "left")
     return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """One document of each class: the row with the smallest id, columns unchanged; rows equal in id and text stay once."""
-    keep = classes(docs, text, doc_id, width).filter(F.col("id") == F.col("component")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    """One document of each class: the row with the smallest (id, hash of the text), null ids last, columns unchanged.
+
+    An empty text is a class of its own; rows equal in id and text stay once.
+    """
+    rooted = _rooted(docs, text, doc_id, width, TREES, DEPTH)
+    alone = F.col("root").isNull()
+    own = [F.when(alone, F.col(c)).alias(f"_{c}") for c in ("id", "th")]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("m")
+    keep = rooted.groupBy("root", *own).agg(first).select(F.col("m.id").alias("_id"), F.col("m.th").alias("_th"))
     cells = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*cells).alias("_row"), F.col(doc_id).cast("bigint").alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    kept = rows.join(keep, (F.col("_i") == F.col("_id")) & (F.col("_t") == F.col("_th"))).select("_row", "_i", "_t")
+    kept = rows.join(keep, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("_row", "_i", "_t")
     return kept.dropDuplicates(["_i", "_t"]).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

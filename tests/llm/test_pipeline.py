@@ -45,3 +45,15 @@ def test_stages_by_hand(spark, tmp_path):
     assert sum(copies[r.doc_id] * len(words(r.text)) for r in passages) <= 1.5 * sum(len(words(r.text)) for r in passages)
     assert Counter(r.doc_id for r in packed if r.piece == 0) == copies
     assert max(Counter({s: sum(r.length for r in packed if r.sequence_id == s) for s in {r.sequence_id for r in packed}}).values()) <= 1024
+
+
+def test_documents_without_id_pass_the_near_duplicate_stage(spark):
+    word = lambda k: " ".join(f"{k}{n}" for n in range(60))
+    near = word("c").replace("c30", "other")
+    texts = [(None, word("a")), (None, word("b")), (None, word("b")), (None, word("c")), (None, near), (None, word("d")), (7, word("d")), (3, word("e")), (4, word("e")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    empty = [k for k in kept if not k[1]]
+    one = [k for k in kept if k[1] in (word("c"), near)]
+    assert len(empty) == 1 and len(one) == 1 and one[0][0] is None and set(kept.values()) == {1}
+    assert set(kept) - {*empty, *one} == {(None, word("a")), (None, word("b")), (7, word("d")), (3, word("e"))}
