@@ -57,7 +57,8 @@ class Template:
         return sorted(places)
 
 
-# Phrases and labels of the base scan, then public licence notices in lower-case words.
+# Phrases and labels of the base scan, then public licence notices in lower-case words. Keys stand at fixed
+# places, so a notice that is in use with and without some words (as a defined name in brackets) has a template for each form.
 BASE = (
     Template("mit", "under the mit license", phrase=True),
     Template("apache-2", "apache license version 2", phrase=True),
@@ -69,10 +70,18 @@ NOTICES = (
     Template("lgpl-3", "licensed under the gnu lesser general public license version 3", ("gnu lesser general public license version 3",)),
     Template("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", ("gnu lesser general public license version 2 1",)),
     Template("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license version 3",)),
+    Template("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license as published by", "either version 3 of the license")),
+    Template("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license as published by", "either version 2 of the license")),
+    Template("lgpl-3", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ("gnu lesser general public license as published by", "either version 3 of the license")),
+    Template("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ("gnu lesser general public license as published by", "either version 2 1 of the license")),
+    Template("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license as published by", "either version 3 of the license")),
     Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("redistribute it and or modify it", "gnu general public license")),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    Template("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0", "except in compliance with the license")),
     Template("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ("apache license version 2 0", "except in compliance with the license")),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     Template("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
@@ -81,7 +90,9 @@ NOTICES = (
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international license",)),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Template("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
     Template("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0 universal",)),
+    Template("cc0", "creative commons legal code cc0 1 0 universal", ("cc0 1 0 universal",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )

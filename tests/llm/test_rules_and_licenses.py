@@ -64,3 +64,46 @@ def test_every_key_phrase_anchors_its_template():
     for word, number, place in license_scan.anchors(license_scan.TEMPLATES, frequency):
         t = license_scan.TEMPLATES[number]
         assert t.words[place] == word and place in t.needed
+
+
+FSF = """This {0} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {1} Public License as published by
+the Free Software Foundation, either version {2} of the License, or
+(at your option) any later version."""
+UNMODIFIED = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software"""),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""),
+    ("gpl-3", FSF.format("program", "General", "3")), ("gpl-2", FSF.format("program", "General", "2")), ("gpl", FSF.format("program", "General", "2")),
+    ("lgpl-3", FSF.format("library", "Lesser General", "3")), ("lgpl-2.1", FSF.format("library", "Lesser General", "2.1")),
+    ("agpl-3", FSF.format("program", "Affero General", "3")),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above"""),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this"""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("all-rights-reserved", "Copyright (c) 2020 Someone. All rights reserved."),
+]
+
+
+def test_unmodified_notices_of_every_label(spark):
+    assert {label for label, _ in UNMODIFIED} == {t.label for t in license_scan.TEMPLATES}
+    docs = spark.createDataFrame([(n, f"/* {text}\n*/") for n, (_, text) in enumerate(UNMODIFIED)], "doc_id long, text string")
+    notices = {n for n, t in enumerate(license_scan.TEMPLATES) if not t.phrase}
+    for r in license_scan.scan(docs).collect():
+        found = {license_scan.TEMPLATES[m.template].label for m in r.license_scan.matches if m.template in notices}
+        label = UNMODIFIED[r.doc_id][0]
+        assert label in found and found <= {label, "gpl", "gpl-2"} and ("gpl" not in found or label in ("gpl", "gpl-2", "gpl-3")), (label, found)
