@@ -1,7 +1,10 @@
 """Language-model scores: difference of cross-entropies of two matched models.
 
 The target model counts the trusted documents, the background model all of
-them. Both are bigram models of one vocabulary with Witten-Bell interpolation.
+them. Both are bigram models of all words with Witten-Bell interpolation. What
+is left for words that a model has not counted is shared evenly by all distinct
+words of the documents and one more; ``size`` limits the vocabulary on request,
+the words beyond it then count as one.
 A document's score is its mean loss per token under the target model less that
 under the background model: below zero, it reads like the target. Each model
 leaves the scored document's own bigrams out where it had counted them.
@@ -23,37 +26,34 @@ from flowtide.llm import ngrams
 TARGET, BACKGROUND = 1, 2
 
 
-def witten_bell(tables: list[dict[str, np.ndarray]], size: int):
-    """Loss of a token under each model, the document's own counts left out."""
-    kinds = [t["one"] + t["two"] + t["more"] for t in tables]
-    totals = [t["total"] for t in tables]
-    words = [t["count"] for t in tables]
-    every = [w.sum() for w in words]
+def witten_bell(model: ngrams.Model, size: int):
+    """Loss of a token under each model, the document's own counts left out. ``size``: words that share the unknown mass."""
+    every = model.tokens
 
-    def loss(context, word, counts, own, mask):
+    def loss(e: ngrams.Entries):
         out = []
-        for m in range(len(totals)):
-            mine = np.where((mask >> m) & 1, own, 0)
-            alone = (counts[m] > 0) & (counts[m] == mine)  # the follower is the document's alone
-            unigram = (np.maximum(words[m][word] - mine, 0) + 1) / (max(every[m], 0) + size)
-            total = np.maximum(totals[m][context] - mine, 0)
-            kind = np.maximum(kinds[m][context] - alone, 0)
+        for m, t in enumerate(e.words):
+            mine = np.where((e.mask >> m) & 1, e.own, 0)
+            alone = (e.counts[m] > 0) & (e.counts[m] == mine)  # the follower is the document's alone
+            unigram = (np.maximum(t["count"] - mine, 0) + 1) / (max(every[m], 0) + size)
+            total = np.maximum(t["total"] - mine, 0)
+            kind = np.maximum(t["one"] + t["two"] + t["more"] - alone, 0)
             weight = total + kind
-            p = np.where(weight > 0, (np.maximum(counts[m] - mine, 0) + kind * unigram) / np.maximum(weight, 1), unigram)
+            p = np.where(weight > 0, (np.maximum(e.counts[m] - mine, 0) + kind * unigram) / np.maximum(weight, 1), unigram)
             out.append(-np.log(np.maximum(p, unigram * 1e-6)))
         return out
 
     return loss
 
 
-def score(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text", doc_id: str = "doc_id", size: int = ngrams.VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text", doc_id: str = "doc_id", size: int | None = None) -> DataFrame:
     """(doc_id, tokens, loss_target, loss_background, score) per row; ``trusted`` is a condition on ``labels``."""
     good = labels.filter(trusted).select(F.col(doc_id).alias("_good")).filter(F.col("_good").isNotNull()).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     models = F.when(F.col("_good").isNotNull(), TARGET | BACKGROUND).otherwise(BACKGROUND)
     corpus = ngrams.encoded(rows, [F.col("doc_id")], models, (good, F.col("doc_id") == F.col("_good")), "text", size)
     model = ngrams.counts(corpus, 2)
-    out = ngrams.sums(corpus, model, 2, witten_bell(ngrams.word_tables(model, 2, size), size), 2)
+    out = ngrams.sums(corpus, model, 2, witten_bell(model, size or model.types + 1), 2)
     mean = lambda c: F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).otherwise(F.lit(0.0))
     out = out.select("doc_id", "tokens", mean("s1").alias("loss_target"), mean("s2").alias("loss_background"))
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -1,13 +1,17 @@
-"""Bigram models over a shared vocabulary, counted and looked up in shards.
-
-The vocabulary holds the commonest words (its size is a parameter of the
-model, below 65,536) and one id for all others; counts behind it cover all
-words of all documents. A document becomes 16-bit ids, so a bigram is one
-32-bit number. Blocks of documents send their distinct bigrams with counts to
-shards by hash, which add them up. For scoring, blocks send (bigram, document,
-count) to the same shards; a shard holds its part of the model next to some of
-the blocks and returns one sum per document. Tables per word have at most as
-many rows as the vocabulary, so they may go to every task.
+"""Bigram models of all words, counted and looked up in shards.
+
+A word is its 64-bit hash, a bigram the hash of its two words; neither the
+words nor the bigrams are limited in number. Blocks of documents send their
+distinct bigrams with counts to shards by hash, which add them up and pass what
+they say about single words (how often, how many followers, how many contexts)
+to the same number of shards by word. For scoring, a block asks the shards for
+its distinct bigrams and words, and their answers meet the block's tokens
+again. No table of words or bigrams goes to every task; numbers over the whole
+model (counts of counts, sums) do.
+
+A caller may limit the vocabulary to the commonest ``size`` words; the others
+are then one word OTHER. Without a limit only words that a model has never
+counted are unknown to it.
 """
 
 from __future__ import annotations
@@ -22,260 +26,299 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from flowtide.llm.tokens import Words, packed, pieces, rising, risen, unpacked
+from flowtide.llm.tokens import Words, mix, packed, pieces, rising, risen, unpacked
 from flowtide.llm.work import shards, stored, text_bytes
 
-VOCABULARY = 50_000
-OTHER, BEGIN, FIRST = 0, 1, 2
+# Keys that stand for no word of a text; the first two count in a limited vocabulary. NONE: before a word that is only named.
+OTHER, BEGIN, NONE = 0, 1, 2
+FIRST = 2
 BLOCK = 1_000_000
+KINDS = ("total", "one", "two", "more", "into", "count")
+PARTS = "kind int, shard int, blob binary, stats array<bigint>"
 
 
 @dataclass
 class Corpus:
-    """rows: (meta, models, ids); words: sorted hashes of the vocabulary; types: distinct words of all documents."""
+    """rows: (block, blob); size: limit of the vocabulary or none."""
 
     rows: DataFrame
-    words: np.ndarray
-    types: int
+    meta: list[tuple[str, str, pa.DataType]]
+    size: int | None
     shards: int
-    groups: int
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, int]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
+@dataclass
+class Model:
+    """bigrams, words: (shard, blob); types: distinct words of all documents; over, into: per model, how many bigrams were
+    counted and words followed 0 to 4 and more times; kinds, tokens: distinct and all bigrams per model."""
+
+    bigrams: DataFrame
+    words: DataFrame
+    types: int
+    over: np.ndarray
+    into: np.ndarray
+    kinds: np.ndarray
+    tokens: np.ndarray
+
+
+@dataclass
+class Entries:
+    """Distinct bigrams per document: own, the document's count; mask; per model the bigram's count and its words' ``KINDS``."""
+
+    own: np.ndarray
+    mask: np.ndarray
+    other: np.ndarray
+    counts: list[np.ndarray]
+    words: list[dict[str, np.ndarray]]
+    context: np.ndarray
+    word: np.ndarray
 
-        def out() -> pa.RecordBatch:
-            word, many = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(many.astype(np.int64))], names=["word", "n"])
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        """Sum over the entries of the same document and context."""
+        return np.bincount(self.context, values)[self.context]
 
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, values)[self.word]
+
+
+def vocabulary(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Sorted hashes of the ``size`` commonest words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                held.append(Words(part["text"], lower=True).hash)
-                n += len(held[-1])
-                if n >= 4 * BLOCK:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
+                word, many = np.unique(Words(part["text"], lower=True).hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(many.astype(np.int64))], names=["word", "n"])
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "word bigint, n bigint")
-    words = stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "ngram-words")
+    words = rows.groupBy("word").agg(F.sum("n").alias("n"))
     top = words.orderBy(F.col("n").desc(), "word").limit(size - FIRST).select("word").collect()  # bounded by ``size``
-    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64)), words.count()
+    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
 
 
-def encoded(docs: DataFrame, meta: list[Column], models: Column, on: tuple[DataFrame, Column] | None, text: str, size: int = VOCABULARY) -> Corpus:
-    """``docs`` as ids. meta: columns to carry; ``on``: a table to join by its condition first, after the texts have become ids.
+def encoded(docs: DataFrame, meta: list[Column], models: Column, on: tuple[DataFrame, Column] | None, text: str, size: int | None = None) -> Corpus:
+    """``docs`` as blocks of word hashes. meta: columns to carry; ``on``: a table to join by its condition first.
 
     models: bits of the models that count the document.
     """
-    words, types = vocabulary(docs, text, size)
-    known = docs.sparkSession.sparkContext.broadcast(words)
-    rest = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text, size)) if size else None
+    # Stored first, the table's true size is known, and Spark need not deal the texts to join a small one.
+    rows = docs if on is None else docs.join(stored(on[0], "ngram-labels"), on[1], "left")
+    rows = rows.select(F.struct(*meta).alias("meta"), models.cast("int").alias("models"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def block(held: list[tuple], number: int) -> pa.RecordBatch:
+        meta, models, count, hashes = zip(*held)
+        word, token = np.unique(np.concatenate(hashes), return_inverse=True)
+        raw = np.frombuffer(pickle.dumps([m for part in meta for m in part]), np.uint8)
+        blob = packed(raw, np.concatenate(models).astype(np.uint8), np.concatenate(count).astype(np.uint32), rising(word), token.astype(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch):
                 w = Words(part["text"], lower=True)
-                if len(known.value):
-                    at = np.minimum(np.searchsorted(known.value, w.hash), len(known.value) - 1)
-                    found = np.where(known.value[at] == w.hash, at + FIRST, OTHER).astype(np.uint16)
-                else:
-                    found = np.zeros(len(w.hash), np.uint16)
-                cells = [packed(x) for x in np.split(found, w.first[1:])] if part.num_rows else []
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array(cells, pa.binary())], names=["row", "ids"])
-
-    rows = rows.mapInArrow(ids, f"row {kind}, ids binary").select("row.*", "ids")
-    if on is not None:
-        rows = rows.join(on[0], on[1], "left")
-    rows = stored(rows.select(F.struct(*meta).alias("meta"), models.cast("int").alias("models"), "ids"), "ngram-ids")
-    size = text_bytes(docs, text)
-    return Corpus(rows, words, types, shards(size / 2), shards(size / 8))
-
-
-def _bigrams(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bigram); each document begins with BEGIN."""
-    ids = [unpacked(c)[0].astype(np.uint32) for c in cells.to_pylist()]
-    size = np.array([len(i) for i in ids], np.int64)
-    if not size.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    flat = np.concatenate(ids)
-    before = np.empty(len(flat), np.uint32)
-    before[1:] = flat[:-1]
-    before[(np.cumsum(size) - size)[size > 0]] = BEGIN
-    return np.repeat(np.arange(len(size)), size), (before << np.uint32(16)) | flat
-
-
-def _shard(bigram: np.ndarray, count: int) -> np.ndarray:
+                h = w.hash
+                if known is not None:
+                    h = np.where(np.isin(h, known.value), h, np.uint64(OTHER))
+                held.append((part["meta"].to_pylist(), np.asarray(part["models"]), w.count, h))
+                n += len(h)
+                if n >= BLOCK:
+                    yield block(held, number)
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield block(held, number)
+
+    kept = stored(rows.mapInArrow(cut, "block bigint, blob binary"), "ngram-blocks")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in rows.schema["meta"].dataType.fields]
+    return Corpus(kept, fields, size, shards(text_bytes(docs, text), 8e6))
+
+
+def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((bigram * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(count)
+        return mix(mix(context) * np.uint64(31) + word)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    held, size = [], 0
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            held.append(part)
-            size += sum(len(c) for c in part["ids"].to_pylist())
-            if size >= BLOCK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _shard(key: np.ndarray, count: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(33)) % np.uint64(count)).astype(np.int32)
 
 
-def counts(corpus: Corpus, models: int) -> DataFrame:
-    """(shard, blob): every bigram of the shard with its count in each model."""
-    many = corpus.shards
+class Block:
+    """A block's documents: hash (the last stands for BEGIN), and the distinct bigrams by places of their words in it."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            grams, masks = [], []
-            for part in block:
-                doc, gram = _bigrams(part["ids"])
-                mask = np.asarray(part["models"])[doc]
-                grams.append(gram[mask > 0]), masks.append(mask[mask > 0])
-            gram, mask = np.concatenate(grams), np.concatenate(masks)
-            if not len(gram):
-                continue
-            gram, back = np.unique(gram, return_inverse=True)
-            per = [np.bincount(back, (mask >> m) & 1, len(gram)).astype(np.uint32) for m in range(models)]
-            shard = _shard(gram, many)
-            got = [(s, packed(rising(gram[take]), *(p[take] for p in per))) for s in range(many) if len(take := np.flatnonzero(shard == s))]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["shard", "blob"])
+    def __init__(self, blob: bytes):
+        meta, self.models, count, word, token = unpacked(blob)
+        self.meta = pickle.loads(meta.tobytes())
+        self.count = count.astype(np.int64)
+        self.hash = np.append(risen(word), np.uint64(BEGIN))
+        token = token.astype(np.int64)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[(np.cumsum(self.count) - self.count)[self.count > 0]] = len(word)
+        self.doc = np.repeat(np.arange(len(count)), self.count)
+        pair, self.pair = np.unique(before * len(self.hash) + token, return_inverse=True)
+        self.context, self.word = pair // len(self.hash), pair % len(self.hash)
+
+    def keys(self) -> np.ndarray:
+        return _pair(self.hash[self.context], self.hash[self.word])
 
-    def add(key, table):  # untyped: hints as text are not understood here
-        cells = [unpacked(b.as_py()) for b in table["blob"]]
-        gram, back = np.unique(np.concatenate([risen(c[0]) for c in cells]), return_inverse=True)
-        per = [np.bincount(back, np.concatenate([c[1 + m] for c in cells]), len(gram)).astype(np.uint64) for m in range(models)]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed(rising(gram), *per)], pa.binary())], names=["shard", "blob"])
 
-    summed = corpus.rows.select("models", "ids").mapInArrow(local, "shard int, blob binary").groupBy("shard")
-    return stored(summed.applyInArrow(add, "shard int, blob binary"), "ngram-counts")
+def _dealt(key: np.ndarray, count: int) -> list[np.ndarray]:
+    """Places of each shard's keys, in order of the key."""
+    shard = _shard(key, count)
+    order = np.lexsort((key, shard))
+    return np.split(order, np.searchsorted(shard[order], np.arange(1, count)))
 
 
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["kind", "shard", "blob", "stats"])
 
 
-def word_tables(model: DataFrame, models: int, size: int = VOCABULARY) -> list[dict[str, np.ndarray]]:
-    """Per model: by context the total and the followers seen once, twice, more; by word the contexts before it and its count; counts of counts."""
+def _sums(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    key, back = np.unique(key, return_inverse=True)
+    return key, [np.bincount(back, c, len(key)).astype(np.uint64) for c in columns]
+
+
+def counts(corpus: Corpus, models: int) -> Model:
+    many = corpus.shards
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch["blob"].to_pylist():
-                gram, *per = unpacked(blob)
-                gram = risen(gram)
-                context, word = (gram >> np.uint32(16)).astype(np.int64), (gram & np.uint32(65535)).astype(np.int64)
-                for m, c in enumerate(per):
-                    for kind, place, weight in (
-                        ("total", context, c), ("one", context, c == 1), ("two", context, c == 2), ("more", context, c > 2),
-                        ("into", word, c > 0), ("count", word, c),
-                        ("over", np.minimum(c, 5).astype(np.int64), c > 0),
-                    ):
-                        sums = np.bincount(place, weight.astype(np.float64), 1).astype(np.int64)
-                        at = np.flatnonzero(sums)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), m, np.int32)), pa.array([kind] * len(at), pa.string()), pa.array(at), pa.array(sums[at])],
-                            names=["model", "kind", "word", "n"],
-                        )
-
-    rows = model.mapInArrow(local, "model int, kind string, word bigint, n bigint").groupBy("model", "kind", "word").agg(F.sum("n").alias("n"))
-    out = [{k: np.zeros(size if k != "over" else 6) for k in ("total", "one", "two", "more", "into", "count", "over")} for _ in range(models)]
-    for r in rows.toLocalIterator():  # at most seven numbers per word of the vocabulary
-        out[r.model][r.kind][r.word] = r.n
-    return out
-
-
-def sums(corpus: Corpus, model: DataFrame, models: int, loss: Callable[..., np.ndarray], width: int) -> DataFrame:
+                b = Block(blob)
+                mask = b.models[b.doc]
+                per = [np.bincount(b.pair, (mask >> m) & 1, len(b.word)).astype(np.uint32) for m in range(models)]
+                used = np.flatnonzero(np.any(per, 0)) if len(b.word) else np.zeros(0, np.int64)
+                # Words of uncounted documents are named, so that all distinct words are known.
+                named = np.setdiff1d(np.arange(len(b.hash) - 1), b.word[used])
+                context = np.concatenate([b.hash[b.context[used]], np.full(len(named), NONE, np.uint64)])
+                word = np.concatenate([b.hash[b.word[used]], b.hash[named]])
+                per = [np.concatenate([p[used], np.zeros(len(named), np.uint32)]) for p in per]
+                got = []
+                for s, take in enumerate(_dealt(_pair(context, word), many)):
+                    take = take[np.argsort(context[take], kind="stable")]
+                    if len(take):
+                        got.append((s, packed(rising(context[take]), word[take], *(p[take] for p in per))))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
+
+    def add(key, table):  # untyped: hints as text are not understood here
+        cells = [unpacked(b.as_py()) for b in table["blob"]]
+        context, word = np.concatenate([risen(c[0]) for c in cells]), np.concatenate([c[1] for c in cells])
+        pair, first, back = np.unique(_pair(context, word), return_index=True, return_inverse=True)
+        per = [np.bincount(back, np.concatenate([c[2 + m] for c in cells]), len(pair)).astype(np.uint64) for m in range(models)]
+        context, word = context[first], word[first]
+        true = context != NONE
+        over = [np.bincount(np.minimum(p[true], 5).astype(int), minlength=6) for p in per]
+        rows = [(0, key[0].as_py(), packed(rising(pair[true]), *(p[true] for p in per)), [int(x) for x in np.concatenate(over)])]
+        zero = np.zeros(len(word), np.uint64)
+        columns = []
+        for p in per:
+            kinds = {"total": p, "one": p == 1, "two": p == 2, "more": p > 2}
+            columns += [np.concatenate([kinds[k], zero]) if k in kinds else np.concatenate([zero, p > 0 if k == "into" else p]) for k in KINDS]
+        hashes, columns = _sums(np.concatenate([context, word]), columns)
+        for s, take in enumerate(_dealt(hashes, many)):
+            if len(take):
+                rows.append((1, s, packed(rising(hashes[take]), *(c[take] for c in columns)), None))
+        return _rows(rows)
+
+    def gather(key, table):  # untyped: hints as text are not understood here
+        cells = [unpacked(b.as_py()) for b in table["blob"]]
+        hashes, columns = _sums(np.concatenate([risen(c[0]) for c in cells]), [np.concatenate([c[1 + k] for c in cells]) for k in range(len(KINDS) * models)])
+        stats = [int((~np.isin(hashes, np.array([BEGIN, NONE], np.uint64))).sum())]
+        for m in range(models):
+            into, count = (columns[m * len(KINDS) + KINDS.index(k)] for k in ("into", "count"))
+            stats += [*np.bincount(np.minimum(into, 5).astype(int), minlength=6).tolist(), int(into.sum()), int(count.sum())]
+        return _rows([(1, key[0].as_py(), packed(rising(hashes), *columns), stats)])
+
+    def totals(rows: DataFrame, width: int) -> np.ndarray:
+        """One row of ``width`` numbers."""
+        row = rows.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(width))).first()
+        return np.array(list(row), np.int64)
+
+    parts = stored(corpus.rows.mapInArrow(local, "shard int, blob binary").groupBy("shard").applyInArrow(add, PARTS), "ngram-counts")
+    bigrams = parts.filter("kind = 0")
+    words = stored(parts.filter("kind = 1").select("shard", "blob").groupBy("shard").applyInArrow(gather, PARTS), "ngram-words")
+    over = totals(bigrams, 6 * models).reshape(models, 6)
+    types, *rest = totals(words, 1 + 8 * models)
+    rest = np.array(rest).reshape(models, 8)
+    return Model(bigrams.select("shard", "blob"), words.select("shard", "blob"), int(types), over, rest[:, :6], rest[:, 6], rest[:, 7])
+
+
+def _found(table: list[np.ndarray], asked: np.ndarray) -> list[np.ndarray]:
+    key, *columns = table
+    if not len(key):
+        return [np.zeros(len(asked), np.uint64) for _ in columns]
+    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    hit = key[at] == asked
+    return [np.where(hit, c[at], np.uint64(0)) for c in columns]
+
+
+def sums(corpus: Corpus, model: Model, models: int, loss: Callable[[Entries], list[np.ndarray]], width: int) -> DataFrame:
     """(meta.*, tokens, s1 .. s``width``): per document the sum of ``loss`` over its tokens.
 
-    loss(context, word, counts, own, mask): ``counts`` per model with the
-    document's own ``own`` still inside, where ``mask`` has the model's bit;
-    returns ``width`` rows of values.
+    loss(entries): ``width`` arrays of values, with the document's own counts
+    still inside where the mask has the model's bit.
     """
-    many, groups = corpus.shards, corpus.groups
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for number, block in enumerate(_blocks(batches)):
-            docs, grams, base = [], [], 0
-            for part in block:
-                doc, gram = _bigrams(part["ids"])
-                docs.append(doc + base), grams.append(gram)
-                base += part.num_rows
-            key = (np.concatenate(grams).astype(np.uint64) << np.uint64(32)) | np.concatenate(docs).astype(np.uint64)
-            key, own = np.unique(key, return_counts=True)
-            gram, doc = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)
-            mask = np.concatenate([np.asarray(part["models"]) for part in block]).astype(np.uint8)
-            tokens = np.bincount(doc, own, base).astype(np.int64)
-            meta = pickle.dumps([m for part in block for m in part["meta"].to_pylist()])
-            shard = _shard(gram, many)
-            ident = (task << 32) + number
-            got = [(s, packed(rising(gram[take]), doc[take], own[take].astype(np.uint32), mask)) for s in range(many) if len(take := np.flatnonzero(shard == s))]
-            head = packed(np.frombuffer(meta, np.uint8), tokens)
-            # The block's own row travels like a shard of its own.
-            got.append((-1 - number % many, head))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in got], pa.int32()), pa.array([ident] * len(got), pa.int64()), pa.array([b for _, b in got], pa.binary())],
-                names=["shard", "block", "blob"],
-            )
-
-    rows = corpus.rows.mapInArrow(entries, "shard int, block bigint, blob binary")
-    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-    asked = rows.withColumn("part", group)
-    dealt = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    many = corpus.shards
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, blob in zip(batch["block"].to_pylist(), batch["blob"].to_pylist()):
+                b = Block(blob)
+                for kind, keys in ((0, b.keys()), (1, b.hash)):
+                    got = [(s, packed(rising(keys[take]))) for s, take in enumerate(_dealt(keys, many)) if len(take)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(got), pa.int32()), pa.array([s for s, _ in got], pa.int32()), pa.array([ident] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())],
+                        names=["kind", "shard", "block", "blob"],
+                    )
 
     def look(key, left, right):  # untyped: hints as text are not understood here
-        blocks, cells = left["block"].to_pylist(), left["blob"].to_pylist()
-        if left.num_rows and left["shard"][0].as_py() < 0:
-            return pa.table([pa.array(blocks, pa.int64()), pa.array([True] * len(blocks)), pa.array(cells, pa.binary())], names=["block", "head", "blob"])
+        kind = key[0].as_py()
         if right.num_rows:
-            gram, *per = unpacked(right["blob"][0].as_py())
-            gram = risen(gram)
+            table = unpacked(right["blob"][0].as_py())
+            table[0] = risen(table[0])
         else:
-            gram, per = np.zeros(0, np.uint32), [np.zeros(0, np.uint64)] * models
-        out = []
-        for cell in cells:
-            asked_, doc, own, mask = unpacked(cell)
-            asked_ = risen(asked_)
-            if len(gram):
-                at = np.minimum(np.searchsorted(gram, asked_), len(gram) - 1)
-                hit = gram[at] == asked_
-                got = [np.where(hit, p[at], 0).astype(np.float64) for p in per]
-            else:
-                got = [np.zeros(len(asked_)) for _ in range(models)]
-            value = loss((asked_ >> np.uint32(16)).astype(np.int64), (asked_ & np.uint32(65535)).astype(np.int64), got, own.astype(np.float64), mask[doc])
-            out.append(packed(*(np.bincount(doc, v * own, len(mask)) for v in value)))
-        return pa.table([pa.array(blocks, pa.int64()), pa.array([False] * len(blocks)), pa.array(out, pa.binary())], names=["block", "head", "blob"])
-
-    found = asked.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(look, "block bigint, head boolean, blob binary")
-    kind = corpus.rows.schema["meta"].dataType
-    fields = [(f.name, f.dataType.simpleString()) for f in kind.fields]
-    schema = ", ".join(f"{n} {t}" for n, t in [*fields, ("tokens", "bigint"), *((f"s{k + 1}", "double") for k in range(width))])
-    arrow = corpus_meta_types(corpus.rows)
+            table = [np.zeros(0, np.uint64)] * (1 + models * (len(KINDS) if kind else 1))
+        out = [packed(*_found(table, risen(unpacked(x.as_py())[0]))) for x in left["blob"]]
+        n = len(out)
+        return pa.table([left["block"], pa.array([kind] * n, pa.int32()), left["shard"], pa.array(out, pa.binary())], names=["block", "kind", "shard", "blob"])
+
+    schema = "block bigint, kind int, shard int, blob binary"
+    asked = corpus.rows.mapInArrow(asks, "kind int, shard int, block bigint, blob binary")
+    table = model.bigrams.select(F.lit(0).alias("kind"), "shard", "blob").unionByName(model.words.select(F.lit(1).alias("kind"), "shard", "blob"))
+    answers = asked.groupBy("kind", "shard").cogroup(table.groupBy("kind", "shard")).applyInArrow(look, schema)
+    heads = corpus.rows.select("block", F.lit(2).alias("kind"), F.lit(0).alias("shard"), "blob")
+    names = [*(n for n, _, _ in corpus.meta), "tokens", *(f"s{k + 1}" for k in range(width))]
 
     def total(key, table):  # untyped: hints as text are not understood here
-        sums_, meta, tokens = None, [], None
-        for head, cell in zip(table["head"].to_pylist(), table["blob"].to_pylist()):
-            if head:
-                raw, tokens = unpacked(cell)
-                meta = pickle.loads(raw.tobytes())
-            else:
-                got = np.stack(unpacked(cell))
-                sums_ = got if sums_ is None else sums_ + got
-        if sums_ is None:
-            sums_ = np.zeros((width, len(meta)))
-        cols = [pa.array([m[n] for m in meta], t) for n, t in arrow]
-        return pa.table([*cols, pa.array(tokens, pa.int64()), *(pa.array(s) for s in sums_)], names=[*(n for n, _ in arrow), "tokens", *(f"s{k + 1}" for k in range(width))])
-
-    return found.groupBy("block").applyInArrow(total, schema)
-
-
-def corpus_meta_types(rows: DataFrame) -> list[tuple[str, pa.DataType]]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [(f.name, to_arrow_type(f.dataType)) for f in rows.schema["meta"].dataType.fields]
+        got = {(k, s): x for k, s, x in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["blob"].to_pylist())}
+        b = Block(got[2, 0])
+
+        def told(kind: int, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+            out = [np.zeros(len(keys)) for _ in range(columns)]
+            for s, take in enumerate(_dealt(keys, many)):
+                if len(take):
+                    for o, values in zip(out, unpacked(got[kind, s])):
+                        o[take] = values
+            return out
+
+        count, words = told(0, b.keys(), models), told(1, b.hash, models * len(KINDS))
+        entry, own = np.unique(b.doc * max(len(b.word), 1) + b.pair, return_counts=True)
+        doc, pair = entry // max(len(b.word), 1), entry % max(len(b.word), 1)
+        context, word = b.context[pair], b.word[pair]
+        per = [
+            {k: words[m * len(KINDS) + n][word if k in ("into", "count") else context] for n, k in enumerate(KINDS)} for m in range(models)
+        ]
+        group = lambda x: np.unique(doc * len(b.hash) + x, return_inverse=True)[1]
+        entries = Entries(own.astype(np.float64), b.models[doc], b.hash[word] == OTHER, [c[pair] for c in count], per, group(context), group(word))
+        values = loss(entries) if len(own) else [np.zeros(0)] * width
+        cols = [pa.array([m[n] for m in b.meta], t) for n, _, t in corpus_meta]
+        return pa.table([*cols, pa.array(b.count, pa.int64()), *(pa.array(np.bincount(doc, v * own, len(b.meta)).astype(np.float64)) for v in values)], names=names)
+
+    corpus_meta = corpus.meta
+    fields = [*((n, t) for n, t, _ in corpus.meta), ("tokens", "bigint"), *((f"s{k + 1}", "double") for k in range(width))]
+    return answers.unionByName(heads).groupBy("block").applyInArrow(total, ", ".join(f"{n} {t}" for n, t in fields))

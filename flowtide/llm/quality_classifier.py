@@ -1,11 +1,11 @@
 """Quality by perplexity under a model of trusted text.
 
 An interpolated modified Kneser-Ney bigram model is trained on trusted
-documents. Bigram counts stay in shards and meet the documents' bigrams there;
-per-word tables are bounded by the vocabulary. Words outside the vocabulary
-share their probability evenly among the distinct words seen. A trusted
-document is scored without its own bigrams, so that perplexities of trusted
-and new documents compare. Per language, the thresholds come from inner
+documents. Counts of all bigrams and all words stay in shards, which answer
+the documents' blocks. What is left for words that no trusted document holds
+is shared evenly by all distinct words of the documents and one more; ``size``
+limits the vocabulary on request. A trusted document is scored without its own
+words and bigrams, so that perplexities of trusted and new documents compare. Per language, the thresholds come from inner
 quantiles of the trusted documents' perplexities, so that a few odd ones among
 them do not set a limit: the upper one lies 1.5 interquartile ranges of the
 logarithm above the upper quartile, the lower one as far below the lower
@@ -39,41 +39,40 @@ def _discounts(over: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-def kneser_ney(table: dict[str, np.ndarray], size: int, types: int):
+def kneser_ney(model: ngrams.Model, size: int | None):
     """Loss of a token; the document's own counts are left out where it was trained on."""
-    into = table["into"]
-    lower = _discounts(np.bincount(np.minimum(into, 5).astype(int), minlength=6))
-    kinds = into.sum()
-    cut = lower[np.minimum(into, 3).astype(int)]
-    spare = cut.sum() / kinds if kinds else 1.0
-    unigram = np.maximum(into - cut, 0) / max(kinds, 1.0) + spare / size
-    unigram = unigram / unigram.sum()
-    unigram[ngrams.OTHER] /= max(1, types - size)
-    d = _discounts(table["over"])
-    total = table["total"]
-    back = d[1] * table["one"] + d[2] * table["two"] + d[3] * table["more"]
-
-    def loss(context, word, counts, own, mask):
-        mine = np.where(mask & 1, own, 0)
-        c = np.maximum(counts[0] - mine, 0)
-        n = np.maximum(total[context] - mine, 0)
-        freed = back[context] - np.where(mine > 0, d[np.minimum(counts[0], 3).astype(int)] - d[np.minimum(c, 3).astype(int)], 0)
-        hit = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0)
-        hit = np.where(word == ngrams.OTHER, hit / max(1, types - size), hit)
-        p = np.where(n > 0, (hit + np.maximum(freed, 0.05) * unigram[word]) / np.maximum(n, 1), unigram[word])
+    lower, d = _discounts(model.into[0]), _discounts(model.over[0])
+    kinds = int(model.kinds[0])
+    spare = (lower[1:] * [model.into[0][1], model.into[0][2], model.into[0][3:].sum()]).sum() / kinds if kinds else 1.0
+    every = size or model.types + 1
+    others = max(1, model.types - size) if size else 1
+    cut = lambda by, n: by[np.minimum(n, 3).astype(int)]
+
+    def loss(e: ngrams.Entries):
+        t, counts = e.words[0], e.counts[0]
+        mine = np.where(e.mask & 1, e.own, 0)
+        c = np.maximum(counts - mine, 0)
+        into = np.maximum(t["into"] - e.by_word((mine > 0) & (c == 0)), 0)
+        unigram = np.maximum(into - cut(lower, into), 0) / max(kinds, 1) + spare / every
+        unigram = np.where(e.other, unigram / others, unigram)
+        n = np.maximum(t["total"] - e.by_context(mine), 0)
+        freed = d[1] * t["one"] + d[2] * t["two"] + d[3] * t["more"] - e.by_context(cut(d, counts) - cut(d, c))
+        hit = np.maximum(c - cut(d, c), 0)
+        hit = np.where(e.other, hit / others, hit)
+        p = np.where(n > 0, (hit + np.maximum(freed, 0.05) * unigram) / np.maximum(n, 1), unigram)
         return [-np.log(np.maximum(p, 1e-300))]
 
     return loss
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", size: int = ngrams.VOCABULARY) -> DataFrame:
+def perplexity(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", size: int | None = None) -> DataFrame:
     """(doc_id, lang, trusted, tokens, perplexity) per row."""
     good = labels.filter(trusted).select(F.col(doc_id).alias("_good")).filter(F.col("_good").isNotNull()).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     is_good = F.col("_good").isNotNull()
     corpus = ngrams.encoded(rows, [F.col("doc_id"), F.col("lang"), is_good.alias("trusted")], is_good.cast("int"), (good, F.col("doc_id") == F.col("_good")), "text", size)
     model = ngrams.counts(corpus, 1)
-    out = ngrams.sums(corpus, model, 1, kneser_ney(ngrams.word_tables(model, 1, size)[0], size, corpus.types), 1)
+    out = ngrams.sums(corpus, model, 1, kneser_ney(model, size), 1)
     return out.select("doc_id", "lang", "trusted", "tokens", F.when(F.col("tokens") > 0, F.exp(F.col("s1") / F.col("tokens"))).alias("perplexity"))
 
 

@@ -125,3 +125,24 @@ def test_planted_low_quality_is_rejected(spark, tmp_path):
     assert {kind[x.doc_id] for x in rows if x.trusted} == {"trusted", "odd"}
     assert not kept["planted"] and not kept["toxic"] and not kept["odd"]
     assert kept["clean"] >= 93 and kept["trusted"] >= 285
+
+
+def test_words_of_any_number_are_told_apart(spark):
+    """70,000 words: a pair that follows twice is known by its words, and unseen words do not count as one common word."""
+    words = [f"v{n}" for n in range(70_000)]
+    rows = [(n, " ".join(words[n * 1000 : (n + 1) * 1000])) for n in range(70)] * 2
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    rows += [(900, " ".join(words[69_000:69_500])), (901, " ".join(reversed(words[69_000:69_500]))), (902, " ".join(f"u{n}" for n in range(500)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1) for n in range(140)], "doc_id long, quality int")
+    scored = {r.doc_id: r for r in lm_scoring.score(docs, labels, F.col("quality") == 1).collect()}
+    total, types = 140_000, 70_500
+    unseen = -math.log(1 / (total + types + 1))
+    assert scored[902].loss_target == pytest.approx(unseen, rel=1e-3)
+    first = (2 + 1) / (total + types + 1)
+    known = -math.log((2 + 1 * first) / 3)
+    assert scored[900].loss_target == pytest.approx((499 * known - math.log((2 + 70 * first) / 210)) / 500, rel=1e-3)
+    assert scored[900].loss_target < 1 < scored[901].loss_target < scored[902].loss_target
+    judged = docs.withColumn("lang", F.lit("en"))
+    seen = {r.doc_id: r.perplexity for r in quality_classifier.perplexity(judged, labels, F.col("quality") == 1).collect()}
+    assert seen[900] < seen[901] < seen[902] and seen[902] > types / 2
