@@ -59,8 +59,14 @@ class Zones:
         size = np.diff(self.offsets)
         end = np.repeat(self.offsets[1:], size)  # of the text that a byte belongs to
         with np.errstate(over="ignore"):
-            for lo in range(0, max(n - length + 1, 0), CHUNK):
-                hi = min(lo + CHUNK, n - length + 1)
+            # A long text is cut from its own start on, so that its neighbours do not change its zones.
+            long = np.flatnonzero(size > CHUNK)
+            cuts = [np.arange(self.offsets[d], self.offsets[d + 1], CHUNK) for d in long]
+            cuts = np.unique(np.concatenate([[0], *cuts, self.offsets[long + 1], [max(n - length + 1, 0)]]).astype(np.int64))
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+                hi = min(hi, n - length + 1)
+                if hi <= lo:
+                    continue
                 part = self.data[lo : hi + length - 1]
                 h = Rolling(byte_values(7)[part]).slices(np.arange(len(part) - gram + 1), np.arange(gram, len(part) + 1))
                 key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)

@@ -115,3 +115,22 @@ def test_repeated_bytes_equal_all_windows(spark):
         expected = {d: (n, sha) for d, n, sha in plain_bytes(given, 120, keep_first) if n}
         assert got == expected and expected
     assert suffix_dedup.repeated(frame(spark, [])).count() == 0
+
+
+def test_zones_do_not_depend_on_neighbours():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    text = lambda n: r.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage = text(5000)
+    texts = [text(1_500_000), *(text(90_000) + passage for _ in range(8)), text(5_000_000)]
+
+    def zones(order):
+        z = suffix_dedup.Zones(pa.array([texts[i] for i in order]), suffix_dedup.LENGTH)
+        return {i: [x[z.doc == n].tolist() for x in (z.lo, z.windows, z.anchor)] for n, i in enumerate(order)}
+
+    alone = {i: zones([i])[i] for i in range(len(texts))}
+    whole = list(range(len(texts)))
+    assert zones(whole) == alone and zones(whole[::-1]) == alone
+    assert all(sum(alone[i][1]) == len(t) - suffix_dedup.LENGTH + 1 for i, t in enumerate(texts))
