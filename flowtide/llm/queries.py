@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import (
+    collocations,
+    divergence_audit,
     exact_topk,
     license_scan,
     lm_scoring,
@@ -18,6 +20,7 @@ from flowtide.llm import (
     quality_rules,
     substring_dedup,
     suffix_dedup,
+    warc,
 )
 from flowtide.llm.work import read, words
 from flowtide.session import prepare
@@ -275,3 +278,77 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return quality_classifier.classify(docs, labels, (F.col("quality") == 1) & (F.col("toxic") == 0))
+
+
+OP11_SQL = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT r, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS h FROM p),
+k AS (SELECT r, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 10 * i + 1, 10))::BIGINT) AS k FROM d),
+b AS (SELECT r, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((k[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN top END AS refers_to
+FROM t JOIN d USING (r) JOIN b USING (r)
+"""
+
+
+@query("op11_warc", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = warc.read_records(index, folder, payload=False)
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "intact").filter(
+        F.when(F.col("intact"), F.lit(True)).otherwise(F.raise_error(F.lit("a record does not match its index")).cast("boolean"))
+    ).drop("intact")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS p FROM w, range(1, 6) AS a(k), range(1, 1 + len(w) - k + 1) AS b(i)),
+f AS (SELECT lang, k, p, count(*)::BIGINT AS f FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT a.lang, a.p FROM c a JOIN c b ON a.lang = b.lang AND b.k = a.k + 1 AND (b.p[1:a.k] = a.p OR b.p[2:] = a.p) WHERE 100 * b.f >= 100 * a.f),
+cut AS (SELECT c.lang, c.p, c.f, n.n, t.j, l.f AS l, r.f AS r, ((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM c JOIN n ON n.lang = c.lang, range(1, 5) AS t(j), f l, f r
+        WHERE t.j < c.k AND l.lang = c.lang AND l.p = c.p[1:t.j] AND r.lang = c.lang AND r.p = c.p[t.j + 1:]),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS place FROM cut),
+kept AS (SELECT low.* FROM low ANTI JOIN x ON low.lang = x.lang AND low.p = x.p WHERE place = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, array_to_string(p, ' ')) AS rank,
+             array_to_string(p, ' ') AS phrase, f AS a, l, r, n, score FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+k AS (SELECT lang, term, count(*)::BIGINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM t),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * v.v))::BIGINT AS p,
+        (1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v))::BIGINT AS q
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+two AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+one AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pair UNION ALL FROM one))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_divergence_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
