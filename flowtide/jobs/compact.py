@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from flowtide.session import together
-from flowtide.sources.store import COMPACTED, EVENT_TABLES, TableStore, merge_table
+from flowtide.sources.store import COMPACTED, TABLES, TableStore, merge_table, midnight
 
 
 def newest_batch(store: TableStore) -> int | None:
@@ -19,7 +19,8 @@ def newest_batch(store: TableStore) -> int | None:
 def compact_day(store: TableStore, name: str, day: date, below: int | None = None) -> None:
     """Fold batches of one day. ``below`` keeps batches from that number on as
     they are: the newest one may still be replayed and must stay replaceable."""
-    rows = store.partials(name).filter(F.col("d") == F.lit(day))
+    # Only this day's folders: other days may be folded at the same time.
+    rows = store.partials(name, midnight(day), midnight(day) + timedelta(days=1, microseconds=-1))
     closed = F.col("batch") < below if below is not None else F.lit(True)
     folded = merge_table(name, rows.filter(closed)).withColumn("batch", F.lit(COMPACTED).cast("long"))
     out = folded
@@ -37,11 +38,14 @@ def compact(store: TableStore, days: list[date] | None = None) -> None:
     if below is None:
         return
     jobs = []
-    for name in EVENT_TABLES:
+    for name in TABLES:
         for day, found in store.partitions(name).items():
             if days is not None and day not in days:
                 continue
             closed = [b for b in found if b < below]
-            if closed and closed != [COMPACTED]:
+            horizon = store.horizon(name)
+            hidden = horizon is not None and day <= horizon.date()
+            # A folded day is folded again when a horizon hides part of it.
+            if closed and (closed != [COMPACTED] or hidden):
                 jobs.append(partial(compact_day, store, name, day, below))
     together(store.spark, jobs)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import buckets
 from flowtide.operators import condense, rollups
 from flowtide.operators.filters import BUCKET, instant, utc
-from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, STATISTICS
+from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, SKETCHED, STATISTICS
 from flowtide.session import together
 from flowtide.sources.store import COMPACTED, TableStore
 
@@ -158,6 +158,17 @@ def rebuild_rollups(
         store.replace_days(name, rows, replaced)
 
     together(store.spark, [partial(rewrite, name) for name in names or rollups.ROLLUP_NAMES])
+    rebuild_sketches(store, days)
+
+
+def rebuild_sketches(store: TableStore, days: list[date] | None = None) -> None:
+    """Replace the sketches of distinct keys, or some days of them, by what the rollups say."""
+    parts = {name: store.partials(name) for name, _ in SKETCHED.values()}
+    replaced = store.days("distinct_1m")
+    if days is not None:
+        parts = {name: rows.filter(F.col("d").isin(days)) for name, rows in parts.items()}
+        replaced = [day for day in replaced if day in days]
+    store.replace_days("distinct_1m", rollups.sketches_of(parts, "batch"), replaced)
 
 
 def _border(store: TableStore) -> datetime | None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowtide.catalogs import DETAILED_HOURS, STATS_DAYS_RANGE
 from flowtide.operators.filters import BUCKET, utc
-from flowtide.sources.store import EVENT_TABLES, TableStore
+from flowtide.sources.store import EVENT_TABLES, LOG_TABLES, TableStore
 
 
 def snap_detailed_hours(hours: int) -> int:
@@ -62,3 +62,10 @@ def expire_statistics(store: TableStore, as_of: datetime, days: int) -> None:
     for name in EVENT_TABLES:
         if name != "conversations":
             _expire(store, name, cutoff)
+
+
+def expire_logs(store: TableStore, as_of: datetime, days: int) -> None:
+    """Batch log and refused lines, kept as long as statistics."""
+    cutoff = utc(as_of) - timedelta(days=max(1, days))
+    for name in LOG_TABLES:
+        _expire(store, name, cutoff)

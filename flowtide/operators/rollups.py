@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import buckets
 from flowtide.operators.condense import with_service
-from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, STATISTICS
+from flowtide.schemas import ROLLUP_KEYS, ROLLUPS, SKETCHED, SKETCHES, STATISTICS
 
 MEASURES = ["bytes", "packets", "flows"]
 STATS_KEY = [f.name for f in STATISTICS if f.name not in MEASURES]
@@ -102,3 +102,48 @@ def merge_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def rollup_key(name: str) -> list[str]:
     return ["bucket", *(key for key, _ in ROLLUP_KEYS[name])]
+
+
+# Registers of a sketch as a power of two: standard error 1.04 / 2 ** 7 = 0.8 %.
+SKETCH_SIZE = 14
+
+
+def sketches_1m(rows: DataFrame) -> DataFrame:
+    """Sketches of the distinct exporters, sources and destinations of each minute.
+
+    The keys of a minute are told apart first, so that a key is sketched once
+    per minute and task and the sketches stay out of the wide aggregation.
+    """
+    source, at, _ = _source(rows)
+    keys = [SKETCHED[name][1] for name in SKETCHES.names[1:]]
+    seen = source.select(buckets.minute(at).alias("bucket"), *keys)
+    sketches = [F.hll_sketch_agg(key, SKETCH_SIZE).alias(name) for name, key in zip(SKETCHES.names[1:], keys)]
+    return seen.distinct().groupBy("bucket").agg(*sketches).select(*SKETCHES.names)
+
+
+def _united(name: str) -> Column:
+    """Union of sketches; none of none, since an empty union would have registers of another number."""
+    return F.when(F.count(name) > 0, F.hll_union_agg(name)).alias(name)
+
+
+def sketches_of(parts: dict[str, DataFrame], *keys: str) -> DataFrame:
+    """The same from stored rollups, by their bucket and further keys."""
+    out = None
+    for name in SKETCHES.names[1:]:
+        rollup, key = SKETCHED[name]
+        one = parts[rollup].groupBy("bucket", *keys).agg(F.hll_sketch_agg(key, SKETCH_SIZE).alias(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.groupBy("bucket", *keys).agg(*map(_united, SKETCHES.names[1:]))
+
+
+def merge_sketches(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket").agg(*map(_united, SKETCHES.names[1:])).select(*SKETCHES.names)
+
+
+def coarsened(rows: DataFrame, name: str, seconds: int) -> DataFrame:
+    """Rollup or sketch rows in longer buckets, with the first and last bucket of each sum."""
+    first, last = (F.col(c) if c in rows.columns else F.col("bucket") for c in ("first", "last"))
+    spans = [F.min(first).alias("first"), F.max(last).alias("last")]
+    keys = [] if name == "distinct_1m" else [key for key, _ in ROLLUP_KEYS[name]]
+    sums = [*map(_united, SKETCHES.names[1:])] if name == "distinct_1m" else _sums(F.col("flows"))
+    return rows.groupBy(buckets.floor_to(F.col("bucket"), seconds).alias("bucket"), *keys).agg(*sums, *spans)

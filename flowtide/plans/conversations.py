@@ -11,7 +11,7 @@ from flowtide.functions import labels
 from flowtide.functions.ip import inet_sort_key
 from flowtide.operators import enrich, ordering
 from flowtide.operators.filters import FlowFilter
-from flowtide.plans.flows import count_groups, selected
+from flowtide.plans.flows import count_groups, summable
 
 PAIR = ["src_addr", "dst_addr"]
 PATH = ["exporter", "in_if", "out_if"]
@@ -36,7 +36,7 @@ def path_order() -> list[Column]:
 def by_ip(
     tables, flt: FlowFilter, as_of: datetime | None = None, limit: int = 10, offset: int = 0
 ) -> DataFrame:
-    sums = selected(tables, flt, as_of).groupBy(*PAIR).agg(
+    sums = summable(tables, flt, as_of).groupBy(*PAIR).agg(
         F.sum("bytes").cast("long").alias("bytes"),
         F.sum("packets").cast("long").alias("packets"),
         F.sum("flow_count").cast("long").alias("flows"),
@@ -75,7 +75,7 @@ def by_interface(
     tables, flt: FlowFilter, as_of: datetime | None = None, limit: int = 10, offset: int = 0
 ) -> DataFrame:
     # The labels depend on the grouping keys alone, so they are joined last.
-    sums = selected(tables, flt, as_of).groupBy(*PATH).agg(
+    sums = summable(tables, flt, as_of).groupBy(*PATH).agg(
         F.sum("bytes").cast("long").alias("bytes"),
         F.sum("packets").cast("long").alias("packets"),
         F.sum("flow_count").cast("long").alias("flows"),
@@ -88,4 +88,4 @@ def by_interface(
 def count(
     tables, flt: FlowFilter, as_of: datetime | None = None, group_by: str = "ip"
 ) -> DataFrame:
-    return count_groups(selected(tables, flt, as_of), group_keys(group_by))
+    return count_groups(summable(tables, flt, as_of), group_keys(group_by))

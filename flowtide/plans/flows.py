@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import buckets, labels
 from flowtide.operators import enrich, ordering
 from flowtide.operators.filters import (
-    LATEST_SPAN, FlowFilter, bucket_bounds, filter_conversations, latest_only,
+    LATEST_SPAN, FlowFilter, bucket_bounds, filter_conversations, latest_only, window,
 )
 
 LISTING = [
@@ -27,6 +27,12 @@ def selected(tables, flt: FlowFilter, as_of: datetime | None) -> DataFrame:
     return filter_conversations(rows, flt, as_of, tables.interfaces)
 
 
+def summable(tables, flt: FlowFilter, as_of: datetime | None) -> DataFrame:
+    """``selected`` for readers that sum it or tell keys apart: conversations need not be whole."""
+    rows = tables.conversation_parts(*window(flt, as_of))
+    return filter_conversations(rows, flt, as_of, tables.interfaces)
+
+
 def _candidates(tables, flt: FlowFilter, as_of: datetime | None, sort: str | None) -> DataFrame:
     if flt.is_empty() and sort in (None, "received_at"):
         newest = tables.newest_bucket()
@@ -142,7 +148,7 @@ def summary(
 ) -> DataFrame:
     """Traffic per peer and service, or per address pair and service."""
     mode = summary_mode(flt)
-    rows, keys = shape(selected(tables, flt, as_of), mode)
+    rows, keys = shape(summable(tables, flt, as_of), mode)
     sums = rows.groupBy(*keys).agg(
         F.sum("bytes").cast("long").alias("bytes"),
         F.sum("packets").cast("long").alias("packets"),
@@ -158,14 +164,14 @@ def count_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def summary_count(tables, flt: FlowFilter, as_of: datetime | None = None) -> DataFrame:
     mode = summary_mode(flt)
-    rows, keys = shape(selected(tables, flt, as_of), mode)
+    rows, keys = shape(summable(tables, flt, as_of), mode)
     return count_groups(rows, keys).select(F.lit(mode).alias("mode"), "total")
 
 
 def series(tables, flt: FlowFilter, as_of: datetime | None = None) -> DataFrame:
     """Traffic in ten-minute steps under a filter."""
     return (
-        selected(tables, flt, as_of)
+        summable(tables, flt, as_of)
         .groupBy(buckets.ten_minutes(F.col("received_at")).alias("bucket"))
         .agg(
             F.sum("bytes").cast("long").alias("bytes"),

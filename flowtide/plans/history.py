@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.operators import ordering
-from flowtide.operators.filters import instant
 from flowtide.schemas import ROLLUP_KEYS
 
 VIEWS = {
@@ -30,7 +29,8 @@ def view(
     name = VIEWS[kind]
     oldest = as_of - timedelta(days=stats_days)
     newest = as_of - timedelta(hours=detailed_hours)
-    rows = tables.rollup(name, oldest, newest).filter(F.col("bucket") < instant(newest))
+    # The newest bucket begins before the border.
+    rows = tables.spans(name, oldest, newest - timedelta(microseconds=1))
     for column, value in (filters or {}).items():
         if column not in VIEW_FILTERS[kind]:
             raise ValueError(f"{kind} history cannot be filtered by {column}")
@@ -38,7 +38,7 @@ def view(
     keys = [key for key, _ in ROLLUP_KEYS[name]]
     sums = rows.groupBy(*keys).agg(
         *(F.sum(c).cast("long").alias(c) for c in ("bytes", "packets", "flows")),
-        F.min("bucket").alias("first_bucket"),
-        F.max("bucket").alias("last_bucket"),
+        F.min("first").alias("first_bucket"),
+        F.max("last").alias("last_bucket"),
     )
     return ordering.page(sums, [F.desc("bytes"), *(F.asc(k) for k in keys)], limit, offset)

@@ -23,6 +23,12 @@ def selected(tables, flt: FlowFilter) -> DataFrame:
     return filter_statistics(tables.statistics(flt.date_from, high), flt)
 
 
+def summable(tables, flt: FlowFilter) -> DataFrame:
+    """``selected`` for readers that sum it: keys need not be merged first."""
+    high = flt.date_to + BUCKET if flt.date_to else None
+    return filter_statistics(tables.statistics_parts(flt.date_from, high), flt)
+
+
 def bucket_end() -> Column:
     return F.col("bucket_start") + F.expr("INTERVAL '5' MINUTE")
 
@@ -62,7 +68,7 @@ def count(tables, flt: FlowFilter) -> DataFrame:
 
 
 def _summary_rows(tables, flt: FlowFilter, mode: str) -> tuple[DataFrame, list[str]]:
-    return flows.shape(selected(tables, flt), mode, F.nullif("service_port", F.lit(0)))
+    return flows.shape(summable(tables, flt), mode, F.nullif("service_port", F.lit(0)))
 
 
 def _sums(*extra: Column) -> list[Column]:
@@ -90,7 +96,7 @@ def summary_count(tables, flt: FlowFilter) -> DataFrame:
 
 
 def conversations_by_ip(tables, flt: FlowFilter, limit: int = 10, offset: int = 0) -> DataFrame:
-    sums = selected(tables, flt).groupBy(*conversations.PAIR).agg(
+    sums = summable(tables, flt).groupBy(*conversations.PAIR).agg(
         *_sums(F.min("bucket_start").alias("first_seen"))
     )
     return ordering.page(sums, conversations.pair_order(), limit, offset)
@@ -99,10 +105,10 @@ def conversations_by_ip(tables, flt: FlowFilter, limit: int = 10, offset: int =
 def conversations_by_interface(
     tables, flt: FlowFilter, limit: int = 10, offset: int = 0
 ) -> DataFrame:
-    sums = selected(tables, flt).groupBy(*conversations.PATH).agg(*_sums())
+    sums = summable(tables, flt).groupBy(*conversations.PATH).agg(*_sums())
     page = ordering.page(sums, conversations.path_order(), limit, offset)
     return conversations.present_paths(page, tables, 0, None)
 
 
 def conversations_count(tables, flt: FlowFilter, group_by: str = "ip") -> DataFrame:
-    return flows.count_groups(selected(tables, flt), conversations.group_keys(group_by))
+    return flows.count_groups(summable(tables, flt), conversations.group_keys(group_by))

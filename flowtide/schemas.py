@@ -69,6 +69,10 @@ ROLLUPS = {
     for name, keys in ROLLUP_KEYS.items()
 }
 
+# Distinct exporters and hosts of a minute as sketches that can be united.
+SKETCHES = _schema(("bucket", _TS), ("exporters", T.BinaryType()), ("sources", T.BinaryType()), ("destinations", T.BinaryType()))
+SKETCHED = {"exporters": ("exporter_1m", "exporter"), "sources": ("src_1m", "src_addr"), "destinations": ("dst_1m", "dst_addr")}
+
 BATCH_LOG = _schema(("type", _S), ("count", _L), ("ts", _TS))
 QUARANTINE = _schema(("value", _S), ("reason", _S), ("received_at", _TS))
 

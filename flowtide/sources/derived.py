@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.operators import condense, rollups
-from flowtide.operators.filters import between
+from flowtide.operators.filters import BUCKET, between
 
 NAMING = ("exporters", "interfaces", "ip_names", "dns_cache", "port_descriptions")
 
@@ -48,5 +48,23 @@ class DerivedTables:
             rows = rows.filter(predicate)
         return rows
 
+    def spans(
+        self, name: str, low: datetime | None = None, high: datetime | None = None, grain: int = 86_400
+    ) -> DataFrame:
+        bucket = F.col("bucket")
+        return self.rollup(name, low, high).withColumns({"first": bucket, "last": bucket})
+
+    def sketches(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        rows = rollups.sketches_1m(self.inputs.flows)
+        for predicate in between(F.col("bucket"), low, high):
+            rows = rows.filter(predicate)
+        return rows
+
+    def statistics_parts(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        return self.statistics(low, high)
+
+    def conversation_parts(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        return self.conversations(low and low - BUCKET, high)
+
     def newest_bucket(self) -> datetime:
         return self.newest

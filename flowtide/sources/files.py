@@ -42,6 +42,17 @@ def partitions(spark: SparkSession, path: str, *keys: str) -> list[tuple[str, ..
     return sorted(out)
 
 
+def marks(spark: SparkSession, path: str) -> list[str]:
+    """Names of the empty files that mark a folder."""
+    if not exists(spark, path):
+        return []
+    return [status.getPath().getName() for status in _fs(spark, path).listStatus(_path(spark, path))]
+
+
+def add_mark(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).create(_path(spark, path), True).close()
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a path."""
     if not exists(spark, path):

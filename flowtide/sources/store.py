@@ -6,6 +6,16 @@ batch overwrite exactly what it wrote before. Compaction folds finished batches
 of a day into ``batch=-1``; those rows are merged already and are read without
 a shuffle as far as no later batch has touched their buckets.
 
+With the compacted rows of a rollup go the same sums by hour and by day, as
+batches -2 and -3. A window is answered from days inside it, hours at its
+edges and minutes beside those (``spans``); rows of later batches are added at
+the minute. Levels are replaced together with the rows they are made of.
+
+A write notes the first and last bucket of its rows per day and batch (a name
+in a small folder per day). A read lists the days of its window only and opens
+only batches whose note meets it; a missing note means that the batch may hold
+anything, so notes may get lost.
+
 Retention never rewrites data: whole days are dropped, and a horizon per table
 hides what is left over on the day it falls into until compaction removes it.
 """
@@ -16,7 +26,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +36,18 @@ from flowtide.operators.filters import BUCKET, between, instant, utc
 from flowtide.sources import files
 
 COMPACTED = -1
+LEVELS = {-2: 3_600, -3: 86_400}
+HOURS, DAYS = LEVELS
+KEPT_NOTES = 8
 UNIX_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 EVENT_TABLES = {
     "conversations": (schemas.CONVERSATION_PARTIALS, "bucket_start"),
     "statistics": (schemas.STATISTICS, "bucket_start"),
     **{name: (schema, "bucket") for name, schema in schemas.ROLLUPS.items()},
+    "distinct_1m": (schemas.SKETCHES, "bucket"),
 }
+LEVELED = (*schemas.ROLLUPS, "distinct_1m")
 LOG_TABLES = {
     "batch_log": (schemas.BATCH_LOG, "ts"),
     "quarantine": (schemas.QUARANTINE, "received_at"),
@@ -45,6 +60,7 @@ DIMENSIONS = {
     "dns_cache": schemas.DNS_CACHE,
     "port_descriptions": schemas.PORT_DESCRIPTIONS,
 }
+_SPAN = [T.StructField("first", T.TimestampType()), T.StructField("last", T.TimestampType())]
 _PARTITION = [T.StructField("d", T.DateType()), T.StructField("batch", T.LongType())]
 
 
@@ -56,9 +72,28 @@ def merge_table(name: str, rows: DataFrame) -> DataFrame:
         return rollups.merge_sums(rows, rollups.STATS_KEY)
     if name in schemas.ROLLUPS:
         return rollups.merge_sums(rows, rollups.rollup_key(name))
+    if name == "distinct_1m":
+        return rollups.merge_sketches(rows)
     return rows
 
 
+def _micros(moment: datetime) -> int:
+    return (utc(moment) - UNIX_EPOCH) // timedelta(microseconds=1)
+
+
+def midnight(day: date) -> datetime:
+    return datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
+
+
+@dataclass(frozen=True)
+class Zone:
+    """What a batch holds of a day: first and last bucket, and rows."""
+
+    low: datetime
+    high: datetime
+    rows: int
+
+
 @dataclass(frozen=True)
 class TableStore:
     spark: SparkSession
@@ -77,29 +112,67 @@ class TableStore:
     # -- partitions ---------------------------------------------------------
 
     def partitions(self, name: str) -> dict[date, list[int]]:
-        """Batch numbers stored per day."""
-        out: dict[date, list[int]] = {}
-        for day, batch in files.partitions(self.spark, self.path(name), "d", "batch"):
-            out.setdefault(date.fromisoformat(day), []).append(int(batch))
-        return {day: sorted(found) for day, found in out.items()}
+        """Batch numbers stored per day; levels are no batches."""
+        return {day: self.batches(name, day) for day in self.days(name)}
 
     def days(self, name: str) -> list[date]:
-        return sorted(self.partitions(name))
+        return [date.fromisoformat(d[2:]) for d in files.subdirs(self.spark, self.path(name), "d=")]
+
+    def _folders(self, name: str, day: date) -> list[int]:
+        return sorted(int(b[6:]) for b in files.subdirs(self.spark, f"{self.path(name)}/d={day}", "batch="))
 
     def batches(self, name: str, day: date) -> list[int]:
-        return self.partitions(name).get(day, [])
+        return [b for b in self._folders(name, day) if b >= COMPACTED]
+
+    # -- notes about batches -----------------------------------------------------
+
+    def _zone_dir(self, name: str, day: date) -> str:
+        return f"{self.root}/_zones/{name}/{day}"
+
+    def zones(self, name: str, day: date) -> dict[int, Zone]:
+        """What is noted about the batches of a day."""
+        out = {}
+        for mark in files.marks(self.spark, self._zone_dir(name, day)):
+            batch, low, high, rows = map(int, mark.split("_"))
+            moment = lambda m: UNIX_EPOCH + timedelta(microseconds=m)
+            out[batch] = Zone(moment(low), moment(high), rows)
+        return out
+
+    def _note(self, name: str, found: list) -> None:
+        for row in found:
+            files.add_mark(self.spark, f"{self._zone_dir(name, row.d)}/{row.batch}_{row.low}_{row.high}_{row.rows}")
+
+    def _forget(self, name: str, day: date, batch: int | None = None) -> None:
+        """Drop notes before the rows change: without a note a batch is always read."""
+        folder = self._zone_dir(name, day)
+        if batch is None:
+            files.drop(self.spark, folder)
+            return
+        for mark in files.marks(self.spark, folder):
+            if mark.startswith(f"{batch}_"):
+                files.drop(self.spark, f"{folder}/{mark}")
+
+    @staticmethod
+    def _bounds(rows: DataFrame, at: str) -> list:
+        """(d, batch, low, high, rows) of written rows; one row per folder."""
+        micros = F.unix_micros(F.col(at))
+        return rows.groupBy("d", "batch").agg(F.min(micros).alias("low"), F.max(micros).alias("high"), F.count("*").alias("rows")).collect()
+
+    def written_days(self, name: str, batch: int) -> list[date]:
+        """The days a recent batch was written to."""
+        return sorted(date.fromisoformat(m) for m in files.marks(self.spark, f"{self.root}/_written/{name}/{batch}"))
 
     # -- writing ------------------------------------------------------------
 
     def append(self, name: str, rows: DataFrame, batch: int) -> None:
-        """Write one batch; writing it again replaces what it wrote before."""
+        """Write one batch; writing it again replaces what it wrote before, on whatever days that was."""
         schema, at = TABLES[name]
+        before, seen, micros = self.written_days(name, batch), Observation(), F.unix_micros(F.col(at))
+        for day in before:
+            self._forget(name, day, batch)
         (
-            rows.select(
-                *schema.names,
-                F.to_date(F.col(at)).alias("d"),
-                F.lit(batch).cast("long").alias("batch"),
-            )
+            rows.observe(seen, F.count("*").alias("rows"), F.min(micros).alias("low"), F.max(micros).alias("high"))
+            .select(*schema.names, F.to_date(F.col(at)).alias("d"), F.lit(batch).cast("long").alias("batch"))
             # Gathers each day's rows into few files of even size.
             .hint("rebalance", F.col("d"))
             .write.mode("overwrite")
@@ -107,6 +180,33 @@ class TableStore:
             .partitionBy("d", "batch")
             .parquet(self.path(name))
         )
+        self._settle(name, batch, before, seen.get)
+
+    def _settle(self, name: str, batch: int, before: list[date], seen: dict) -> None:
+        """Drop what an earlier attempt left on other days and note the bounds of what is there."""
+        days = []
+        if seen["low"] is not None:
+            low, high = (UNIX_EPOCH + timedelta(microseconds=seen[c]) for c in ("low", "high"))
+            days = [low.date() + timedelta(days=n) for n in range((high.date() - low.date()).days + 1)]
+        here = lambda day: f"{self.path(name)}/d={day}/batch={batch}"
+        if len(days) > 1:
+            days = [day for day in days if files.exists(self.spark, here(day))]
+            reader = self.spark.read.schema(TABLES[name][0]).option("basePath", self.path(name))
+            rows = reader.parquet(*map(here, days)).withColumn("d", F.to_date(TABLES[name][1]))
+            self._note(name, self._bounds(rows.withColumn("batch", F.lit(batch)), TABLES[name][1]))
+        elif days:
+            self._note(name, [Row(d=days[0], batch=batch, **seen)])
+        folder = f"{self.root}/_written/{name}"
+        for day in before:
+            if day not in days:
+                files.drop(self.spark, here(day))
+                files.drop(self.spark, f"{folder}/{batch}/{day}")
+        for day in days:
+            files.add_mark(self.spark, f"{folder}/{batch}/{day}")
+        # Only a batch that may still come again needs its days.
+        for old in files.subdirs(self.spark, folder):
+            if int(old) < batch - KEPT_NOTES:
+                files.drop(self.spark, f"{folder}/{old}")
 
     def replace_days(self, name: str, rows: DataFrame, days: list[date], keep_batch: bool = True) -> None:
         """Replace whole days by ``rows``, which may read the very same days."""
@@ -118,20 +218,42 @@ class TableStore:
             .hint("rebalance", F.col("d"), F.col("batch"))
             .write.mode("overwrite").partitionBy("d", "batch").parquet(staged)
         )
-        stored = self.partitions(name)
-        old = [f"d={day}/batch={b}" for day in days for b in stored.get(day, [])]
-        new = [
-            f"d={day}/batch={b}" for day, b in files.partitions(self.spark, staged, "d", "batch")
-        ]
+        shape = T.StructType([*schema.fields, *_SPAN, *_PARTITION])
+        bounds = self._bounds(self.spark.read.schema(shape).parquet(staged), at)
+        if name in LEVELED and any(row.batch == COMPACTED for row in bounds):
+            finer = COMPACTED
+            for level, seconds in LEVELS.items():
+                stored = self.spark.read.schema(shape).parquet(staged).filter(F.col("batch") == finer)
+                if finer == COMPACTED:
+                    stored = stored.select(*schema.names)
+                coarse = rollups.coarsened(stored, name, seconds)
+                coarse.withColumns({"d": F.to_date("bucket"), "batch": F.lit(level).cast("long")}).hint("rebalance", F.col("d")).write.mode(
+                    "append"
+                ).partitionBy("d", "batch").parquet(staged)
+                finer = level
+        changed = sorted({*days, *(row.d for row in bounds)})
+        for day in changed:
+            self._forget(name, day)
+        old = [f"d={day}/batch={b}" for day in days for b in self._folders(name, day)]
+        new = [f"d={day}/batch={b}" for day, b in files.partitions(self.spark, staged, "d", "batch")]
         files.swap(self.spark, staged, self.path(name), old, new)
-        left = self.partitions(name)
+        # Days that were not replaced may hold other rows of the same batches, which the notes then do not know.
+        self._note(name, [row for row in bounds if row.d in days])
         for day in days:
-            if day not in left:
+            if not self._folders(name, day):
                 files.drop(self.spark, f"{self.path(name)}/d={day}")
 
     def drop_day(self, name: str, day: date) -> None:
+        self._forget(name, day)
         files.drop(self.spark, f"{self.path(name)}/d={day}")
 
+    def drop_batch(self, name: str, batch: int) -> None:
+        """Take back what a recent batch wrote."""
+        for day in self.written_days(name, batch):
+            self._forget(name, day, batch)
+            files.drop(self.spark, f"{self.path(name)}/d={day}/batch={batch}")
+        files.drop(self.spark, f"{self.root}/_written/{name}/{batch}")
+
     def write_dimension(self, name: str, rows: DataFrame) -> None:
         """Replace a naming table; ``rows`` may be derived from its present content."""
         schema = DIMENSIONS[name]
@@ -145,8 +267,7 @@ class TableStore:
 
     def set_horizon(self, name: str, moment: datetime) -> None:
         """Rows before a moment no longer exist for readers."""
-        micros = (utc(moment) - UNIX_EPOCH) // timedelta(microseconds=1)
-        files.mark(self.spark, f"{self.root}/_horizon/{name}", micros)
+        files.mark(self.spark, f"{self.root}/_horizon/{name}", _micros(moment))
 
     def horizon(self, name: str) -> datetime | None:
         micros = files.latest_mark(self.spark, f"{self.root}/_horizon/{name}")
@@ -170,16 +291,29 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def partials(
-        self, name: str, low: datetime | None = None, high: datetime | None = None
-    ) -> DataFrame:
-        """Stored rows, day-pruned; keys may still be spread over batches."""
-        schema, at = TABLES[name]
-        full = T.StructType([*schema.fields, *_PARTITION])
-        if not files.subdirs(self.spark, self.path(name), "d="):
+    def _window(self, name: str, low: datetime | None, high: datetime | None) -> dict[date, list[int]]:
+        """Days of a window and their batches that may hold something of it."""
+        out = {}
+        for day in self.days(name):
+            if (low and day < utc(low).date()) or (high and day > utc(high).date()):
+                continue
+            zones = self.zones(name, day) if low or high else {}
+            out[day] = [
+                b for b in self._folders(name, day)
+                if b not in zones or not ((low and zones[b].high < utc(low)) or (high and zones[b].low > utc(high)))
+            ]
+        return out
+
+    def _open(self, name: str, found: dict[date, list[int]], more: list[T.StructField] | None = None) -> DataFrame:
+        """Rows of the given folders, nothing else being listed."""
+        full = T.StructType([*TABLES[name][0].fields, *(more or []), *_PARTITION])
+        paths = [f"{self.path(name)}/d={day}/batch={b}" for day, batches in found.items() for b in batches]
+        if not paths:
             return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(self.path(name))
-        low = self._lowest(name, low)
+        return self.spark.read.schema(full).option("basePath", self.path(name)).parquet(*paths)
+
+    @staticmethod
+    def _within(rows: DataFrame, at: str, low: datetime | None, high: datetime | None) -> DataFrame:
         if low:
             rows = rows.filter(F.col("d") >= F.lit(utc(low).date()))
         if high:
@@ -188,17 +322,21 @@ class TableStore:
             rows = rows.filter(predicate)
         return rows
 
+    def partials(
+        self, name: str, low: datetime | None = None, high: datetime | None = None
+    ) -> DataFrame:
+        """Stored rows, day-pruned; keys may still be spread over batches."""
+        low = self._lowest(name, low)
+        found = {day: [b for b in batches if b >= COMPACTED] for day, batches in self._window(name, low, high).items()}
+        return self._within(self._open(name, found), TABLES[name][1], low, high)
+
     def batch(self, name: str, batch: int) -> DataFrame | None:
-        """What one batch wrote, listing nothing but its own directories."""
-        paths = [
-            f"{self.path(name)}/d={day}/batch={batch}"
-            for day, found in self.partitions(name).items()
-            if batch in found
-        ]
-        if not paths:
+        """What a recent batch wrote, listing nothing but its own directories."""
+        days = self.written_days(name, batch)
+        if not days:
             return None
-        reader = self.spark.read.schema(TABLES[name][0]).option("basePath", self.path(name))
-        return reader.parquet(*paths)
+        rows = self._open(name, {day: [batch] for day in days})
+        return rows.select(*TABLES[name][0].names)
 
     def merged(
         self, name: str, low: datetime | None = None, high: datetime | None = None
@@ -213,29 +351,75 @@ class TableStore:
         return rows if horizon is None else rows.filter(F.col("last_seen") >= instant(horizon))
 
     def _merged(self, name: str, low: datetime | None, high: datetime | None) -> DataFrame:
-        rows, low = self.partials(name, low, high), self._lowest(name, low)
+        low = self._lowest(name, low)
         at, columns = TABLES[name][1], TABLES[name][0].names
-        batches = {
-            day: found
-            for day, found in self.partitions(name).items()
-            if (not low or day >= utc(low).date()) and (not high or day <= utc(high).date())
-        }
-        open_days = [day for day, found in batches.items() if found != [COMPACTED]]
+        found = {day: [b for b in batches if b >= COMPACTED] for day, batches in self._window(name, low, high).items()}
+        rows = self._within(self._open(name, found), at, low, high)
+        open_days = [day for day, batches in found.items() if batches and batches != [COMPACTED]]
         if not open_days:
             return rows.select(*columns)
-        later = rows.filter(F.col("d").isin(open_days) & (F.col("batch") != COMPACTED))
         settled = ~F.col("d").isin(open_days)
-        if any(COMPACTED in batches[day] for day in open_days):
-            # One row per open day; only days not compacted yet are open.
-            touched = later.groupBy("d").agg(F.unix_micros(F.min(at)).alias("since")).collect()
-            for row in touched:
-                since = F.timestamp_micros(F.lit(row["since"]))
-                settled = settled | (
-                    (F.col("d") == F.lit(row["d"])) & (F.col("batch") == COMPACTED) & (F.col(at) < since)
-                )
+        for day in open_days:
+            if COMPACTED in found[day]:
+                zones = self.zones(name, day)
+                since = min(zones[b].low if b in zones else midnight(day) for b in found[day] if b != COMPACTED)
+                settled = settled | ((F.col("d") == F.lit(day)) & (F.col("batch") == COMPACTED) & (F.col(at) < instant(since)))
         done = rows.filter(settled).select(*columns)
         return done.unionByName(merge_table(name, rows.filter(~settled)).select(*columns))
 
+    def spans(
+        self, name: str, low: datetime | None = None, high: datetime | None = None, grain: int = 86_400
+    ) -> DataFrame:
+        """Rows that add up to a window of minute buckets, in buckets of at most ``grain`` seconds.
+
+        ``first`` and ``last`` are the first and last minute of a row. Compacted
+        days inside the window are read by the day, those at its edges by the
+        hour with minutes beside it, and whatever came later by the minute.
+        """
+        low, names = self._lowest(name, low), TABLES[name][0].names
+        found = self._window(name, low, high)
+        after = None if high is None else utc(high) + timedelta(microseconds=1)
+        minutes: dict[date, list[int]] = {}
+        whole: dict[int, dict[date, list[int]]] = {level: {} for level in LEVELS}
+        edges = []
+        for day, batches in found.items():
+            minutes[day] = [b for b in batches if b > COMPACTED]
+            if COMPACTED not in batches:
+                continue
+            start, end = midnight(day), midnight(day) + timedelta(days=1)
+            first, last = (start if low is None else max(start, utc(low))), (end if after is None else min(end, after))
+            levels = [level for level, seconds in LEVELS.items() if level in batches and seconds <= grain]
+            if DAYS in levels and first == start and last == end:
+                whole[DAYS][day] = [DAYS]
+            elif HOURS in levels:
+                hour = timedelta(hours=1)
+                first = start + -(-(first - start) // hour) * hour
+                last = start + (last - start) // hour * hour
+                if first < last:
+                    whole[HOURS][day] = [HOURS]
+                edges.append((day, first, max(first, last)))
+            else:
+                minutes[day].append(COMPACTED)
+        fine = self._within(self._open(name, minutes), "bucket", low, high)
+        for day, first, last in edges:
+            rest = self._within(self._open(name, {day: [COMPACTED]}), "bucket", low, high)
+            fine = fine.unionByName(rest.filter((F.col("bucket") < instant(first)) | (F.col("bucket") >= instant(last))))
+        out = fine.select(*names, F.col("bucket").alias("first"), F.col("bucket").alias("last"))
+        inside = self._open(name, whole[HOURS], _SPAN)
+        bounds = {day: (first, last) for day, first, last in edges}
+        kept = F.lit(False)
+        for day in whole[HOURS]:
+            first, last = bounds[day]
+            kept = kept | ((F.col("bucket") >= instant(first)) & (F.col("bucket") < instant(last)))
+        if whole[HOURS]:
+            out = out.unionByName(inside.filter(kept).select(*names, "first", "last"))
+        if whole[DAYS]:
+            out = out.unionByName(self._open(name, whole[DAYS], _SPAN).select(*names, "first", "last"))
+        return out
+
+    def sketches(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        return self.spans("distinct_1m", low, high)
+
     def conversations(
         self, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:
@@ -244,6 +428,39 @@ class TableStore:
     def statistics(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
         return self.merged("statistics", low, high)
 
+    def statistics_parts(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        """Statistics for readers that sum them: keys may still be spread over batches."""
+        return self.partials("statistics", low, high).select(*schemas.STATISTICS.names)
+
+    def conversation_parts(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
+        """Conversation rows for readers that sum them, without a merge where it would change no sum.
+
+        Both bounds are meant for ``last_seen`` and are whole buckets here: a
+        row whose bucket lies inside needs no look at its conversation's other
+        rows. Rows without a service take what their ports read from the first
+        flow, so these are always merged. Nothing below the horizon is returned.
+        """
+        horizon = self.horizon("conversations")
+        if horizon is not None:
+            low = max(utc(low), horizon) if low else horizon
+        first = None if low is None else UNIX_EPOCH + -(-(utc(low) - UNIX_EPOCH) // BUCKET) * BUCKET
+        last = None if high is None else UNIX_EPOCH + ((utc(high) - UNIX_EPOCH) // BUCKET - 1) * BUCKET
+        if first and last and last < first:
+            return self.conversations(low - BUCKET if low else None, high)
+        known = F.coalesce("key_src_port", "key_dst_port").isNotNull()
+        inner = self._within(self.partials("conversations", first, last), "bucket_start", first, last)
+        names = TABLES["conversations"][0].names
+        plain = inner.filter(known).select(*names)
+        # A bucket's last row may come with a later batch: merged rows are cut to the same buckets.
+        merged = self._merged("conversations", first, last).filter(~known)
+        rows = condense.finish(plain.unionByName(merged.select(*names)))
+        start = F.col("bucket_start")
+        for edge_low, edge_high in ((low and utc(low) - BUCKET, first and first - timedelta(microseconds=1)), (last and last + timedelta(microseconds=1), high)):
+            if edge_low and edge_high:
+                edge = self.conversations(edge_low, edge_high).filter((start >= instant(edge_low)) & (start <= instant(edge_high)))
+                rows = rows.unionByName(edge)
+        return rows
+
     def rollup(
         self, name: str, low: datetime | None = None, high: datetime | None = None
     ) -> DataFrame:

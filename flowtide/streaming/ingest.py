@@ -10,18 +10,20 @@ files simply fold into their old buckets.
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtide.functions import buckets
+from flowtide.jobs.upkeep import Upkeep
 from flowtide.operators import condense, dimensions, rollups
 from flowtide.schemas import FLOWS
 from flowtide.session import together
-from flowtide.sources import jsonl
-from flowtide.sources.store import TableStore
+from flowtide.sources import files, jsonl, tail
+from flowtide.sources.store import EVENT_TABLES, TableStore
 
 MAX_FILES = 64
 TRIGGER = "10 seconds"
@@ -42,6 +44,7 @@ def write_derived(store: TableStore, condensed: DataFrame, batch: int) -> None:
         [
             update_exporters,
             lambda: store.append("statistics", rollups.statistics_5m(condensed), batch),
+            lambda: store.append("distinct_1m", rollups.sketches_1m(condensed), batch),
             *(partial(write_rollup, name) for name in rollups.ROLLUP_NAMES),
         ],
     )
@@ -60,24 +63,41 @@ def ingest_flows(store: TableStore, flows: DataFrame, batch: int, arrival_lane:
     condensed = store.batch("conversations", batch)
     if condensed is not None:
         write_derived(store, condensed, batch)
+        return
+    # A batch that came again empty takes back what it wrote before.
+    for name in (*EVENT_TABLES, "batch_log"):
+        store.drop_batch(name, batch)
 
 
 def ingest_lines(store: TableStore, lines: DataFrame, batch: int) -> None:
-    """One micro-batch: split off bad lines, normalise, aggregate, write."""
+    """One micro-batch: parse once, stage, split off bad lines, aggregate, write.
+
+    Flows and refused lines are both read from the staged rows, so a bad line
+    costs no second parse and a lost executor no more than its files.
+    """
     normalized = jsonl.normalize(jsonl.parse(lines))
-    refused = Observation()
-    watched = normalized.observe(refused, F.count("reason").alias("lines"))
-    ingest_flows(store, jsonl.good_flows(watched), batch, arrival_lane=True)
-    # Counted along the way; the lines are read again only when some were refused.
-    if refused.get["lines"]:
-        store.append("quarantine", jsonl.quarantine(normalized), batch)
+    kept = F.when(F.col("reason").isNotNull(), F.col("value"))
+    staged = f"{store.staging}/lines-{batch}-{uuid.uuid4().hex}"
+    normalized.withColumn("value", kept).write.parquet(staged)
+    rows = store.spark.read.schema(normalized.schema).parquet(staged)
+    ingest_flows(store, jsonl.good_flows(rows), batch, arrival_lane=True)
+    refused = jsonl.quarantine(rows)
+    if refused.isEmpty():
+        store.drop_batch("quarantine", batch)
+    else:
+        store.append("quarantine", refused, batch)
+    files.drop(store.spark, staged)
+
+
+def _follow(rows: DataFrame, sink, store: TableStore, checkpoint: str, drain: bool, upkeep: Upkeep | None = None) -> StreamingQuery:
+    store.recover()
 
+    def batch(batch_rows: DataFrame, number: int) -> None:
+        sink(store, batch_rows, number)
+        if upkeep is not None:
+            upkeep(store)
 
-def _follow(rows: DataFrame, sink, store: TableStore, checkpoint: str, drain: bool) -> StreamingQuery:
-    store.recover()
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch_rows, batch: sink(store, batch_rows, batch)
-    )
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=TRIGGER)
     return writer.start()
 
@@ -89,6 +109,7 @@ def start(
     checkpoint: str,
     drain: bool = False,
     max_files: int = MAX_FILES,
+    upkeep: Upkeep | None = None,
 ) -> StreamingQuery:
     """Follow a directory of JSON-lines files. ``drain`` processes what is there
     and then stops.
@@ -97,7 +118,25 @@ def start(
     number and overwrites its own partitions: data and position stay in step.
     """
     lines = jsonl.stream_lines(spark, source, max_files)
-    return _follow(lines, ingest_lines, store, checkpoint, drain)
+    return _follow(lines, ingest_lines, store, checkpoint, drain, upkeep)
+
+
+def start_tail(
+    spark: SparkSession, folder: str, store: TableStore, checkpoint: str, max_bytes: int = tail.MAX_BYTES, drain: bool = False,
+    upkeep: Upkeep | None = None, **options: str,
+) -> StreamingQuery:
+    """Follow files that are still being written; a batch takes at most ``max_bytes``.
+
+    ``drain`` works off what is there, batch after batch, and then stops.
+    """
+    lines = tail.stream_lines(spark, folder, checkpoint, max_bytes, **options)
+    query = _follow(lines, ingest_lines, store, checkpoint, False, upkeep)
+    if drain:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
 
 
 def start_from_flows(
@@ -107,9 +146,10 @@ def start_from_flows(
     checkpoint: str,
     drain: bool = False,
     max_files: int = MAX_FILES,
+    upkeep: Upkeep | None = None,
 ) -> StreamingQuery:
     """The same for Parquet files of flow rows that carry their arrival time."""
     rows = (
         spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", max_files).parquet(source)
     )
-    return _follow(rows, ingest_flows, store, checkpoint, drain)
+    return _follow(rows, ingest_flows, store, checkpoint, drain, upkeep)

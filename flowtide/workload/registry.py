@@ -11,6 +11,7 @@ from flowtide.workload.adapter import Inputs, inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
+BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 def plain_times(rows: DataFrame) -> DataFrame:
@@ -30,5 +31,6 @@ def register(name: str, build: Callable[[Inputs], DataFrame], twin: str | None =
     if name in QUERIES:
         raise ValueError(f"duplicate query {name}")
     QUERIES[name] = run
+    BUILDERS[name] = build
     if twin is not None:
         TWINS[name] = twin.strip()

@@ -113,7 +113,7 @@ register(
 # -- detailed flows ---------------------------------------------------------------
 
 _IN, _OUT = "'ifIndex ' || f.in_if", "'ifIndex ' || f.out_if"
-_LISTING = f"""
+LISTING_SQL = f"""
 SELECT conv_key, received_at, flow_time, f.first_seen, f.last_seen, flow_count, f.exporter, {DEVICE} AS exporter_hostname,
   flow_type, src_addr, dst_addr, src_port, dst_port, proto, bytes, packets, in_if, out_if, service_port, service_side,
   {interface_label('a', _IN, 'NULL')} AS in_if_name, {interface_label('b', _OUT, 'NULL')} AS out_if_name, sampling_rate
@@ -127,14 +127,14 @@ register(
         order="asc", limit=100, offset=20,
     ),
     query(
-        f"""{_LISTING} WHERE received_at >= as_of - INTERVAL '6 hours' AND proto = 6
+        f"""{LISTING_SQL} WHERE received_at >= as_of - INTERVAL '6 hours' AND proto = 6
             AND (f.in_if::VARCHAR = 'ether' OR f.out_if::VARCHAR = 'ether' OR a.if_name ILIKE '%ether%'
                  OR b.if_name ILIKE '%ether%' OR a.if_descr ILIKE '%ether%' OR b.if_descr ILIKE '%ether%')
             ORDER BY coalesce({DEVICE}, f.exporter) NULLS LAST, conv_key DESC, bucket_start DESC LIMIT 100 OFFSET 20"""
     ),
 )
 _LATEST_SQL = query(
-    f"""{_LISTING} WHERE bucket_start >= (SELECT max(bucket_start) - INTERVAL '10 minutes' FROM conv)
+    f"""{LISTING_SQL} WHERE bucket_start >= (SELECT max(bucket_start) - INTERVAL '10 minutes' FROM conv)
         ORDER BY received_at DESC, conv_key DESC, bucket_start DESC LIMIT 10"""
 )
 register("latest_conversations", lambda i: flows.latest(i.tables()), _LATEST_SQL)
@@ -379,7 +379,7 @@ def _smart_flows(i: Inputs):
 register(
     "smart_period_flows", _smart_flows,
     query(
-        f"""SELECT {_SHARED} FROM ({_LISTING} WHERE received_at >= as_of - INTERVAL '5 hours'
+        f"""SELECT {_SHARED} FROM ({LISTING_SQL} WHERE received_at >= as_of - INTERVAL '5 hours'
               AND received_at <= as_of - INTERVAL '30 minutes'
               ORDER BY received_at DESC, conv_key DESC, bucket_start DESC LIMIT 50)
             UNION ALL

@@ -31,7 +31,10 @@ def test_twin(spark, duck, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from flowtide.workload.registry import QUERIES, TWINS
+
+    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
