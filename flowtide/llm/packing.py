@@ -9,7 +9,9 @@ histogram allows. The first descent takes the fullest filling each time, which
 is the best-fit solution and the first incumbent; branch and bound then tries
 other fillings and gives up a branch once its waste proves that it needs as
 many sequences as the incumbent. It ends when the incumbent meets the lower
-bound, or after a number of steps.
+bound, or after a number of steps. A plan above the bound is held against plans
+that complete long and short pieces apart (``planned``); what is left to the
+bound is reported.
 
 Pieces of one length are interchangeable: their rank within the length says
 which filling they go to. Ranks are counted within hashed parts, so a length
@@ -21,7 +23,11 @@ are packed one by one; no rows give no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import os
+import sys
+import types
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
@@ -35,17 +41,30 @@ from pyspark.sql import functions as F
 
 from flowtide.llm.work import shards, stored
 
+LOG = logging.getLogger(__name__)
+
 SIZE = 1024
 CLOSING_ID = 2
 STEPS = 3_000
 OTHERS = 12
+SPLITS = 24
 CACHE_WORDS = 500_000
 PART_ROWS = 20_000
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------
 
-_READY: dict[int, object] = {}
+def _encoder(model: str) -> _Encoder:
+    """The worker's own encoder of this model, made once and kept from task to task.
+
+    What is sent to tasks by value is made anew for each of them, so the
+    encoders live in a module that the worker process keeps.
+    """
+    kept = sys.modules.setdefault(f"{__name__}.worker", types.ModuleType(f"{__name__}.worker")).__dict__
+    key = hashlib.sha256(model.encode()).hexdigest()
+    if key not in kept:
+        kept[key] = _Encoder(model)
+    return kept[key]
 
 
 class _Encoder:
@@ -106,9 +125,7 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str =
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if 0 not in _READY:
-            _READY[0] = _Encoder(model.value)
-        encoder = _READY[0]
+        encoder = _encoder(model.value)
         for batch in batches:
             lengths = np.maximum(0, np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0)))
             ends = np.searchsorted(np.cumsum(lengths), np.arange(1, lengths.sum() // 2_000_000 + 1) * 2_000_000, "right")
@@ -210,8 +227,8 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
     return best
 
 
-def complete(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, times) that pack ``counts`` pieces by length into as few sequences as found."""
+def complete(counts: dict[int, int], size: int = SIZE, steps: int = STEPS, others: int = OTHERS) -> list[tuple[tuple[int, ...], int]]:
+    """(filling, times) that pack ``counts`` pieces by length into as few sequences as found within ``steps`` decisions."""
     counts = {s: n for s, n in counts.items() if n}
     total = sum(s * n for s, n in counts.items())
     least = lower_bound(counts, size)
@@ -225,7 +242,7 @@ def complete(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> li
         sizes = sorted((s for s, n in left.items() if n), reverse=True)
         fullest = fillings(size - top, left, sizes, 1)[0]
         yield (top, *fullest)
-        for other in fillings(size - top, left, sizes, OTHERS):
+        for other in fillings(size - top, left, sizes, others):
             if other != fullest:
                 yield (top, *other)
 
@@ -268,6 +285,36 @@ def complete(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> li
     return best
 
 
+def sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def planned(
+    counts: dict[int, int], size: int = SIZE, steps: int = STEPS, others: int = OTHERS, splits: int = SPLITS
+) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """The best plan found, and how many sequences it is above the lower bound.
+
+    Filling the longest piece best may spend short pieces that fit better among
+    themselves. Where a plan stays above the bound, the lengths are therefore
+    also cut in two at up to ``splits`` places, each part is completed by
+    itself, and the best of all is kept. The work depends on the number of
+    lengths, not on the number of pieces.
+    """
+    counts = {s: n for s, n in counts.items() if n}
+    best, least = complete(counts, size, steps, others), lower_bound(counts, size)
+    lengths = sorted(counts)
+    for k in range(1, splits + 1):
+        if sequences(best) <= least:
+            break
+        border = lengths[0] + (lengths[-1] - lengths[0]) * k // (splits + 1)
+        parts = [{s: n for s, n in counts.items() if (s > border) == above} for above in (True, False)]
+        # One descent each: decisions are tried again where the whole is at stake.
+        plan = [step for part in parts for step in complete(part, size, 1, others)]
+        if sequences(plan) < sequences(best):
+            best = plan
+    return best, sequences(best) - least
+
+
 # ---- assignment -----------------------------------------------------------------------------------------
 
 
@@ -288,13 +335,22 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, list[tupl
     return sorted(slots.items())
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, ids: bool = False) -> DataFrame:
-    """Every piece with its sequence and its place there; ``ids`` adds the ids themselves (binary, 32-bit little-endian)."""
+def pack(
+    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, ids: bool = False,
+    steps: int = STEPS, others: int = OTHERS, splits: int = SPLITS,
+) -> DataFrame:
+    """Every piece with its sequence and its place there; ``ids`` adds the ids themselves (binary, 32-bit little-endian).
+
+    ``steps``, ``others`` and ``splits`` bound the search for the plan; what it
+    stays above the lower bound by is logged.
+    """
     spark = docs.sparkSession
     pieces = stored(tokenised(docs, tokenizer, text, doc_id, size, ids), "pack-pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    plan, above = planned(counts, size, steps, others, splits)
+    LOG.info("%d sequences, %d above the lower bound", sequences(plan), above)
     slots = spark.createDataFrame(
-        _slots(complete(counts, size)),
+        _slots(plan),
         "of bigint, slots array<struct<lo: bigint, hi: bigint, k: bigint, sequence: bigint, at: bigint>>",
     )
     parts = shards(sum(counts.values()), PART_ROWS)

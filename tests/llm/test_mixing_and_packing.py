@@ -115,3 +115,24 @@ def test_bin_completion_is_sound_and_near_best():
         assert packing.lower_bound(dict(Counter(lengths)), 20) <= fewest(tuple(lengths), 20) <= bins <= best_fit(lengths, 20)
         assert bins <= fewest(tuple(lengths), 20)
     assert packing.complete({}, 20) == []
+
+
+def test_short_pieces_are_kept_for_each_other():
+    r = random.Random(5)
+    for n, most in ((5000, 2014), (300, 121)):
+        counts = dict(Counter(r.randrange(260, 521) for _ in range(n)))
+        plan, above = packing.planned(counts)
+        got = Counter()
+        for filling, times in plan:
+            assert sum(filling) <= 1024
+            got.update({s: filling.count(s) * times for s in set(filling)})
+        assert got == Counter(counts)
+        assert packing.sequences(plan) <= most and above == packing.sequences(plan) - packing.lower_bound(counts, 1024)
+
+
+def test_an_encoder_is_kept_per_model():
+    pytest.importorskip("public_tokenizers")
+    model = open(tokenizer(), encoding="utf-8").read()
+    one = packing._encoder(model)
+    other = packing._encoder(model.replace('"unk_token":', '"unk_token" :'))
+    assert packing._encoder(model) is one and (other is one) == ('"unk_token":' not in model)
