@@ -5,17 +5,22 @@ documents. Counts of all bigrams and all words stay in shards, which answer
 the documents' blocks. What is left for words that no trusted document holds
 is shared evenly by all distinct words of the documents and one more; ``size``
 limits the vocabulary on request. A trusted document is scored without its own
-words and bigrams, so that perplexities of trusted and new documents compare. Per language, the thresholds come from inner
-quantiles of the trusted documents' perplexities, so that a few odd ones among
-them do not set a limit: the upper one lies 1.5 interquartile ranges of the
+words and bigrams, so that perplexities of trusted and new documents compare.
+Per language, the thresholds come from inner quantiles of the trusted
+documents' perplexities, so that a few odd ones among them do not set a limit:
+the upper one lies 1.5 interquartile ranges of the
 logarithm above the upper quartile, the lower one as far below the lower
 quartile or at the hundredth, whichever is less. A document within them is
-kept. The quantiles are mergeable sketches of a stated accuracy.
+kept. The quantiles are mergeable sketches of a stated accuracy. Fewer than
+``enough`` trusted documents say nothing about how perplexities spread: such a
+language takes the limits over all trusted documents. Perplexity tells odd
+text from ordinary text, not what it says: fluent toxic documents pass.
 
 Defined results: null and empty texts have no tokens, perplexity null, and are
-not kept; a language without trusted documents takes the thresholds over all
-trusted documents, as does a null language; without any trusted document
-all documents with words are kept; repeated rows are judged one by one.
+not kept; a language with too few trusted documents takes the thresholds over
+all trusted documents, as does a null language; with too few in all, all
+documents with words are kept; repeated rows are judged one by one; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from flowtide.llm import ngrams
 FLOOR, LOW, HIGH = 0.01, 0.25, 0.75
 REACH = 1.5
 ACCURACY = 10_000
+ENOUGH = 20
 
 
 def _discounts(over: np.ndarray) -> np.ndarray:
@@ -76,13 +82,14 @@ def perplexity(docs: DataFrame, labels: DataFrame, trusted: Column, text: str =
     return out.select("doc_id", "lang", "trusted", "tokens", F.when(F.col("tokens") > 0, F.exp(F.col("s1") / F.col("tokens"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: Column, floor: float = FLOOR, low: float = LOW, high: float = HIGH, reach: float = REACH, **columns) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, trusted: Column, floor: float = FLOOR, low: float = LOW, high: float = HIGH, reach: float = REACH, enough: int = ENOUGH, **columns) -> DataFrame:
     """Perplexities with the language's thresholds and ``kept``."""
     from flowtide.llm.work import stored
 
     rows = stored(perplexity(docs, labels, trusted, **columns), "perplexity")
     good = rows.filter(F.col("trusted") & F.col("perplexity").isNotNull())
-    ends = lambda: F.percentile_approx("perplexity", F.array(F.lit(floor), F.lit(low), F.lit(high)), F.lit(ACCURACY)).alias("ends")
+    quantiles = F.percentile_approx("perplexity", F.array(F.lit(floor), F.lit(low), F.lit(high)), F.lit(ACCURACY))
+    ends = lambda: F.when(F.count("*") >= enough, quantiles).alias("ends")
     own = good.groupBy("lang").agg(ends()).select(F.col("lang").alias("_lang"), F.col("ends").alias("_own"))
     every = good.agg(ends()).select(F.col("ends").alias("_every"))
     both = rows.join(own, F.col("lang") == F.col("_lang"), "left").join(every, F.lit(True), "left")  # one row beside each

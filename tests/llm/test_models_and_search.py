@@ -99,12 +99,78 @@ def test_perplexity_tells_held_out_text_apart(spark):
     assert {(r.perplexity, r.kept) for r in rows if not r.tokens} == {(None, False)}
 
 
+def plain_kneser_ney(texts, good):
+    """Perplexities by the formulas of interpolated modified Kneser-Ney, all counts in dictionaries."""
+    pairs = lambda t: list(zip(["<s>", *t], t))
+    model = Counter(p for d, t in texts if d in good for p in pairs(t))
+    types = len({w for _, t in texts for w in t})
+    contexts = Counter(w for _, w in model)
+
+    def discounts(counts):
+        n = [max(1.0, sum(1 for c in counts if c == k)) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    d, low = discounts(model.values()), discounts(contexts.values())
+    cut = lambda by, c: by[min(c, 3)]
+    kinds = len(model)
+    spare = sum(cut(low, c) for c in contexts.values()) / kinds if kinds else 1.0
+    out = []
+    for doc, text in texts:
+        own = Counter(pairs(text)) if doc in good else Counter()
+        total = 0.0
+        for h, w in pairs(text):
+            c = model[h, w] - own[h, w]
+            into = contexts[w] - sum(1 for (g, v), n in own.items() if v == w and n == model[g, v])
+            unigram = max(into - cut(low, into), 0) / max(kinds, 1) + spare / (types + 1)
+            left = {v: n - own[g, v] for (g, v), n in model.items() if g == h}
+            n = sum(left.values())
+            freed = sum(cut(d, k) for k in left.values())
+            p = (max(c - cut(d, c), 0) + max(freed, 0.05) * unigram) / n if n else unigram
+            total -= math.log(p)
+        out.append((doc, len(text), math.exp(total / len(text)) if text else None))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_perplexities_equal_the_formulas(spark, seed):
+    r = random.Random(seed)
+    rows = [(n, " ".join(f"w{int(r.expovariate(0.3))}" for _ in range(r.randrange(0, 40))), "en", "s", 1, *["kept"] * 10) for n in range(40)]
+    good = {n for n in range(40) if n % 3}
+    labels = spark.createDataFrame([(n, 1) for n in good], "doc_id long, quality int")
+    got = quality_classifier.perplexity(frame(spark, rows), labels, F.col("quality") == 1).collect()
+    want = {d: (n, p) for d, n, p in plain_kneser_ney([(row[0], row[1].split()) for row in rows], good)}
+    assert len(got) == len(rows)
+    for row in got:
+        n, p = want[row.doc_id]
+        assert row.tokens == n and (row.perplexity is None if p is None else row.perplexity == pytest.approx(p, rel=1e-9))
+
+
+@pytest.mark.parametrize("few", [1, 2, 5])
+def test_few_trusted_documents_of_a_language_set_no_limits(spark, few):
+    r = random.Random(few)
+    rows = []
+    for n in range(200):
+        lang, stem = ("de", "d") if n < 60 else ("en", "e")
+        rows.append((n, " ".join(f"{stem}{int(r.expovariate(0.2))}" for _ in range(60)), lang, "s", 1, *["kept"] * 10))
+    labels = spark.createDataFrame([(n, 1) for n in [*range(few), *range(60, 120)]], "doc_id long, quality int")
+    kept = {x.doc_id for x in quality_classifier.classify(frame(spark, rows), labels, F.col("quality") == 1).collect() if x.kept}
+    assert len([n for n in range(60, 200) if n in kept]) >= 130
+    alone = quality_classifier.classify(frame(spark, rows[:60]), labels, F.col("quality") == 1).collect()
+    assert all(x.kept for x in alone)
+
+
 def test_models_of_nothing(spark):
     docs, labels, _ = corpus(spark)
     assert lm_scoring.score(docs.limit(0), labels, F.col("quality") == 1).count() == 0
     assert all(r.kept == bool(r.tokens) for r in quality_classifier.classify(docs, labels.limit(0), F.col("quality") == 1).collect())
 
 
+def test_classify_no_documents(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_classifier.classify(frame(spark, []), labels, F.col("quality") == 1).count() == 0
+
+
 def test_planted_low_quality_is_rejected(spark, tmp_path):
     from flowtide.llm.queries import QUERIES
 
