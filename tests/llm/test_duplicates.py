@@ -43,12 +43,45 @@ def test_near_duplicates_equal_all_pairs(spark):
 
 def test_large_family_page_by_page(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "PAGE", 4)
-    monkeypatch.setattr(minhash_dedup, "DENSE", 5)
+    monkeypatch.setattr(minhash_dedup.candidates, "__defaults__", (24, 3, 0.5, 5))
     rows = documents(4, copies=25)
     got = minhash_dedup.classes(frame(spark, rows)).collect()
     assert Counter((r.id, r.n_shingles, r.component) for r in got) == plain_components(rows, 2)
 
 
+def test_recall_where_every_region_is_dense(spark, monkeypatch):
+    """Pairs at 0.8 among documents that share more than half of their text; regions of more than eight nodes are cut."""
+    import random
+
+    monkeypatch.setattr(minhash_dedup.candidates, "__defaults__", (24, 3, 0.5, 8))
+    r = random.Random(9)
+    common = [f"c{n}" for n in range(70)]
+    rows, pairs = [], []
+    for n in range(0, 600, 2):
+        text = common + [f"o{n}x{k}" for k in range(50)]
+        other = list(text)
+        while True:  # edits as far as the similarity stays at 0.8
+            tried = list(other)
+            tried[r.randrange(len(tried))] = f"e{r.randrange(10**9)}"
+            a, b = shingles(" ".join(text), 2), shingles(" ".join(tried), 2)
+            if 5 * len(a & b) < 4 * len(a | b):
+                break
+            other = tried
+        rows += [(n, " ".join(text)), (n + 1, " ".join(other))]
+        pairs.append((n, n + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sigs = minhash_dedup.signatures(docs).filter("node IS NOT NULL").select("node", "sig")
+    rows_of = minhash_dedup._tree_rows(24, 3)
+    sizes = sigs.mapInArrow(rows_of, "tree int, key bigint, node bigint").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert sizes > 8
+    found = {x.id: x.component for x in minhash_dedup.classes(docs).collect()}
+    recall = sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+    print("recall", recall)
+    assert recall >= 0.9
+    for a, b in ((found[0], found[2]), (found[10], found[400])):
+        assert a != b  # unlike documents of the region stay apart
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
