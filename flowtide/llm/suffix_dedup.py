@@ -284,6 +284,13 @@ def _zones(near: DataFrame, length: int, count: int, ask: bool, keep_first: bool
     return near.mapInArrow(run, ASKED if ask else CELLS)
 
 
+def _laid_out(body: np.ndarray, start: np.ndarray, size: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The zones' bytes end to end, where each begins, and zone and place of every window."""
+    data = np.concatenate([body[a : a + n] for a, n in zip(start, size)])
+    zone = np.repeat(np.arange(len(start)), windows)
+    return data, np.cumsum(size) - size, zone, np.arange(len(zone)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
 def _zone_answers(asked: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def run(key, table):  # untyped: hints as text are not understood here
         cells, base = [], 0
@@ -318,11 +325,20 @@ def _zone_answers(asked: DataFrame, length: int, keep_first: bool) -> DataFrame:
             inside = np.flatnonzero(part == p)
             a = edges[inside[0]]
             b = edges[inside[-1] + 1] if inside[-1] + 1 < len(edges) else len(heads)
-            own = heads[a:b]
-            data = np.concatenate([body[start[z] : start[z] + size[z]] for z in own])
-            at = np.cumsum(size[own]) - size[own]
-            zone = np.repeat(np.arange(len(own)), windows[own])
-            inner = np.arange(len(zone)) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
+            own, wants = heads[a:b], asks[a:b]
+            data, at, zone, inner = _laid_out(body, start[own], size[own], windows[own])
+            # A window whose hash stands alone has no match: zones of such windows need no order.
+            with np.errstate(over="ignore"):
+                h = Rolling(byte_values(13)[data]).slices(at[zone] + inner, at[zone] + inner + length)
+            by_hash = np.argsort(h, kind="stable")
+            twin = np.zeros(len(h), bool)
+            same = np.flatnonzero(h[by_hash[1:]] == h[by_hash[:-1]])
+            twin[by_hash[same]] = twin[by_hash[same + 1]] = True
+            alive = np.bincount(zone[twin], minlength=len(own)) > 0
+            if not alive.any():
+                continue
+            own, wants = own[alive], wants[alive]
+            data, at, zone, inner = _laid_out(body, start[own], size[own], windows[own])
             ranked, equal = suffix_classes(data, at[zone] + inner, length)
             cls = np.zeros(len(ranked), np.int64)
             cls[equal] = 1
@@ -335,7 +351,7 @@ def _zone_answers(asked: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 earlier |= smaller_neighbour(-position[ranked], cls)  # the mirrored array: later matches
             hit = np.zeros(len(zone), bool)
             hit[ranked] = earlier
-            hit &= asks[a:b][zone]
+            hit &= wants[zone]
             w = np.flatnonzero(hit)
             if len(w):
                 first = runs(zone[w], w - np.arange(len(w)))
