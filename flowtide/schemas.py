@@ -74,6 +74,7 @@ SKETCHES = _schema(("bucket", _TS), ("exporters", T.BinaryType()), ("sources", T
 SKETCHED = {"exporters": ("exporter_1m", "exporter"), "sources": ("src_1m", "src_addr"), "destinations": ("dst_1m", "dst_addr")}
 
 BATCH_LOG = _schema(("type", _S), ("count", _L), ("ts", _TS))
+STREAM_PROGRESS = _schema(("ts", _TS), ("rows", _L), ("rows_per_second", T.DoubleType()), ("batch_ms", _L), ("behind_bytes", _L))
 QUARANTINE = _schema(("value", _S), ("reason", _S), ("received_at", _TS))
 
 EXPORTERS = _schema(

@@ -51,6 +51,7 @@ LEVELED = (*schemas.ROLLUPS, "distinct_1m")
 LOG_TABLES = {
     "batch_log": (schemas.BATCH_LOG, "ts"),
     "quarantine": (schemas.QUARANTINE, "received_at"),
+    "stream_progress": (schemas.STREAM_PROGRESS, "ts"),
 }
 TABLES = {**EVENT_TABLES, **LOG_TABLES}
 DIMENSIONS = {

@@ -7,6 +7,7 @@ late; both have the same SQL twin.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -19,7 +20,7 @@ from flowtide.plans import dashboard, flows
 from flowtide.session import scratch_dir
 from flowtide.sources import files, tail
 from flowtide.sources.store import TableStore
-from flowtide.streaming import ingest
+from flowtide.streaming import ingest, progress
 from flowtide.workload import samples
 from flowtide.workload.adapter import Inputs
 from flowtide.workload.base_sql import query
@@ -149,6 +150,26 @@ def _tailed(i: Inputs) -> DataFrame:
 
 register("src_tail_growing", _tailed, TWINS["src_jsonl_stream"])
 
+def _progress(i: Inputs) -> DataFrame:
+    """Batches and rows that a listener noted while the flows were streamed in."""
+    store, source = TableStore(i.spark, scratch_dir(i.spark, "store") + "/tables"), scratch_dir(i.spark, "flows") + "/parquet"
+    i.flows.repartitionByRange(4, "seq").write.parquet(source)
+    listener = progress.watch(store)
+    try:
+        ingest.start_from_flows(i.spark, source, store, scratch_dir(i.spark, "work") + "/checkpoint", True, 2).awaitTermination()
+        for _ in range(300):  # events come a little later than the batches
+            if len([b for found in store.partitions("stream_progress").values() for b in found]) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        i.spark.streams.removeListener(listener)
+    return store.partials("stream_progress").agg(
+        F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.min(F.col("rows_per_second") > 0).alias("measured")
+    )
+
+
+register("stream_progress", _progress, query("SELECT CAST(2 AS BIGINT) AS batches, count(*) AS rows, true AS measured FROM flows"))
+
 # -- maintenance, each with a replay of the newest batch after it ---------------------
 
 

@@ -99,3 +99,14 @@ def test_line_borders(tmp_path):
         assert [tail.line_start(f, k, 11) for k in range(11)] == [0, 3, 3, 3, 4, 9, 9, 9, 9, 9, 11]
         assert [tail.line_end(f, 0, k, 11) for k in range(1, 12)] == [3, 3, 3, 4, 4, 4, 4, 4, 9, 9, 9]
         assert tail.line_end(f, 9, 11, 11) == 9
+
+
+def test_progress_tells_what_is_unread(tailed):
+    from flowtide.streaming import progress
+
+    tailed.append(line(1) + line(2))
+    entry = {"name": "flows.jsonl", "p": len(line(1)), "h": 0, "n": 0, "t": 0}
+    noted = progress.Progress(tailed.store, str(tailed.folder))
+    assert noted.behind(json.dumps({"files": {"flows.jsonl#0": entry}})) == len(line(2))
+    assert noted.behind(json.dumps({"files": {}})) == len(line(1) + line(2))
+    assert noted.behind(None) is None and noted.behind("{}") is None
