@@ -32,7 +32,7 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ CLOSING_ID = 2
 STEPS = 3_000
 OTHERS = 12
 SPLITS = 24
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 PART_ROWS = 20_000
 
 
@@ -99,9 +99,11 @@ class _Encoder:
             known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for known in (self.first, self.later):
-            if len(known) > CACHE_WORDS:
-                known.clear()
+        # Common words come early; of too many the later half goes.
+        if len(self.first) > CACHE_WORDS:
+            self.first = dict(islice(self.first.items(), CACHE_WORDS // 2))
+        if len(self.later) > CACHE_WORDS:
+            self.later = dict(islice(self.later.items(), CACHE_WORDS // 2))
         cut = [t.split(" ") for t in texts]
         heads = [p.pop(0) for p in cut]
         self._learn(self.first, heads, "")

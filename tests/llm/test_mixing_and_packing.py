@@ -130,6 +130,18 @@ def test_short_pieces_are_kept_for_each_other():
         assert packing.sequences(plan) <= most and above == packing.sequences(plan) - packing.lower_bound(counts, 1024)
 
 
+def test_a_full_cache_changes_no_ids(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    encoder, model = packing._Encoder(open(tokenizer(), encoding="utf-8").read()), Tokenizer.from_file(tokenizer())
+    for d in documents(3):
+        text = d[1] or ""
+        want = np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert list(encoder.batch([text])) == [want]
+
+
 def test_an_encoder_is_kept_per_model():
     pytest.importorskip("public_tokenizers")
     model = open(tokenizer(), encoding="utf-8").read()
