@@ -11,6 +11,10 @@ batches -2 and -3. A window is answered from days inside it, hours at its
 edges and minutes beside those (``spans``); rows of later batches are added at
 the minute. Levels are replaced together with the rows they are made of.
 
+Folded conversations and statistics are ordered by the interleaved hashes of
+source, destination and exporter and carry Bloom filters, so that a filter on
+one of them skips most row groups.
+
 A write notes the first and last bucket of its rows per day and batch (a name
 in a small folder per day). A read lists the days of its window only and opens
 only batches whose note meets it; a missing note means that the batch may hold
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtide import schemas
-from flowtide.operators import condense, rollups
+from flowtide.operators import clustering, condense, rollups
 from flowtide.operators.filters import BUCKET, between, instant, utc
 from flowtide.sources import files
 
@@ -47,6 +51,8 @@ EVENT_TABLES = {
     **{name: (schema, "bucket") for name, schema in schemas.ROLLUPS.items()},
     "distinct_1m": (schemas.SKETCHES, "bucket"),
 }
+# Folded days of these are laid out for filters on one host or device.
+CLUSTERED = ("conversations", "statistics")
 LEVELED = (*schemas.ROLLUPS, "distinct_1m")
 LOG_TABLES = {
     "batch_log": (schemas.BATCH_LOG, "ts"),
@@ -214,11 +220,12 @@ class TableStore:
         schema, at = TABLES[name]
         staged = f"{self.staging}/{name}-{uuid.uuid4().hex}"
         batch = F.col("batch") if keep_batch else F.lit(COMPACTED).cast("long")
-        (
-            rows.select(*schema.names, F.to_date(F.col(at)).alias("d"), batch.alias("batch"))
-            .hint("rebalance", F.col("d"), F.col("batch"))
-            .write.mode("overwrite").partitionBy("d", "batch").parquet(staged)
-        )
+        kept = rows.select(*schema.names, F.to_date(F.col(at)).alias("d"), batch.alias("batch"))
+        if name in CLUSTERED:
+            writer = clustering.clustered(kept, "d", "batch").write.options(**clustering.bloom_options())
+        else:
+            writer = kept.hint("rebalance", F.col("d"), F.col("batch")).write
+        writer.mode("overwrite").partitionBy("d", "batch").parquet(staged)
         shape = T.StructType([*schema.fields, *_SPAN, *_PARTITION])
         bounds = self._bounds(self.spark.read.schema(shape).parquet(staged), at)
         if name in LEVELED and any(row.batch == COMPACTED for row in bounds):

@@ -155,3 +155,34 @@ def test_hidden_rows_of_a_folded_day_go_when_it_is_folded_again(store):
     assert store.batches("total_1m", day) == [COMPACTED]
     left = store.spark.read.parquet(f"{store.path('total_1m')}/d={day}/batch=-1")
     assert left.count() == 6 and store.spans("total_1m").agg(F.sum("flows")).first()[0] == 19
+
+
+def test_folded_days_answer_host_filters_from_few_row_groups(store):
+    spark = store.spark
+    rows = [
+        flow(n, DAY + timedelta(seconds=n % 3000), src_addr=f"10.0.{n % 97}.{n % 241}", dst_addr=f"198.51.{n % 89}.{n % 239}", exporter=f"192.0.{n % 13}.{n % 17}")
+        for n in range(20_000)
+    ]
+    folded = spark.createDataFrame(
+        [(r["received_at"], r["exporter"], r["src_addr"], r["dst_addr"], 6, 443, "", 1, 2, 10, 1, 1) for r in rows], "bucket_start timestamp, exporter string,"
+        " src_addr string, dst_addr string, proto int, service_port int, service_side string, in_if int, out_if int, bytes long, packets long, flows long",
+    ).withColumn("batch", F.lit(COMPACTED).cast("long"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in ("parquet.block.size", "parquet.page.size.row.check.min", "parquet.block.row.count.limit"):
+        hadoop.set(name, "50")
+    try:
+        store.replace_days("statistics", folded, [])
+    finally:
+        for name in ("parquet.block.size", "parquet.page.size.row.check.min", "parquet.block.row.count.limit"):
+            hadoop.unset(name)
+    for column, value in (("src_addr", "10.0.5.5"), ("dst_addr", "198.51.7.7"), ("exporter", "192.0.3.3")):
+        got = store.partials("statistics").filter(F.col(column) == value)
+        assert got.collect() and {x[column] for x in got.collect()} == {value}
+        assert got.count() == sum(r[column] == value for r in rows)
+        got = got.select("bytes", column)
+        got.collect()
+        scan = got._jdf.queryExecution().executedPlan()
+        while scan.children().size():
+            scan = scan.children().apply(0)
+        read = scan.metrics().apply("numOutputRows").value()
+        assert read < len(rows) / 4, (column, read)
