@@ -30,7 +30,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -358,11 +358,14 @@ class TableStore:
         horizon = self.horizon(name) if name == "conversations" else None
         return rows if horizon is None else rows.filter(F.col("last_seen") >= instant(horizon))
 
-    def _merged(self, name: str, low: datetime | None, high: datetime | None) -> DataFrame:
+    def _merged(self, name: str, low: datetime | None, high: datetime | None, only: Column | None = None) -> DataFrame:
+        """``only`` selects keys before they are merged."""
         low = self._lowest(name, low)
         at, columns = TABLES[name][1], TABLES[name][0].names
         found = {day: [b for b in batches if b >= COMPACTED] for day, batches in self._window(name, low, high).items()}
         rows = self._within(self._open(name, found), at, low, high)
+        if only is not None:
+            rows = rows.filter(only)
         open_days = [day for day, batches in found.items() if batches and batches != [COMPACTED]]
         if not open_days:
             return rows.select(*columns)
@@ -443,31 +446,26 @@ class TableStore:
     def conversation_parts(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
         """Conversation rows for readers that sum them, without a merge where it would change no sum.
 
-        Both bounds are meant for ``last_seen`` and are whole buckets here: a
-        row whose bucket lies inside needs no look at its conversation's other
-        rows. Rows without a service take what their ports read from the first
-        flow, so these are always merged. Nothing below the horizon is returned.
+        Both bounds are meant for ``last_seen``, which the reader checks: rows
+        of a bucket that lies inside as a whole pass in any case, the buckets
+        at the edges are merged. Rows without any port in the key take theirs
+        from the conversation's first flow, so these are merged too.
         """
         horizon = self.horizon("conversations")
         if horizon is not None:
             low = max(utc(low), horizon) if low else horizon
-        first = None if low is None else UNIX_EPOCH + -(-(utc(low) - UNIX_EPOCH) // BUCKET) * BUCKET
-        last = None if high is None else UNIX_EPOCH + ((utc(high) - UNIX_EPOCH) // BUCKET - 1) * BUCKET
-        if first and last and last < first:
-            return self.conversations(low - BUCKET if low else None, high)
-        known = F.coalesce("key_src_port", "key_dst_port").isNotNull()
-        inner = self._within(self.partials("conversations", first, last), "bucket_start", first, last)
-        names = TABLES["conversations"][0].names
-        plain = inner.filter(known).select(*names)
-        # A bucket's last row may come with a later batch: merged rows are cut to the same buckets.
-        merged = self._merged("conversations", first, last).filter(~known)
-        rows = condense.finish(plain.unionByName(merged.select(*names)))
         start = F.col("bucket_start")
-        for edge_low, edge_high in ((low and utc(low) - BUCKET, first and first - timedelta(microseconds=1)), (last and last + timedelta(microseconds=1), high)):
-            if edge_low and edge_high:
-                edge = self.conversations(edge_low, edge_high).filter((start >= instant(edge_low)) & (start <= instant(edge_high)))
-                rows = rows.unionByName(edge)
-        return rows
+        plain = F.coalesce("key_src_port", "key_dst_port").isNotNull()
+        if low is not None:
+            plain = plain & (start >= instant(UNIX_EPOCH + -(-(utc(low) - UNIX_EPOCH) // BUCKET) * BUCKET))
+        if high is not None:
+            plain = plain & (start < instant(UNIX_EPOCH + (utc(high) - UNIX_EPOCH) // BUCKET * BUCKET))
+        names, since = TABLES["conversations"][0].names, low - BUCKET if low else None
+        # Bucket and key ports belong to the key: each conversation is on one side with all its rows.
+        rest = self._merged("conversations", since, high, ~plain)
+        if horizon is not None:
+            rest = rest.filter(F.col("last_seen") >= instant(horizon))
+        return condense.finish(self.partials("conversations", since, high).filter(plain).select(*names).unionByName(rest))
 
     def rollup(
         self, name: str, low: datetime | None = None, high: datetime | None = None
