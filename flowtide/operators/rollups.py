@@ -6,7 +6,7 @@ and ``packets``; a condensed row stands for ``flow_count`` flows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions import buckets
@@ -147,3 +147,15 @@ def coarsened(rows: DataFrame, name: str, seconds: int) -> DataFrame:
     keys = [] if name == "distinct_1m" else [key for key, _ in ROLLUP_KEYS[name]]
     sums = [*map(_united, SKETCHES.names[1:])] if name == "distinct_1m" else _sums(F.col("flows"))
     return rows.groupBy(buckets.floor_to(F.col("bucket"), seconds).alias("bucket"), *keys).agg(*sums, *spans)
+
+
+def heaviest(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The ``most`` heaviest rows of each day ``d``, ties to smaller keys.
+
+    A day with a negative sum has none: what its list leaves out could lower
+    a sum, and readers take a list as a lower bound.
+    """
+    order = Window.partitionBy("d").orderBy(F.desc("bytes"), *(key for key, _ in ROLLUP_KEYS[name]))
+    sound = rows.groupBy("d").agg(F.min("bytes").alias("least")).filter(F.col("least") >= 0).select("d")
+    best = rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_place")
+    return best.join(sound, "d", "left_semi")

@@ -94,6 +94,42 @@ def top(tables, kind: str, as_of: datetime, hours: int = 24, limit: int = 10) ->
     return best.select(F.col(keys[0]).cast("string").alias("label"), "bytes", "flows")
 
 
+def _reaching(parts, key: str, limit: int) -> DataFrame:
+    """Sums of the keys that may be among the ``limit`` heaviest, found by a uniform threshold.
+
+    The lists of the days give sums that keys have at least, and so a sum that
+    ``limit`` keys reach. Whoever reaches it too has an even share of it on
+    some day or in the rest. Only such keys are summed. Where the lists know
+    too few keys or nothing above zero, every key is.
+    """
+    total = F.sum("bytes").cast("long").alias("bytes")
+    rest = _totals(parts.rest, key)
+    # What the rest takes away from a key at most, should it hold negative sums.
+    taken = rest.agg(F.least(F.lit(0), F.coalesce(F.min("bytes"), F.lit(0))).cast("long").alias("taken"))
+    known = parts.lists.groupBy(key).agg(total).orderBy(F.desc("bytes")).limit(limit)
+    bound = known.agg(F.when(F.count("*") >= limit, F.min("bytes")).alias("bound")).select((F.col("bound") + taken.scalar()).alias("bound"))
+    shares = parts.days + 1
+    share = F.when(F.col("bound") > 0, F.expr(f"(bound + {shares - 1}) div {shares}"))
+    # A scalar subquery: its value reaches the Parquet scan, which skips row groups below it.
+    least = bound.select(F.coalesce(share, F.lit(-(2**63))).cast("long").alias("least")).scalar()
+    whole = parts.whole.select(key, "bytes", "flows")
+    able = whole.filter(F.col("bytes") >= least).select(key).unionByName(rest.filter(F.col("bytes") >= least).select(key)).distinct()
+    return _totals(whole.unionByName(rest).join(able, key, "left_semi"), key)
+
+
+def top_listed(tables, kind: str, as_of: datetime, hours: int = 24, limit: int = 10) -> DataFrame:
+    """``top`` of sources or destinations over a window of many folded days, without sorting or shuffling all keys.
+
+    Where a day of the window has no list, and for other kinds, this is ``top``.
+    """
+    name, keys = TOP_KINDS[kind]
+    parts = tables.heavy_parts(name, _since(as_of, hours)) if kind in ("src", "dst") and limit > 0 else None
+    if parts is None:
+        return top(tables, kind, as_of, hours, limit)
+    best = ordering.top(_reaching(parts, keys[0], limit), [F.desc("bytes"), F.asc(keys[0])], limit)
+    return best.select(F.col(keys[0]).cast("string").alias("label"), "bytes", "flows")
+
+
 def top_interfaces(tables, as_of: datetime, hours: int = 1, limit: int = 10) -> DataFrame:
     sums = _totals(
         tables.spans("interface_1m", _since(as_of, hours)), "exporter", "if_index"

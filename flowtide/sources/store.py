@@ -9,7 +9,9 @@ a shuffle as far as no later batch has touched their buckets.
 With the compacted rows of a rollup go the same sums by hour and by day, as
 batches -2 and -3. A window is answered from days inside it, hours at its
 edges and minutes beside those (``spans``); rows of later batches are added at
-the minute. Levels are replaced together with the rows they are made of.
+the minute. Levels are replaced together with the rows they are made of. So is
+the list of each day's heaviest sources and destinations (batch -4), from which
+a report learns how heavy a key must be to matter (``heavy_parts``).
 
 Folded conversations and statistics are ordered by the interleaved hashes of
 source, destination and exporter and carry Bloom filters, so that a filter on
@@ -42,6 +44,9 @@ from flowtide.sources import files
 COMPACTED = -1
 LEVELS = {-2: 3_600, -3: 86_400}
 HOURS, DAYS = LEVELS
+# The heaviest keys of a folded day, of rollups that may have very many.
+HEAVY, HEAVY_KEYS = -4, 1_000
+LISTED = ("src_1m", "dst_1m")
 KEPT_NOTES = 8
 UNIX_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -101,6 +106,16 @@ class Zone:
     rows: int
 
 
+@dataclass(frozen=True)
+class HeavyParts:
+    """A window's rows: heaviest keys of its whole days, those days' rows (one per key and day), the rest; number of days."""
+
+    lists: DataFrame
+    whole: DataFrame
+    rest: DataFrame
+    days: int
+
+
 @dataclass(frozen=True)
 class TableStore:
     spark: SparkSession
@@ -235,10 +250,17 @@ class TableStore:
                 if finer == COMPACTED:
                     stored = stored.select(*schema.names)
                 coarse = rollups.coarsened(stored, name, seconds)
-                coarse.withColumns({"d": F.to_date("bucket"), "batch": F.lit(level).cast("long")}).hint("rebalance", F.col("d")).write.mode(
-                    "append"
-                ).partitionBy("d", "batch").parquet(staged)
+                coarse = coarse.withColumns({"d": F.to_date("bucket"), "batch": F.lit(level).cast("long")}).hint("rebalance", F.col("d"))
+                if name in LISTED and level == DAYS:
+                    # Heavy keys first: a lower bound on bytes skips the row groups behind them.
+                    coarse = coarse.sortWithinPartitions("d", "batch", F.desc("bytes"))
+                coarse.write.mode("append").partitionBy("d", "batch").parquet(staged)
                 finer = level
+            if name in LISTED:
+                stored = self.spark.read.schema(shape).parquet(staged).filter(F.col("batch") == DAYS)
+                rollups.heaviest(stored, name, HEAVY_KEYS).withColumn("batch", F.lit(HEAVY).cast("long")).write.mode("append").partitionBy(
+                    "d", "batch"
+                ).parquet(staged)
         changed = sorted({*days, *(row.d for row in bounds)})
         for day in changed:
             self._forget(name, day)
@@ -387,7 +409,25 @@ class TableStore:
         days inside the window are read by the day, those at its edges by the
         hour with minutes beside it, and whatever came later by the minute.
         """
-        low, names = self._lowest(name, low), TABLES[name][0].names
+        out, days = self._edges_and_days(name, low, high, grain)
+        return out.unionByName(self._whole_days(name, days)) if days else out
+
+    def _whole_days(self, name: str, days: dict[date, list[int]]) -> DataFrame:
+        return self._open(name, {day: [DAYS] for day in days}, _SPAN).select(*TABLES[name][0].names, "first", "last")
+
+    def heavy_parts(self, name: str, low: datetime | None = None, high: datetime | None = None) -> HeavyParts | None:
+        """A window in parts for finding its heaviest keys; None where a whole day of it has no list."""
+        rest, days = self._edges_and_days(name, low, high, LEVELS[DAYS])
+        if not days or any(HEAVY not in batches for batches in days.values()):
+            return None
+        lists = self._open(name, {day: [HEAVY] for day in days}, _SPAN).select(*TABLES[name][0].names)
+        return HeavyParts(lists, self._whole_days(name, days), rest, len(days))
+
+    def _edges_and_days(
+        self, name: str, low: datetime | None, high: datetime | None, grain: int
+    ) -> tuple[DataFrame, dict[date, list[int]]]:
+        """Rows of a window outside the days that can be read as a whole, and these days with their folders."""
+        low = self._lowest(name, low)
         found = self._window(name, low, high)
         after = None if high is None else utc(high) + timedelta(microseconds=1)
         minutes: dict[date, list[int]] = {}
@@ -411,6 +451,7 @@ class TableStore:
                 edges.append((day, first, max(first, last)))
             else:
                 minutes[day].append(COMPACTED)
+        names = TABLES[name][0].names
         fine = self._within(self._open(name, minutes), "bucket", low, high)
         for day, first, last in edges:
             rest = self._within(self._open(name, {day: [COMPACTED]}), "bucket", low, high)
@@ -424,9 +465,7 @@ class TableStore:
             kept = kept | ((F.col("bucket") >= instant(first)) & (F.col("bucket") < instant(last)))
         if whole[HOURS]:
             out = out.unionByName(inside.filter(kept).select(*names, "first", "last"))
-        if whole[DAYS]:
-            out = out.unionByName(self._open(name, whole[DAYS], _SPAN).select(*names, "first", "last"))
-        return out
+        return out, {day: found[day] for day in whole[DAYS]}
 
     def sketches(self, low: datetime | None = None, high: datetime | None = None) -> DataFrame:
         return self.spans("distinct_1m", low, high)

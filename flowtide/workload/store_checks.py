@@ -123,6 +123,24 @@ register(
     ),
 )
 
+# -- heaviest keys by the lists of folded days ----------------------------------------
+
+
+def _listed(i: Inputs, kind: str) -> DataFrame:
+    """A window that ends in no folded day, so that whole days, edges and the late batch take part."""
+    return dashboard.top_listed(shared(i), kind, i.as_of, 24 * 365, 10)
+
+
+for _kind in ("src", "dst"):
+    register(
+        f"top_{_kind}_listed", lambda i, kind=_kind: _listed(i, kind),
+        query(
+            f"""SELECT {_kind}_addr AS label, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(flows) AS BIGINT) AS flows
+                FROM {_kind}_1m, clock WHERE bucket >= as_of - INTERVAL '8760 hours' GROUP BY {_kind}_addr
+                ORDER BY bytes DESC, label LIMIT 10"""
+        ),
+    )
+
 # -- growing files --------------------------------------------------------------------
 
 
