@@ -31,8 +31,8 @@ import types
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse, islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,9 @@ STEPS = 3_000
 OTHERS = 12
 SPLITS = 24
 CACHE_WORDS = 1_000_000
+STEP = 8_000_000  # bytes of text encoded at once; one longer text is taken whole
 PART_ROWS = 20_000
+SPACE = "\u0120"  # what byte-level vocabularies write for a space
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------
@@ -67,6 +69,30 @@ def _encoder(model: str) -> _Encoder:
     return kept[key]
 
 
+class _Known:
+    """Ids of parts met so far, end to end; a part's number says where its own lie."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.ends = np.zeros(1, np.int64)  # one more than there are parts
+
+    def of(self, number: int) -> bytes:
+        return self.ids[self.ends[number] : self.ends[number + 1]].tobytes()
+
+    def add(self, parts: list[str], ids: list[bytes]) -> None:
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4])
+
+    def halve(self, most: int) -> None:
+        """Common parts come early; of too many the later half goes."""
+        if len(self.number) > most:
+            self.number = dict(islice(self.number.items(), most // 2))
+            self.ends = self.ends[: most // 2 + 1]
+            self.ids = self.ids[: self.ends[-1]]
+
+
 class _Encoder:
     """Ids of a text, as little-endian 32-bit integers.
 
@@ -74,6 +100,9 @@ class _Encoder:
     starts a new pre-token, so the parts between such spaces have ids of their
     own and common ones are encoded once. A text with any other space (a part
     that is empty, or begins or ends with white space) is encoded as a whole.
+    Arrow finds the distinct parts of many texts; only these are looked up.
+    New ones are encoded as one string, each behind its space: the ids whose
+    token begins with a space tell where a part begins.
     """
 
     def __init__(self, model: str):
@@ -81,39 +110,71 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        tokens = self.model.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.leads[[n for token, n in tokens.items() if token.startswith(SPACE)]] = True
+        self.first, self.later = _Known(), _Known()
         self.marks = dict(zip(",.", self.encode([",", "."])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", g.ids).tobytes() for g in got]
 
-    def _learn(self, known: dict[str, bytes], parts: Iterable[str], lead: str) -> None:
-        new = [p for p in set(filterfalse(known.__contains__, parts)) if p and p == p.strip()]
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts, each with a space before it."""
+        ids = np.frombuffer(self.encode(["".join([" " + p for p in parts])])[0], "<u4")
+        begins = np.flatnonzero(self.leads[ids])
+        # A token that begins with a space holds one at least: as many as there are parts hold one each.
+        if len(begins) != len(parts) or begins[0]:
+            return self.encode([" " + p for p in parts])
+        raw, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+
+    def _numbers(self, known: _Known, parts: list[str], encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Numbers of the parts, -1 for those that have no ids of their own."""
+        known.halve(CACHE_WORDS)
+        number = known.number
+        got = np.array([number.get(p, -1) for p in parts], np.int64)
+        unknown = np.flatnonzero(got < 0).tolist()
+        new = [p for p in dict.fromkeys(parts[k] for k in unknown) if p and p == p.strip()]
         # A comma or full stop after a letter is a pre-token of its own.
         marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
-        wanted = list({p[:-1] for p in marked}.union(new).difference(marked).difference(known))
-        known.update(zip(wanted, self.encode([lead + p for p in wanted])))
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        # Common words come early; of too many the later half goes.
-        if len(self.first) > CACHE_WORDS:
-            self.first = dict(islice(self.first.items(), CACHE_WORDS // 2))
-        if len(self.later) > CACHE_WORDS:
-            self.later = dict(islice(self.later.items(), CACHE_WORDS // 2))
-        cut = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in cut]
-        self._learn(self.first, heads, "")
-        self._learn(self.later, chain.from_iterable(cut), " ")
-        first, later = self.first, self.later.__getitem__
-        for text, head, rest in zip(texts, heads, cut):
-            try:
-                yield first[head] + b"".join(map(later, rest))
-            except KeyError:
-                yield self.encode([text])[0]
+        wanted = list({p[:-1] for p in marked}.union(new).difference(marked).difference(number))
+        if wanted:
+            known.add(wanted, encode(wanted))
+        if marked:
+            known.add(marked, [known.of(number[p[:-1]]) + self.marks[p[-1]] for p in marked])
+        got[unknown] = [number.get(parts[k], -1) for k in unknown]
+        return got
+
+    def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
+        if not len(texts):
+            return
+        cut = pa.compute.split_pattern(texts, " ")
+        begin = np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+        parts = cut.flatten()
+        coded = parts.dictionary_encode()
+        place = np.asarray(coded.indices)
+        of_first = self._numbers(self.first, parts.take(pa.array(begin[:-1])).to_pylist(), self.encode)
+        of_later = self._numbers(self.later, coded.dictionary.to_pylist(), self._spaced)
+        # Numbers of first parts follow those of the others.
+        number = of_later[place]
+        number[begin[:-1]] = np.where(of_first < 0, -1, of_first + len(self.later.number))
+        odd = np.logical_or.reduceat(number < 0, begin[:-1])
+        number = np.maximum(number, 0)
+        ids = np.concatenate([self.later.ids, self.first.ids])
+        lo = np.concatenate([self.later.ends[:-1], self.first.ends[:-1] + self.later.ends[-1]])
+        size = np.concatenate([np.diff(self.later.ends), np.diff(self.first.ends)])
+        if not len(lo):
+            odd[:] = True
+        else:
+            many = size[number]
+            ends = np.cumsum(many)
+            own = ids[np.arange(ends[-1]) + np.repeat(lo[number] - ends + many, many)]
+            ends = np.append(0, ends)[begin]
+        for row, whole in enumerate(odd.tolist()):
+            yield self.encode([texts[row].as_py()])[0] if whole else own[ends[row] : ends[row + 1]].tobytes()
 
 
 def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, ids: bool = False) -> DataFrame:
@@ -130,13 +191,13 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str =
         encoder = _encoder(model.value)
         for batch in batches:
             lengths = np.maximum(0, np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0)))
-            ends = np.searchsorted(np.cumsum(lengths), np.arange(1, lengths.sum() // 2_000_000 + 1) * 2_000_000, "right")
+            ends = np.searchsorted(np.cumsum(lengths), np.arange(1, lengths.sum() // STEP + 1) * STEP, "right")
             for part in np.split(np.arange(len(lengths)), ends):
                 if not len(part):
                     continue
                 some = batch.slice(part[0], len(part))
                 at, number, start, length, crc, raw = [], [], [], [], [], []
-                for row, got in enumerate(encoder.batch([t or "" for t in some["text"].to_pylist()])):
+                for row, got in enumerate(encoder.batch(some["text"])):
                     got += closing
                     n = len(got) // 4
                     first = (n - 1) % size + 1

@@ -148,3 +148,24 @@ def test_an_encoder_is_kept_per_model():
     one = packing._encoder(model)
     other = packing._encoder(model.replace('"unk_token":', '"unk_token" :'))
     assert packing._encoder(model) is one and (other is one) == ('"unk_token":' not in model)
+
+
+def test_new_parts_are_encoded_as_one_string(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    encoder, model = packing._Encoder(open(tokenizer(), encoding="utf-8").read()), Tokenizer.from_file(tokenizer())
+    sent, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda texts: sent.extend(texts) or encode(texts))
+    r = random.Random(8)
+    parts = ["".join(r.choice("aeiouklmnsé中9'.,-\nĠ") for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    texts = ["go " + " ".join(r.choice(parts) for _ in range(60)) for _ in range(40)] + ["", "go  twice ", None]
+    want = lambda t: np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    odd = [t for t in texts if any(not p or p != p.strip() for p in (t or "").split(" "))]
+    for _ in range(2):
+        assert list(encoder.batch(texts)) == [want(t) for t in texts]
+        # The first part, the others as one, and texts with odd spaces as a whole.
+        assert len(sent) <= 2 + len(odd)
+        sent.clear()
+    monkeypatch.setattr(encoder, "leads", np.zeros_like(encoder.leads))  # no token begins with a space: one by one
+    assert list(encoder.batch(["go new words", "go on"])) == [want("go new words"), want("go on")]
