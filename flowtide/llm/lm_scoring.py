@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from flowtide.llm import ngrams
 
 TARGET, BACKGROUND = 1, 2
+KNOWN = ("total", "followers", "count")
 
 
 def witten_bell(model: ngrams.Model, size: int):
@@ -37,7 +38,7 @@ def witten_bell(model: ngrams.Model, size: int):
             alone = (e.counts[m] > 0) & (e.counts[m] == mine)  # the follower is the document's alone
             unigram = (np.maximum(t["count"] - mine, 0) + 1) / (max(every[m], 0) + size)
             total = np.maximum(t["total"] - mine, 0)
-            kind = np.maximum(t["one"] + t["two"] + t["more"] - alone, 0)
+            kind = np.maximum(t["followers"] - alone, 0)
             weight = total + kind
             p = np.where(weight > 0, (np.maximum(e.counts[m] - mine, 0) + kind * unigram) / np.maximum(weight, 1), unigram)
             out.append(-np.log(np.maximum(p, unigram * 1e-6)))
@@ -52,7 +53,7 @@ def score(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     models = F.when(F.col("_good").isNotNull(), TARGET | BACKGROUND).otherwise(BACKGROUND)
     corpus = ngrams.encoded(rows, [F.col("doc_id")], models, (good, F.col("doc_id") == F.col("_good")), "text", size)
-    model = ngrams.counts(corpus, 2)
+    model = ngrams.counts(corpus, 2, KNOWN)
     out = ngrams.sums(corpus, model, 2, witten_bell(model, size or model.types + 1), 2)
     mean = lambda c: F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).otherwise(F.lit(0.0))
     out = out.select("doc_id", "tokens", mean("s1").alias("loss_target"), mean("s2").alias("loss_background"))

@@ -1,13 +1,18 @@
 """Bigram models of all words, counted and looked up in shards.
 
 A word is its 64-bit hash, a bigram the hash of its two words; neither the
-words nor the bigrams are limited in number. Blocks of documents send their
-distinct bigrams with counts to shards by hash, which add them up and pass what
-they say about single words (how often, how many followers, how many contexts)
-to the same number of shards by word. For scoring, a block asks the shards for
-its distinct bigrams and words, and their answers meet the block's tokens
-again. No table of words or bigrams goes to every task; numbers over the whole
-model (counts of counts, sums) do.
+words nor the bigrams are limited in number. A block of documents sends its
+distinct bigrams with counts once: a shard adds them up, answers every block
+with the sums of the bigrams it sent, and passes what they say about single
+words (how many followers, how many contexts) to the shards of words. These get
+the block's distinct words with its own sums and answer in the same way. The
+answers meet the block's tokens again; as they come in the block's order, no
+hash travels a second time. No table of words or bigrams goes to every task;
+numbers over the whole model (counts of counts, sums) do.
+
+Words have ``side`` classes, and the bigrams of each pair of classes a shard of
+their own: a common word is spread over ``side`` shards, and a block names a
+word to at most twice as many.
 
 A caller may limit the vocabulary to the commonest ``size`` words; the others
 are then one word OTHER. Without a limit only words that a model has never
@@ -16,6 +21,7 @@ counted are unknown to it.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,31 +32,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from flowtide.llm.tokens import Words, mix, packed, pieces, rising, risen, unpacked
-from flowtide.llm.work import shards, stored, text_bytes
+from flowtide.llm.tokens import Words, mix, packed, pieces, rising, risen, runs, unpacked
+from flowtide.llm.work import stored, text_bytes
 
-# Keys that stand for no word of a text; the first two count in a limited vocabulary. NONE: before a word that is only named.
-OTHER, BEGIN, NONE = 0, 1, 2
+# Keys that stand for no word of a text; both count in a limited vocabulary.
+OTHER, BEGIN = 0, 1
 FIRST = 2
-BLOCK = 1_000_000
-KINDS = ("total", "one", "two", "more", "into", "count")
-PARTS = "kind int, shard int, blob binary, stats array<bigint>"
+BLOCK = 2_000_000
+ENTRIES = 400_000  # scored at once; one longer document is taken whole
+SHARD_BYTES = 24e6
+# What can be known of a word: tokens after it, distinct bigrams that it begins (all, or seen so often), contexts, tokens.
+BY_BLOCK = ("total", "count")
+BY_CONTEXT = {"followers": lambda n: n > 0, "one": lambda n: n == 1, "two": lambda n: n == 2, "more": lambda n: n > 2}
+INTO = "into"
+PARTS = "kind int, shard int, block bigint, blob binary, stats array<bigint>"
 
 
 @dataclass
 class Corpus:
-    """rows: (block, blob); size: limit of the vocabulary or none."""
+    """rows: (block, blob); size: limit of the vocabulary or none; side: classes of words."""
 
     rows: DataFrame
     meta: list[tuple[str, str, pa.DataType]]
     size: int | None
-    shards: int
+    side: int
 
 
 @dataclass
 class Model:
-    """bigrams, words: (shard, blob); types: distinct words of all documents; over, into: per model, how many bigrams were
-    counted and words followed 0 to 4 and more times; kinds, tokens: distinct and all bigrams per model."""
+    """bigrams, words: (shard, block, blob), the answers; types: distinct words of all documents; over, into: per model, how
+    many bigrams were counted and words followed 0 to 4 and more times; kinds, tokens: distinct and all bigrams per model;
+    known: what is known of a word."""
 
     bigrams: DataFrame
     words: DataFrame
@@ -59,11 +71,12 @@ class Model:
     into: np.ndarray
     kinds: np.ndarray
     tokens: np.ndarray
+    known: tuple[str, ...]
 
 
 @dataclass
 class Entries:
-    """Distinct bigrams per document: own, the document's count; mask; per model the bigram's count and its words' ``KINDS``."""
+    """Distinct bigrams per document: own, the document's count; mask; per model the bigram's count and what is known of its words."""
 
     own: np.ndarray
     mask: np.ndarray
@@ -106,11 +119,16 @@ def encoded(docs: DataFrame, meta: list[Column], models: Column, on: tuple[DataF
     rows = docs if on is None else docs.join(stored(on[0], "ngram-labels"), on[1], "left")
     rows = rows.select(F.struct(*meta).alias("meta"), models.cast("int").alias("models"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    side = max(1, math.ceil(math.sqrt(text_bytes(docs, text) / SHARD_BYTES)))
+
     def block(held: list[tuple], number: int) -> pa.RecordBatch:
         meta, models, count, hashes = zip(*held)
         word, token = np.unique(np.concatenate(hashes), return_inverse=True)
+        order = np.argsort(_shard(word, side * side), kind="stable")  # by shard, then hash
+        place = np.empty(len(word), np.uint32)
+        place[order] = np.arange(len(word))
         raw = np.frombuffer(pickle.dumps([m for part in meta for m in part]), np.uint8)
-        blob = packed(raw, np.concatenate(models).astype(np.uint8), np.concatenate(count).astype(np.uint32), rising(word), token.astype(np.uint32))
+        blob = packed(raw, np.concatenate(models).astype(np.uint8), np.concatenate(count).astype(np.uint32), place[token], rising(word[order]))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +151,7 @@ def encoded(docs: DataFrame, meta: list[Column], models: Column, on: tuple[DataF
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in rows.schema["meta"].dataType.fields]
-    return Corpus(kept, fields, size, shards(text_bytes(docs, text), 8e6))
+    return Corpus(kept, fields, size, side)
 
 
 def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -146,115 +164,152 @@ def _shard(key: np.ndarray, count: int) -> np.ndarray:
 
 
 class Block:
-    """A block's documents: hash (the last stands for BEGIN), and the distinct bigrams by places of their words in it."""
+    """A block's documents, and the distinct bigrams by places of their words; the place after the last is that of BEGIN."""
 
-    def __init__(self, blob: bytes):
-        meta, self.models, count, word, token = unpacked(blob)
-        self.meta = pickle.loads(meta.tobytes())
+    def __init__(self, models: np.ndarray, count: np.ndarray, token: np.ndarray, words: int):
+        self.models, self.words = models, words
         self.count = count.astype(np.int64)
-        self.hash = np.append(risen(word), np.uint64(BEGIN))
         token = token.astype(np.int64)
         before = np.empty_like(token)
         before[1:] = token[:-1]
-        before[(np.cumsum(self.count) - self.count)[self.count > 0]] = len(word)
+        before[(np.cumsum(self.count) - self.count)[self.count > 0]] = words
         self.doc = np.repeat(np.arange(len(count)), self.count)
-        pair, self.pair = np.unique(before * len(self.hash) + token, return_inverse=True)
-        self.context, self.word = pair // len(self.hash), pair % len(self.hash)
+        pair, self.pair = np.unique(before * (words + 1) + token, return_inverse=True)
+        self.context, self.word = pair // (words + 1), pair % (words + 1)
+
+    def own(self, models: int) -> list[np.ndarray]:
+        """How often each model counts the block's bigrams."""
+        mask = self.models[self.doc]
+        return [np.bincount(self.pair, (mask >> m) & 1, len(self.word)).astype(np.uint32) for m in range(models)]
 
-    def keys(self) -> np.ndarray:
-        return _pair(self.hash[self.context], self.hash[self.word])
+    def dealt(self, shard: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard's bigrams, in their order; ``shard``: of the words, with BEGIN."""
+        kind = shard % side
+        to = (kind[self.context] * side + kind[self.word]).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        begins = runs(to[order])
+        for lo, hi in zip(begins, np.append(begins[1:], len(order))):
+            yield int(to[order[lo]]), order[lo:hi]
 
 
-def _dealt(key: np.ndarray, count: int) -> list[np.ndarray]:
-    """Places of each shard's keys, in order of the key."""
-    shard = _shard(key, count)
-    order = np.lexsort((key, shard))
-    return np.split(order, np.searchsorted(shard[order], np.arange(1, count)))
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32 if not len(values) or values.max() < 1 << 32 else np.uint64)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["kind", "shard", "blob", "stats"])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["kind", "shard", "block", "blob", "stats"])
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "block", "blob"])
+
+
+def _parted(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def _sums(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    key, back = np.unique(key, return_inverse=True)
-    return key, [np.bincount(back, c, len(key)).astype(np.uint64) for c in columns]
+def _histogram(values: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(values, 5).astype(int), minlength=6).tolist()
 
 
-def counts(corpus: Corpus, models: int) -> Model:
-    many = corpus.shards
+def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
+    """``known``: what the loss asks of words, of ``BY_BLOCK``, ``BY_CONTEXT`` and ``INTO``."""
+    side = corpus.side
+    many = side * side
+    by_block = [k for k in BY_BLOCK if k in known or k == BY_BLOCK[0]]
+    by_context = [k for k in BY_CONTEXT if k in known]
+    into = [INTO] if INTO in known else []
+    columns = [*by_block, *by_context, *into]
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, np.ndarray]]:
         for batch in batches:
-            for blob in batch["blob"].to_pylist():
-                b = Block(blob)
-                mask = b.models[b.doc]
-                per = [np.bincount(b.pair, (mask >> m) & 1, len(b.word)).astype(np.uint32) for m in range(models)]
-                used = np.flatnonzero(np.any(per, 0)) if len(b.word) else np.zeros(0, np.int64)
-                # Words of uncounted documents are named, so that all distinct words are known.
-                named = np.setdiff1d(np.arange(len(b.hash) - 1), b.word[used])
-                context = np.concatenate([b.hash[b.context[used]], np.full(len(named), NONE, np.uint64)])
-                word = np.concatenate([b.hash[b.word[used]], b.hash[named]])
-                per = [np.concatenate([p[used], np.zeros(len(named), np.uint32)]) for p in per]
-                got = []
-                for s, take in enumerate(_dealt(_pair(context, word), many)):
-                    take = take[np.argsort(context[take], kind="stable")]
-                    if len(take):
-                        got.append((s, packed(rising(context[take]), word[take], *(p[take] for p in per))))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
+            for ident, blob in zip(batch["block"].to_pylist(), batch["blob"].to_pylist()):
+                _, mask, count, token, word = unpacked(blob)
+                yield ident, Block(mask, count, token, len(word)), np.append(risen(word), np.uint64(BEGIN))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ident, b, hashes in opened(batches):
+            per, rows = b.own(models), []
+            for s, take in b.dealt(_shard(hashes, many), side):
+                context, word = b.context[take], b.word[take]
+                first = runs(context)
+                named, back = np.unique(word, return_inverse=True)
+                follow = np.diff(np.append(first, len(take)))
+                rows.append((s, ident, packed(rising(hashes[context[first]]), follow.astype(np.uint32), rising(hashes[named]), back.astype(np.uint32), *(p[take] for p in per))))
+            yield _sent(rows)
 
     def add(key, table):  # untyped: hints as text are not understood here
-        cells = [unpacked(b.as_py()) for b in table["blob"]]
-        context, word = np.concatenate([risen(c[0]) for c in cells]), np.concatenate([c[1] for c in cells])
+        context, word, per, sizes = [], [], [[] for _ in range(models)], []
+        for blob in table["blob"]:
+            first, follow, named, back, *own = unpacked(blob.as_py())
+            context.append(np.repeat(risen(first), follow)), word.append(risen(named)[back]), sizes.append(len(back))
+            for p, o in zip(per, own):
+                p.append(o)
+        context, word = np.concatenate(context), np.concatenate(word)
         pair, first, back = np.unique(_pair(context, word), return_index=True, return_inverse=True)
-        per = [np.bincount(back, np.concatenate([c[2 + m] for c in cells]), len(pair)).astype(np.uint64) for m in range(models)]
+        per = [np.bincount(back, np.concatenate(p), len(pair)).astype(np.uint64) for p in per]
+        answers = zip(*(_parted(_small(p)[back], sizes) for p in per))
+        rows = [(0, key[0].as_py(), ident, packed(*a), None) for ident, a in zip(table["block"].to_pylist(), answers)]
         context, word = context[first], word[first]
-        true = context != NONE
-        over = [np.bincount(np.minimum(p[true], 5).astype(int), minlength=6) for p in per]
-        rows = [(0, key[0].as_py(), packed(rising(pair[true]), *(p[true] for p in per)), [int(x) for x in np.concatenate(over)])]
-        zero = np.zeros(len(word), np.uint64)
-        columns = []
-        for p in per:
-            kinds = {"total": p, "one": p == 1, "two": p == 2, "more": p > 2}
-            columns += [np.concatenate([kinds[k], zero]) if k in kinds else np.concatenate([zero, p > 0 if k == "into" else p]) for k in KINDS]
-        hashes, columns = _sums(np.concatenate([context, word]), columns)
-        for s, take in enumerate(_dealt(hashes, many)):
-            if len(take):
-                rows.append((1, s, packed(rising(hashes[take]), *(c[take] for c in columns)), None))
+        rows[0] = (*rows[0][:4], [n for p in per for n in _histogram(p)])
+        counted = np.any([p > 0 for p in per], 0)
+        for hashes, wanted in ((context, [(m, k) for m in range(models) for k in by_context]), (word, [(m, k) for m in range(models) for k in into])):
+            if wanted and counted.any():
+                of, back = np.unique(hashes[counted], return_inverse=True)
+                got = [np.bincount(back, (BY_CONTEXT[k] if k in BY_CONTEXT else BY_CONTEXT["followers"])(per[m][counted]), len(of)) for m, k in wanted]
+                shard = _shard(of, many)
+                order = np.argsort(shard, kind="stable")
+                begins = runs(shard[order])
+                for lo, hi in zip(begins, np.append(begins[1:], len(order))):
+                    take = order[lo:hi]
+                    rows.append((1 if hashes is context else 2, int(shard[take[0]]), None, packed(rising(of[take]), *(_small(g[take]) for g in got)), None))
         return _rows(rows)
 
-    def gather(key, table):  # untyped: hints as text are not understood here
-        cells = [unpacked(b.as_py()) for b in table["blob"]]
-        hashes, columns = _sums(np.concatenate([risen(c[0]) for c in cells]), [np.concatenate([c[1 + k] for c in cells]) for k in range(len(KINDS) * models)])
-        stats = [int((~np.isin(hashes, np.array([BEGIN, NONE], np.uint64))).sum())]
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ident, b, hashes in opened(batches):
+            places = {"total": b.context, "count": b.word}
+            sums = [np.bincount(places[k], p, len(hashes)).astype(np.uint32) for p in b.own(models) for k in by_block]
+            shard = _shard(hashes, many)
+            order = np.argsort(shard, kind="stable")  # BEGIN is the last of its shard
+            begins = runs(shard[order])
+            cells = [order[lo:hi] for lo, hi in zip(begins, np.append(begins[1:], len(order)))]
+            yield _sent([(int(shard[c[0]]), ident, packed(rising(hashes[c]), *(n[c] for n in sums))) for c in cells])
+
+    def gather(key, left, right):  # untyped: hints as text are not understood here
+        cells = [unpacked(b.as_py()) for b in left["blob"]]
+        sizes = [len(c[0]) for c in cells]
+        hashes, back = np.unique(np.concatenate([risen(c[0]) for c in cells]), return_inverse=True)
+        got = {(m, k): np.bincount(back, np.concatenate([c[1 + m * len(by_block) + n] for c in cells])) for m in range(models) for n, k in enumerate(by_block)}
+        for names, kind in ((by_context, 1), (into, 2)):
+            told = [unpacked(b.as_py()) for b, k in zip(right["blob"], right["kind"].to_pylist()) if k == kind]
+            at = np.searchsorted(hashes, np.concatenate([risen(c[0]) for c in told])) if told else np.zeros(0, np.int64)
+            for n, (m, k) in enumerate((m, k) for m in range(models) for k in names):
+                got[m, k] = np.bincount(at, np.concatenate([c[1 + n] for c in told]) if told else None, len(hashes))
+        got = {k: v.astype(np.uint64) for k, v in got.items()}
+        answers = zip(*(_parted(_small(got[m, k])[back], sizes) for m in range(models) for k in columns))
+        rows = [(0, key[0].as_py(), ident, packed(*a), None) for ident, a in zip(left["block"].to_pylist(), answers)]
+        stats = [int((hashes != np.uint64(BEGIN)).sum())]
         for m in range(models):
-            into, count = (columns[m * len(KINDS) + KINDS.index(k)] for k in ("into", "count"))
-            stats += [*np.bincount(np.minimum(into, 5).astype(int), minlength=6).tolist(), int(into.sum()), int(count.sum())]
-        return _rows([(1, key[0].as_py(), packed(rising(hashes), *columns), stats)])
+            stats += [*(_histogram(got[m, INTO]) if into else [0] * 6), int(got[m, "total"].sum())]
+        rows[0] = (*rows[0][:4], stats)
+        return _rows(rows)
 
     def totals(rows: DataFrame, width: int) -> np.ndarray:
         """One row of ``width`` numbers."""
         row = rows.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(width))).first()
         return np.array(list(row), np.int64)
 
-    parts = stored(corpus.rows.mapInArrow(local, "shard int, blob binary").groupBy("shard").applyInArrow(add, PARTS), "ngram-counts")
-    bigrams = parts.filter("kind = 0")
-    words = stored(parts.filter("kind = 1").select("shard", "blob").groupBy("shard").applyInArrow(gather, PARTS), "ngram-words")
-    over = totals(bigrams, 6 * models).reshape(models, 6)
-    types, *rest = totals(words, 1 + 8 * models)
-    rest = np.array(rest).reshape(models, 8)
-    return Model(bigrams.select("shard", "blob"), words.select("shard", "blob"), int(types), over, rest[:, :6], rest[:, 6], rest[:, 7])
-
-
-def _found(table: list[np.ndarray], asked: np.ndarray) -> list[np.ndarray]:
-    key, *columns = table
-    if not len(key):
-        return [np.zeros(len(asked), np.uint64) for _ in columns]
-    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-    hit = key[at] == asked
-    return [np.where(hit, c[at], np.uint64(0)) for c in columns]
+    sent = "shard int, block bigint, blob binary"
+    parts = stored(corpus.rows.mapInArrow(pairs, sent).groupBy("shard").applyInArrow(add, PARTS), "ngram-counts")
+    told = parts.filter("kind > 0").select("shard", "kind", "blob")
+    found = stored(corpus.rows.mapInArrow(words, sent).groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(gather, PARTS), "ngram-words")
+    over = totals(parts.filter("kind = 0"), 6 * models).reshape(models, 6)
+    types, *rest = totals(found, 1 + 7 * models)
+    rest = np.array(rest).reshape(models, 7)
+    answers = [rows.select("shard", "block", "blob") for rows in (parts.filter("kind = 0"), found)]
+    return Model(*answers, int(types), over, rest[:, :6], over[:, 1:].sum(1), rest[:, 6], tuple(columns))
 
 
 def sums(corpus: Corpus, model: Model, models: int, loss: Callable[[Entries], list[np.ndarray]], width: int) -> DataFrame:
@@ -263,62 +318,59 @@ def sums(corpus: Corpus, model: Model, models: int, loss: Callable[[Entries], li
     loss(entries): ``width`` arrays of values, with the document's own counts
     still inside where the mask has the model's bit.
     """
-    many = corpus.shards
+    side, known = corpus.side, model.known
+    of_begin = int(_shard(np.array([BEGIN], np.uint64), side * side)[0])
+    of_other = int(_shard(np.array([OTHER], np.uint64), side * side)[0]) if corpus.size else None
 
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, blob in zip(batch["block"].to_pylist(), batch["blob"].to_pylist()):
-                b = Block(blob)
-                for kind, keys in ((0, b.keys()), (1, b.hash)):
-                    got = [(s, packed(rising(keys[take]))) for s, take in enumerate(_dealt(keys, many)) if len(take)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(got), pa.int32()), pa.array([s for s, _ in got], pa.int32()), pa.array([ident] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())],
-                        names=["kind", "shard", "block", "blob"],
-                    )
-
-    def look(key, left, right):  # untyped: hints as text are not understood here
-        kind = key[0].as_py()
-        if right.num_rows:
-            table = unpacked(right["blob"][0].as_py())
-            table[0] = risen(table[0])
-        else:
-            table = [np.zeros(0, np.uint64)] * (1 + models * (len(KINDS) if kind else 1))
-        out = [packed(*_found(table, risen(unpacked(x.as_py())[0]))) for x in left["blob"]]
-        n = len(out)
-        return pa.table([left["block"], pa.array([kind] * n, pa.int32()), left["shard"], pa.array(out, pa.binary())], names=["block", "kind", "shard", "blob"])
-
-    schema = "block bigint, kind int, shard int, blob binary"
-    asked = corpus.rows.mapInArrow(asks, "kind int, shard int, block bigint, blob binary")
-    table = model.bigrams.select(F.lit(0).alias("kind"), "shard", "blob").unionByName(model.words.select(F.lit(1).alias("kind"), "shard", "blob"))
-    answers = asked.groupBy("kind", "shard").cogroup(table.groupBy("kind", "shard")).applyInArrow(look, schema)
-    heads = corpus.rows.select("block", F.lit(2).alias("kind"), F.lit(0).alias("shard"), "blob")
+                *head, word = unpacked(blob)
+                has_other = len(word) and bool((risen(word) == OTHER).any())
+                yield _sent([(0, ident, packed(*head, np.array([has_other], np.uint8)))])
+
+    schema = "shard int, block bigint, blob binary"
+    rows = [model.bigrams.withColumn("kind", F.lit(0)), model.words.withColumn("kind", F.lit(1)), corpus.rows.mapInArrow(heads, schema).withColumn("kind", F.lit(2))]
     names = [*(n for n, _, _ in corpus.meta), "tokens", *(f"s{k + 1}" for k in range(width))]
 
     def total(key, table):  # untyped: hints as text are not understood here
         got = {(k, s): x for k, s, x in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["blob"].to_pylist())}
-        b = Block(got[2, 0])
-
-        def told(kind: int, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-            out = [np.zeros(len(keys)) for _ in range(columns)]
-            for s, take in enumerate(_dealt(keys, many)):
-                if len(take):
-                    for o, values in zip(out, unpacked(got[kind, s])):
-                        o[take] = values
-            return out
-
-        count, words = told(0, b.keys(), models), told(1, b.hash, models * len(KINDS))
-        entry, own = np.unique(b.doc * max(len(b.word), 1) + b.pair, return_counts=True)
-        doc, pair = entry // max(len(b.word), 1), entry % max(len(b.word), 1)
-        context, word = b.context[pair], b.word[pair]
-        per = [
-            {k: words[m * len(KINDS) + n][word if k in ("into", "count") else context] for n, k in enumerate(KINDS)} for m in range(models)
-        ]
-        group = lambda x: np.unique(doc * len(b.hash) + x, return_inverse=True)[1]
-        entries = Entries(own.astype(np.float64), b.models[doc], b.hash[word] == OTHER, [c[pair] for c in count], per, group(context), group(word))
-        values = loss(entries) if len(own) else [np.zeros(0)] * width
-        cols = [pa.array([m[n] for m in b.meta], t) for n, _, t in corpus_meta]
-        return pa.table([*cols, pa.array(b.count, pa.int64()), *(pa.array(np.bincount(doc, v * own, len(b.meta)).astype(np.float64)) for v in values)], names=names)
+        raw, mask, count, token, has_other = unpacked(got.pop((2, 0)))
+        meta = pickle.loads(raw.tobytes())
+        told = {s: unpacked(x) for (k, s), x in sorted(got.items()) if k == 1}
+        # The words lie by shard; BEGIN is the last of its own and has the last place here.
+        begin = [c[-1:] for c in told[of_begin]]
+        told[of_begin] = [c[:-1] for c in told[of_begin]]
+        words = [np.concatenate([*c, b]) for c, b in zip(zip(*told.values()), begin)]
+        shard = np.append(np.repeat(list(told), [len(c[0]) for c in told.values()]), of_begin)
+        b = Block(mask, count, token, len(shard) - 1)
+        found = [np.zeros(len(b.word)) for _ in range(models)]
+        for s, take in b.dealt(shard, side):
+            for f, values in zip(found, unpacked(got[0, s])):
+                f[take] = values
+        # OTHER has the smallest hash of its shard.
+        other = int(np.searchsorted(shard[:-1], of_other)) if has_other[0] else -1
+        kinds = max(len(b.word), 1)
+        entry, own = np.unique(b.doc * kinds + b.pair, return_counts=True)
+        out = np.zeros((width, len(meta)))
+        begins = np.searchsorted(entry // kinds, np.arange(len(meta) + 1))
+        cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(entry), ENTRIES), "left"), len(meta)))
+        for first, last in zip(cuts, cuts[1:]):
+            part = slice(begins[first], begins[last])
+            doc, pair = entry[part] // kinds, entry[part] % kinds
+            context, word = b.context[pair], b.word[pair]
+            per = [
+                {k: words[m * len(known) + n][word if k in (INTO, "count") else context].astype(np.float64) for n, k in enumerate(known)}
+                for m in range(models)
+            ]
+            group = lambda x: np.unique(doc * len(shard) + x, return_inverse=True)[1]  # noqa: B023, E731
+            entries = Entries(own[part].astype(np.float64), b.models[doc], word == other, [f[pair] for f in found], per, group(context), group(word))
+            for o, values in zip(out, loss(entries) if len(doc) else ()):
+                o += np.bincount(doc, values * own[part], len(meta))
+        cols = [pa.array([m[n] for m in meta], t) for n, _, t in corpus_meta]
+        return pa.table([*cols, pa.array(b.count, pa.int64()), *(pa.array(o) for o in out)], names=names)
 
     corpus_meta = corpus.meta
     fields = [*((n, t) for n, t, _ in corpus.meta), ("tokens", "bigint"), *((f"s{k + 1}", "double") for k in range(width))]
-    return answers.unionByName(heads).groupBy("block").applyInArrow(total, ", ".join(f"{n} {t}" for n, t in fields))
+    answers = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return answers.groupBy("block").applyInArrow(total, ", ".join(f"{n} {t}" for n, t in fields))

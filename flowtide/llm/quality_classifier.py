@@ -35,6 +35,7 @@ FLOOR, LOW, HIGH = 0.01, 0.25, 0.75
 REACH = 1.5
 ACCURACY = 10_000
 ENOUGH = 20
+KNOWN = ("total", "one", "two", "more", "into")
 
 
 def _discounts(over: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, trusted: Column, text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     is_good = F.col("_good").isNotNull()
     corpus = ngrams.encoded(rows, [F.col("doc_id"), F.col("lang"), is_good.alias("trusted")], is_good.cast("int"), (good, F.col("doc_id") == F.col("_good")), "text", size)
-    model = ngrams.counts(corpus, 1)
+    model = ngrams.counts(corpus, 1, KNOWN)
     out = ngrams.sums(corpus, model, 1, kneser_ney(model, size), 1)
     return out.select("doc_id", "lang", "trusted", "tokens", F.when(F.col("tokens") > 0, F.exp(F.col("s1") / F.col("tokens"))).alias("perplexity"))
 

@@ -212,3 +212,41 @@ def test_words_of_any_number_are_told_apart(spark):
     judged = docs.withColumn("lang", F.lit("en"))
     seen = {r.doc_id: r.perplexity for r in quality_classifier.perplexity(judged, labels, F.col("quality") == 1).collect()}
     assert seen[900] < seen[901] < seen[902] and seen[902] > types / 2
+
+
+def test_answers_in_the_blocks_order_for_any_split(spark, monkeypatch):
+    """Many shards, small blocks and few entries at once change no score; stored answers name no word or bigram."""
+    from flowtide.llm import ngrams
+
+    docs, labels, _ = corpus(spark, 2)
+    rows = lambda: [
+        sorted(
+            ((r.doc_id is None, r.doc_id, r.tokens, *(x if x is None else round(x, 9) for x in values(r))) for r in run(docs, labels, F.col("quality") == 1).collect()), key=repr
+        )
+        for run, values in (
+            (lm_scoring.score, lambda r: (r.loss_target, r.loss_background)),
+            (quality_classifier.classify, lambda r: (r.perplexity,)),
+            (lambda *a: lm_scoring.score(*a, size=40), lambda r: (r.loss_target, r.loss_background)),
+            (lambda *a: quality_classifier.classify(*a, size=40), lambda r: (r.perplexity,)),
+        )
+    ]
+    want = rows()
+    for name, value in (("SHARD_BYTES", 3000), ("BLOCK", 500), ("ENTRIES", 90)):
+        monkeypatch.setattr(ngrams, name, value)
+    sizes, stored = Counter(), ngrams.stored
+
+    def kept(table, name):
+        out = stored(table, name)
+        if "blob" in out.columns:
+            blobs = out.filter("kind = 0") if "kind" in out.columns else out
+            sizes[name] += blobs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+        return out
+
+    assert rows() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(ngrams, "stored", kept)
+    r = random.Random(4)
+    many = [(n, " ".join(f"v{int(r.paretovariate(0.4)) % 50021}" for _ in range(400)), "en", "s", 1, *["kept"] * 10) for n in range(200)]
+    assert lm_scoring.score(frame(spark, many), labels, F.col("quality") == 1).count() == 200
+    pairs = len({p for _, t, *_ in many for p in zip(["", *t.split()], t.split())})
+    assert sizes["ngram-counts"] < 3 * pairs
