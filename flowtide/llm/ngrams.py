@@ -10,6 +10,11 @@ answers meet the block's tokens again; as they come in the block's order, no
 hash travels a second time. No table of words or bigrams goes to every task;
 numbers over the whole model (counts of counts, sums) do.
 
+What travels would take more disk at once than the blocks themselves. So the
+shards, and at the end the blocks, are taken in ``TURNS`` turns, each stored
+before the next begins, and what a turn shuffled is removed when it is stored.
+Every bigram, word and block has one turn.
+
 Words have ``side`` classes, and the bigrams of each pair of classes a shard of
 their own: a common word is spread over ``side`` shards, and a block names a
 word to at most twice as many.
@@ -25,15 +30,16 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from flowtide.llm.tokens import Words, mix, packed, pieces, rising, risen, runs, unpacked
-from flowtide.llm.work import stored, text_bytes
+from flowtide.llm.tokens import Words, mix, packed, pieces, rising, risen, runs, spread, unpacked
+from flowtide.llm.work import released, stored, text_bytes
 
 # Keys that stand for no word of a text; both count in a limited vocabulary.
 OTHER, BEGIN = 0, 1
@@ -41,6 +47,7 @@ FIRST = 2
 BLOCK = 2_000_000
 ENTRIES = 400_000  # scored at once; one longer document is taken whole
 SHARD_BYTES = 24e6
+TURNS = 6
 # What can be known of a word: tokens after it, distinct bigrams that it begins (all, or seen so often), contexts, tokens.
 BY_BLOCK = ("total", "count")
 BY_CONTEXT = {"followers": lambda n: n > 0, "one": lambda n: n == 1, "two": lambda n: n == 2, "more": lambda n: n > 2}
@@ -50,12 +57,13 @@ PARTS = "kind int, shard int, block bigint, blob binary, stats array<bigint>"
 
 @dataclass
 class Corpus:
-    """rows: (block, blob); size: limit of the vocabulary or none; side: classes of words."""
+    """rows: (block, blob); size: limit of the vocabulary or none; side: classes of words; turns: in which shards and blocks are taken."""
 
     rows: DataFrame
     meta: list[tuple[str, str, pa.DataType]]
     size: int | None
     side: int
+    turns: int
 
 
 @dataclass
@@ -151,7 +159,7 @@ def encoded(docs: DataFrame, meta: list[Column], models: Column, on: tuple[DataF
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in rows.schema["meta"].dataType.fields]
-    return Corpus(kept, fields, size, side)
+    return Corpus(kept, fields, size, side, min(TURNS, side * side))
 
 
 def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -164,33 +172,53 @@ def _shard(key: np.ndarray, count: int) -> np.ndarray:
 
 
 class Block:
-    """A block's documents, and the distinct bigrams by places of their words; the place after the last is that of BEGIN."""
+    """A block's tokens, each by the places of its word and the one before; the place after the last is that of BEGIN."""
 
     def __init__(self, models: np.ndarray, count: np.ndarray, token: np.ndarray, words: int):
         self.models, self.words = models, words
         self.count = count.astype(np.int64)
-        token = token.astype(np.int64)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[(np.cumsum(self.count) - self.count)[self.count > 0]] = words
-        self.doc = np.repeat(np.arange(len(count)), self.count)
-        pair, self.pair = np.unique(before * (words + 1) + token, return_inverse=True)
-        self.context, self.word = pair // (words + 1), pair % (words + 1)
+        self.token = token.astype(np.int32)  # half the memory; a block has far fewer words and documents
+        self.before = np.empty_like(self.token)
+        self.before[1:] = self.token[:-1]
+        self.before[(np.cumsum(self.count) - self.count)[self.count > 0]] = words
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), self.count)
+
+    def sums(self, places: np.ndarray, many: int, models: int) -> list[np.ndarray]:
+        """How often each model counts each place."""
+        mask = self.models[self.doc]
+        return [np.bincount(places, (mask >> m) & 1, many).astype(np.uint32) for m in range(models)]
+
+
+def _cells(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard's items, in their order."""
+    order = np.argsort(shard, kind="stable")
+    begins = runs(shard[order])
+    for lo, hi in zip(begins, np.append(begins[1:], len(order))):
+        yield int(shard[order[lo]]), order[lo:hi]
+
+
+class Pairs:
+    """A block's distinct bigrams and their shards. shard: of the words, with BEGIN; turn: the number of one turn and of all."""
+
+    def __init__(self, block: Block, shard: np.ndarray, side: int, turn: tuple[int, int] = (0, 1)):
+        kind = (shard % side).astype(np.int32)
+        kept = slice(None)
+        if turn[1] > 1:
+            kept = np.flatnonzero((kind[block.before] * side + kind[block.token]) % turn[1] == turn[0])
+        self.models, self.doc = block.models, block.doc[kept]
+        pair = block.before[kept].astype(np.int64)
+        pair *= block.words + 1
+        pair += block.token[kept]
+        pair, back = np.unique(pair, return_inverse=True)
+        self.pair = back.astype(np.int32)
+        self.context, self.word = (x.astype(np.int32) for x in np.divmod(pair, block.words + 1))
+        self.shard = kind[self.context] * side + kind[self.word]
 
     def own(self, models: int) -> list[np.ndarray]:
-        """How often each model counts the block's bigrams."""
+        """How often each model counts the bigrams."""
         mask = self.models[self.doc]
         return [np.bincount(self.pair, (mask >> m) & 1, len(self.word)).astype(np.uint32) for m in range(models)]
 
-    def dealt(self, shard: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each shard's bigrams, in their order; ``shard``: of the words, with BEGIN."""
-        kind = shard % side
-        to = (kind[self.context] * side + kind[self.word]).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        begins = runs(to[order])
-        for lo, hi in zip(begins, np.append(begins[1:], len(order))):
-            yield int(to[order[lo]]), order[lo:hi]
-
 
 def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32 if not len(values) or values.max() < 1 << 32 else np.uint64)
@@ -210,13 +238,17 @@ def _parted(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _histogram(values: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(values, 5).astype(int), minlength=6).tolist()
 
 
 def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
     """``known``: what the loss asks of words, of ``BY_BLOCK``, ``BY_CONTEXT`` and ``INTO``."""
-    side = corpus.side
+    side, turns = corpus.side, corpus.turns
     many = side * side
     by_block = [k for k in BY_BLOCK if k in known or k == BY_BLOCK[0]]
     by_context = [k for k in BY_CONTEXT if k in known]
@@ -229,10 +261,11 @@ def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
                 _, mask, count, token, word = unpacked(blob)
                 yield ident, Block(mask, count, token, len(word)), np.append(risen(word), np.uint64(BEGIN))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ident, b, hashes in opened(batches):
+    def pairs(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        for ident, block, hashes in opened(batches):
+            b = Pairs(block, _shard(hashes, many), side, (turn, turns))
             per, rows = b.own(models), []
-            for s, take in b.dealt(_shard(hashes, many), side):
+            for s, take in _cells(b.shard):
                 context, word = b.context[take], b.word[take]
                 first = runs(context)
                 named, back = np.unique(word, return_inverse=True)
@@ -248,8 +281,15 @@ def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
             for p, o in zip(per, own):
                 p.append(o)
         context, word = np.concatenate(context), np.concatenate(word)
-        pair, first, back = np.unique(_pair(context, word), return_index=True, return_inverse=True)
-        per = [np.bincount(back, np.concatenate(p), len(pair)).astype(np.uint64) for p in per]
+        pair = _pair(context, word)
+        order = np.argsort(pair)
+        begins = runs(pair[order])
+        del pair  # a shard's arrays are the largest of all: no more of them at once than needed
+        per = [np.add.reduceat(np.concatenate(p)[order], begins, dtype=np.uint64) for p in per]
+        back = np.empty(len(order), np.int32)
+        back[order] = spread(np.arange(len(begins), dtype=np.int32), begins, len(order))
+        first = order[begins]
+        del order
         answers = zip(*(_parted(_small(p)[back], sizes) for p in per))
         rows = [(0, key[0].as_py(), ident, packed(*a), None) for ident, a in zip(table["block"].to_pylist(), answers)]
         context, word = context[first], word[first]
@@ -259,23 +299,16 @@ def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
             if wanted and counted.any():
                 of, back = np.unique(hashes[counted], return_inverse=True)
                 got = [np.bincount(back, (BY_CONTEXT[k] if k in BY_CONTEXT else BY_CONTEXT["followers"])(per[m][counted]), len(of)) for m, k in wanted]
-                shard = _shard(of, many)
-                order = np.argsort(shard, kind="stable")
-                begins = runs(shard[order])
-                for lo, hi in zip(begins, np.append(begins[1:], len(order))):
-                    take = order[lo:hi]
-                    rows.append((1 if hashes is context else 2, int(shard[take[0]]), None, packed(rising(of[take]), *(_small(g[take]) for g in got)), None))
+                for s, take in _cells(_shard(of, many)):
+                    rows.append((1 if hashes is context else 2, s, None, packed(rising(of[take]), *(_small(g[take]) for g in got)), None))
         return _rows(rows)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for ident, b, hashes in opened(batches):
-            places = {"total": b.context, "count": b.word}
-            sums = [np.bincount(places[k], p, len(hashes)).astype(np.uint32) for p in b.own(models) for k in by_block]
-            shard = _shard(hashes, many)
-            order = np.argsort(shard, kind="stable")  # BEGIN is the last of its shard
-            begins = runs(shard[order])
-            cells = [order[lo:hi] for lo, hi in zip(begins, np.append(begins[1:], len(order)))]
-            yield _sent([(int(shard[c[0]]), ident, packed(rising(hashes[c]), *(n[c] for n in sums))) for c in cells])
+            places = {"total": b.before, "count": b.token}
+            sums = [n for by_model in zip(*(b.sums(places[k], len(hashes), models) for k in by_block)) for n in by_model]
+            cells = [(s, c) for s, c in _cells(_shard(hashes, many)) if s % turns == turn]  # BEGIN is the last of its shard
+            yield _sent([(s, ident, packed(rising(hashes[c]), *(n[c] for n in sums))) for s, c in cells])
 
     def gather(key, left, right):  # untyped: hints as text are not understood here
         cells = [unpacked(b.as_py()) for b in left["blob"]]
@@ -301,12 +334,16 @@ def counts(corpus: Corpus, models: int, known: tuple[str, ...]) -> Model:
         row = rows.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(width))).first()
         return np.array(list(row), np.int64)
 
-    sent = "shard int, block bigint, blob binary"
-    parts = stored(corpus.rows.mapInArrow(pairs, sent).groupBy("shard").applyInArrow(add, PARTS), "ngram-counts")
-    told = parts.filter("kind > 0").select("shard", "kind", "blob")
-    found = stored(corpus.rows.mapInArrow(words, sent).groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(gather, PARTS), "ngram-words")
-    over = totals(parts.filter("kind = 0"), 6 * models).reshape(models, 6)
-    types, *rest = totals(found, 1 + 7 * models)
+    def dealt(make: Callable, turn: int) -> GroupedData:
+        return corpus.rows.mapInArrow(lambda batches: make(batches, turn), "shard int, block bigint, blob binary").groupBy("shard")
+
+    with released(corpus.rows.sparkSession):
+        parts = _all([stored(dealt(pairs, turn).applyInArrow(add, PARTS), "ngram-counts") for turn in range(turns)])
+        told = parts.filter("kind > 0").select("shard", "kind", "blob")
+        heard = [told.filter(F.col("shard") % turns == turn).groupBy("shard") for turn in range(turns)]
+        found = _all([stored(dealt(words, turn).cogroup(heard[turn]).applyInArrow(gather, PARTS), "ngram-words") for turn in range(turns)])
+        over = totals(parts.filter("kind = 0"), 6 * models).reshape(models, 6)
+        types, *rest = totals(found, 1 + 7 * models)
     rest = np.array(rest).reshape(models, 7)
     answers = [rows.select("shard", "block", "blob") for rows in (parts.filter("kind = 0"), found)]
     return Model(*answers, int(types), over, rest[:, :6], over[:, 1:].sum(1), rest[:, 6], tuple(columns))
@@ -329,29 +366,29 @@ def sums(corpus: Corpus, model: Model, models: int, loss: Callable[[Entries], li
                 has_other = len(word) and bool((risen(word) == OTHER).any())
                 yield _sent([(0, ident, packed(*head, np.array([has_other], np.uint8)))])
 
-    schema = "shard int, block bigint, blob binary"
-    rows = [model.bigrams.withColumn("kind", F.lit(0)), model.words.withColumn("kind", F.lit(1)), corpus.rows.mapInArrow(heads, schema).withColumn("kind", F.lit(2))]
     names = [*(n for n, _, _ in corpus.meta), "tokens", *(f"s{k + 1}" for k in range(width))]
 
     def total(key, table):  # untyped: hints as text are not understood here
         got = {(k, s): x for k, s, x in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["blob"].to_pylist())}
         raw, mask, count, token, has_other = unpacked(got.pop((2, 0)))
         meta = pickle.loads(raw.tobytes())
-        told = {s: unpacked(x) for (k, s), x in sorted(got.items()) if k == 1}
+        told = {s: unpacked(got.pop((k, s))) for k, s in sorted(got) if k == 1}
         # The words lie by shard; BEGIN is the last of its own and has the last place here.
         begin = [c[-1:] for c in told[of_begin]]
         told[of_begin] = [c[:-1] for c in told[of_begin]]
         words = [np.concatenate([*c, b]) for c, b in zip(zip(*told.values()), begin)]
         shard = np.append(np.repeat(list(told), [len(c[0]) for c in told.values()]), of_begin)
-        b = Block(mask, count, token, len(shard) - 1)
+        del told
+        b = Pairs(Block(mask, count, token, len(shard) - 1), shard, side)
         found = [np.zeros(len(b.word)) for _ in range(models)]
-        for s, take in b.dealt(shard, side):
-            for f, values in zip(found, unpacked(got[0, s])):
+        for s, take in _cells(b.shard):
+            for f, values in zip(found, unpacked(got.pop((0, s)))):
                 f[take] = values
         # OTHER has the smallest hash of its shard.
         other = int(np.searchsorted(shard[:-1], of_other)) if has_other[0] else -1
         kinds = max(len(b.word), 1)
-        entry, own = np.unique(b.doc * kinds + b.pair, return_counts=True)
+        entry, own = np.unique(b.doc.astype(np.int64) * kinds + b.pair, return_counts=True)
+        del token, b.doc, b.pair  # the entries hold them
         out = np.zeros((width, len(meta)))
         begins = np.searchsorted(entry // kinds, np.arange(len(meta) + 1))
         cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(entry), ENTRIES), "left"), len(meta)))
@@ -368,9 +405,16 @@ def sums(corpus: Corpus, model: Model, models: int, loss: Callable[[Entries], li
             for o, values in zip(out, loss(entries) if len(doc) else ()):
                 o += np.bincount(doc, values * own[part], len(meta))
         cols = [pa.array([m[n] for m in meta], t) for n, _, t in corpus_meta]
-        return pa.table([*cols, pa.array(b.count, pa.int64()), *(pa.array(o) for o in out)], names=names)
+        return pa.table([*cols, pa.array(count, pa.int64()), *(pa.array(o) for o in out)], names=names)
 
     corpus_meta = corpus.meta
     fields = [*((n, t) for n, t, _ in corpus.meta), ("tokens", "bigint"), *((f"s{k + 1}", "double") for k in range(width))]
-    answers = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return answers.groupBy("block").applyInArrow(total, ", ".join(f"{n} {t}" for n, t in fields))
+    out = []
+    with released(corpus.rows.sparkSession):
+        for turn in range(corpus.turns):
+            place = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))  # a partition's blocks, the last of them small, go to several turns
+            bigrams, words, blocks = (rows.filter(place % corpus.turns == turn) for rows in (model.bigrams, model.words, corpus.rows))
+            blocks = blocks.mapInArrow(heads, "shard int, block bigint, blob binary")
+            answers = _all([rows.withColumn("kind", F.lit(kind)) for kind, rows in enumerate((bigrams, words, blocks))])
+            out.append(stored(answers.groupBy("block").applyInArrow(total, ", ".join(f"{n} {t}" for n, t in fields)), "ngram-sums"))
+    return _all(out)

@@ -250,3 +250,39 @@ def test_answers_in_the_blocks_order_for_any_split(spark, monkeypatch):
     assert lm_scoring.score(frame(spark, many), labels, F.col("quality") == 1).count() == 200
     pairs = len({p for _, t, *_ in many for p in zip(["", *t.split()], t.split())})
     assert sizes["ngram-counts"] < 3 * pairs
+
+
+def test_no_turn_holds_all_that_travels(spark, monkeypatch):
+    """Bigrams, words and blocks travel in turns, and what a turn shuffled is gone before the next one ends."""
+    import glob
+    import os
+    import time
+
+    from flowtide.llm import ngrams
+
+    docs, labels, _ = corpus(spark, 2)
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = lambda: set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    assert spark.range(100).repartition(3).groupBy("id").count().count() == 100
+    own = {os.path.dirname(os.path.dirname(f)) for f in files() - before}
+    files = lambda: {f for d in own for f in glob.glob(f"{d}/*/shuffle_*")}
+    assert files()
+    for name, value in (("SHARD_BYTES", 3000), ("BLOCK", 500)):
+        monkeypatch.setattr(ngrams, name, value)
+    old, names, stored = files(), Counter(), ngrams.stored
+
+    def kept(table, name):
+        out = stored(table, name)
+        names[name] += out.count() > 0
+        if name in ("ngram-labels", "ngram-blocks"):
+            old.update(files())
+        end = time.time() + 20
+        while files() - old and time.time() < end:
+            time.sleep(0.1)
+        assert not files() - old, name
+        return out
+
+    monkeypatch.setattr(ngrams, "stored", kept)
+    assert quality_classifier.perplexity(docs, labels, F.col("quality") == 1).count() == docs.count()
+    assert all(names[n] > 2 for n in ("ngram-counts", "ngram-words", "ngram-sums")), names
