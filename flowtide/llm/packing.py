@@ -32,7 +32,7 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ STEPS = 3_000
 OTHERS = 12
 SPLITS = 24
 CACHE_WORDS = 1_000_000
+CACHE_BYTES = 32_000_000
+ENCODED = 20_000  # new parts encoded as one string
 STEP = 8_000_000  # bytes of text encoded at once; one longer text is taken whole
 PART_ROWS = 20_000
 SPACE = "\u0120"  # what byte-level vocabularies write for a space
@@ -70,26 +72,36 @@ def _encoder(model: str) -> _Encoder:
 
 
 class _Known:
-    """Ids of parts met so far, end to end; a part's number says where its own lie."""
+    """Ids of parts met so far, end to end; a part's place says where its own lie.
+
+    The parts are one Arrow array, which takes a fraction of the memory of as many strings in a dict.
+    """
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.parts = pa.array([], pa.large_string())
         self.ids = np.zeros(0, "<u4")
         self.ends = np.zeros(1, np.int64)  # one more than there are parts
 
-    def of(self, number: int) -> bytes:
-        return self.ids[self.ends[number] : self.ends[number + 1]].tobytes()
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Place of each part, -1 for one that was not met."""
+        return np.asarray(pa.compute.index_in(parts, value_set=self.parts).fill_null(-1)).astype(np.int64)
+
+    def of(self, place: int) -> bytes:
+        return self.ids[self.ends[place] : self.ends[place + 1]].tobytes()
 
     def add(self, parts: list[str], ids: list[bytes]) -> None:
-        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        self.parts = pa.concat_arrays([self.parts, pa.array(parts, pa.large_string())])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4])
 
-    def halve(self, most: int) -> None:
-        """Common parts come early; of too many the later half goes."""
-        if len(self.number) > most:
-            self.number = dict(islice(self.number.items(), most // 2))
-            self.ends = self.ends[: most // 2 + 1]
+    def halve(self, most: int, most_bytes: int) -> None:
+        """Common parts come early; of too many, or too long ones, the later half goes."""
+        while len(self) and (len(self) > most or self.parts.nbytes > most_bytes):
+            self.parts = self.parts[: min(len(self), most) // 2]
+            self.ends = self.ends[: len(self) + 1]
             self.ids = self.ids[: self.ends[-1]]
 
 
@@ -130,49 +142,67 @@ class _Encoder:
         raw, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
         return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
-    def _numbers(self, known: _Known, parts: list[str], encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
-        """Numbers of the parts, -1 for those that have no ids of their own."""
-        known.halve(CACHE_WORDS)
-        number = known.number
-        got = np.array([number.get(p, -1) for p in parts], np.int64)
-        unknown = np.flatnonzero(got < 0).tolist()
-        new = [p for p in dict.fromkeys(parts[k] for k in unknown) if p and p == p.strip()]
-        # A comma or full stop after a letter is a pre-token of its own.
+    def _places(self, known: _Known, parts: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Places of the parts, -1 for those that have no ids of their own."""
+        known.halve(CACHE_WORDS, CACHE_BYTES)
+        # A comma or full stop after a letter is a pre-token of its own; what stands before it may be known.
+        ended = pa.compute.or_(*(pa.compute.ends_with(parts, mark) for mark in self.marks))
+        ended = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
+        stems = pa.compute.utf8_slice_codeunits(parts.take(pa.array(ended)), 0, -1)
+        got, of_stems = np.split(known.places(pa.concat_arrays([parts, stems])), [len(parts)])
+        used = np.flatnonzero((of_stems >= 0) & (got[ended] < 0))
+        place = dict(zip(stems.take(pa.array(used)).to_pylist(), of_stems[used].tolist()))
+        unknown = np.flatnonzero(got < 0)
+        listed = parts.take(pa.array(unknown)).to_pylist()
+        new = [p for p in dict.fromkeys(listed) if p and p == p.strip()]
         marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
-        wanted = list({p[:-1] for p in marked}.union(new).difference(marked).difference(number))
+        wanted = dict.fromkeys(new)
+        for p in marked:
+            del wanted[p]
+        wanted.update(dict.fromkeys(p[:-1] for p in marked if p[:-1] not in place))
         if wanted:
-            known.add(wanted, encode(wanted))
+            wanted = list(wanted)
+            place.update(zip(wanted, count(len(known))))
+            groups = (wanted[lo : lo + ENCODED] for lo in range(0, len(wanted), ENCODED))
+            known.add(wanted, [ids for group in groups for ids in encode(group)])
         if marked:
-            known.add(marked, [known.of(number[p[:-1]]) + self.marks[p[-1]] for p in marked])
-        got[unknown] = [number.get(parts[k], -1) for k in unknown]
+            ids = [known.of(place[p[:-1]]) + self.marks[p[-1]] for p in marked]
+            place.update(zip(marked, count(len(known))))
+            known.add(marked, ids)
+        got[unknown] = [place.get(p, -1) for p in listed]
         return got
 
-    def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
-        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
-        if not len(texts):
-            return
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, where each one's begin and end, and which have to be encoded as a whole."""
         cut = pa.compute.split_pattern(texts, " ")
         begin = np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
         parts = cut.flatten()
         coded = parts.dictionary_encode()
-        place = np.asarray(coded.indices)
-        of_first = self._numbers(self.first, parts.take(pa.array(begin[:-1])).to_pylist(), self.encode)
-        of_later = self._numbers(self.later, coded.dictionary.to_pylist(), self._spaced)
-        # Numbers of first parts follow those of the others.
-        number = of_later[place]
-        number[begin[:-1]] = np.where(of_first < 0, -1, of_first + len(self.later.number))
-        odd = np.logical_or.reduceat(number < 0, begin[:-1])
-        number = np.maximum(number, 0)
+        large = pa.large_string()
+        of_first = self._places(self.first, parts.take(pa.array(begin[:-1])).cast(large), self.encode)
+        of_later = self._places(self.later, coded.dictionary.cast(large), self._spaced)
+        # Places of first parts follow those of the others.
+        place = of_later[np.asarray(coded.indices)]
+        place[begin[:-1]] = np.where(of_first < 0, -1, of_first + len(self.later))
+        odd = np.logical_or.reduceat(place < 0, begin[:-1])
+        place = np.maximum(place, 0)
         ids = np.concatenate([self.later.ids, self.first.ids])
         lo = np.concatenate([self.later.ends[:-1], self.first.ends[:-1] + self.later.ends[-1]])
         size = np.concatenate([np.diff(self.later.ends), np.diff(self.first.ends)])
         if not len(lo):
-            odd[:] = True
-        else:
-            many = size[number]
-            ends = np.cumsum(many)
-            own = ids[np.arange(ends[-1]) + np.repeat(lo[number] - ends + many, many)]
-            ends = np.append(0, ends)[begin]
+            return ids, begin, np.ones_like(odd)
+        many = size[place]
+        ends = np.cumsum(many)
+        own = ids[np.arange(ends[-1]) + np.repeat(lo[place] - ends + many, many)]
+        return own, np.append(0, ends)[begin], odd
+
+    def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
+        if not len(texts):
+            return
+        own, ends, odd = self._joined(texts)
+        # A worker lives on through later jobs; Arrow keeps what it freed until asked.
+        pa.default_memory_pool().release_unused()
         for row, whole in enumerate(odd.tolist()):
             yield self.encode([texts[row].as_py()])[0] if whole else own[ends[row] : ends[row + 1]].tobytes()
 

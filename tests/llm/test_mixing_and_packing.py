@@ -1,7 +1,10 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,3 +172,44 @@ def test_new_parts_are_encoded_as_one_string(monkeypatch):
         sent.clear()
     monkeypatch.setattr(encoder, "leads", np.zeros_like(encoder.leads))  # no token begins with a space: one by one
     assert list(encoder.batch(["go new words", "go on"])) == [want("go new words"), want("go on")]
+
+
+MEMORY = """
+import random, re, sys
+from flowtide.llm import packing
+
+def used():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+r = random.Random(5)
+encoder = packing._encoder(open(sys.argv[1], encoding="utf-8").read())
+before = used()
+for _ in range(4):
+    text = ["go " + " ".join("".join(r.choices("aeiouklmns", k=8)) for _ in range(100)) for _ in range(1000)]
+    assert sum(1 for _ in encoder.batch(text)) == 1000
+    del text
+print(used() - before)
+"""
+
+
+def test_an_idle_encoder_holds_little_memory():
+    path, root = tokenizer(), Path(__file__).parents[2]
+    pytest.importorskip("tokenizers")
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+    got = subprocess.run([sys.executable, "-c", MEMORY, path], cwd=root, capture_output=True, text=True, check=True)
+    # A worker keeps this through later stages: some 100 bytes for each of 400,000 parts, and little of the work.
+    assert float(got.stdout) < 130
+
+
+def test_long_parts_do_not_fill_the_cache(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    encoder, model = packing._Encoder(open(tokenizer(), encoding="utf-8").read()), Tokenizer.from_file(tokenizer())
+    for k in range(12):
+        text = "go " + " ".join(f"{k}{n}" + "ab" * 300 for n in range(8)) + " on, and on."
+        want = np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert list(encoder.batch([text])) == [want]
+        assert encoder.later.parts.nbytes < 20_000 + 2 * len(text)
