@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from cases import documents, frame, lower, words
@@ -167,3 +168,18 @@ def test_zones_do_not_depend_on_neighbours():
     whole = list(range(len(texts)))
     assert zones(whole) == alone and zones(whole[::-1]) == alone
     assert all(sum(alone[i][1]) == len(t) - suffix_dedup.LENGTH + 1 for i, t in enumerate(texts))
+
+
+def test_repeated_bytes_by_id(spark, tmp_path):
+    from flowtide.llm.queries import QUERIES
+
+    r = random.Random(8)
+    some = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    long, short = some(70), " ".join(f"{n:03}" for n in range(60))  # 60 words in 239 bytes stay, though they repeat
+    rows = [(n, f"{some(20)} {p} {some(20)}") for n, p in enumerate([long, short, long, short])]
+    rows += [(n, t) for n in (None, 2**63 - 1) for t in (long, "a" * 400 + "é", short)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = QUERIES["op8_suffix_dedup"](spark, folder).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_bytes(rows, 400, False))
+    assert len(long) >= 400 and {x.doc_id: x.n_removed > 0 for x in got if x.doc_id in range(4)} == {0: True, 1: False, 2: True, 3: False}
